@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.runtime import materialize
+from quillon.llm.runtime import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:
         large = large.filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        e = materialize(small.filter("u <> v").distinct(), name)
+        old, e = e, materialize(small.filter("u <> v").distinct(), name)
+        discard(old)
         got = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == tuple(got):
             break

@@ -19,14 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillon.llm import textkernel as K
 from quillon.llm.graph import components
-from quillon.llm.runtime import materialize, session, steps, table, text_parts
+from quillon.llm.runtime import discard, materialize, session, steps, table, text_parts
 
 #: An n-gram counts as frequent if the partitions in which it stands in LOCAL texts or more
 #: add up to FREQUENT; at most KEPT of them are told to all executors (8 bytes each). Any
@@ -35,6 +33,8 @@ LOCAL, FREQUENT, KEPT = 3, 24, 1 << 19
 #: Bits of the filter by which executors pick texts that have candidates (2 MB at most).
 FILTER_BITS = 1 << 24
 FRAGMENTS = 8
+#: Ranges of hashes whose n-grams are counted for each set: the sum of the smaller counts bounds an overlap.
+RANGES = 64
 
 
 def _sets(batch: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -85,7 +85,7 @@ def _prefixes(k: int, percent: int, shared):
             n = b.num_rows
             size, cold = np.zeros(n, np.int64), np.zeros(n, np.int64)
             sig: list[bytes | None] = [None] * n
-            values, lengths = [], np.zeros(n + 1, np.int64)
+            values, lengths, cuts = [], np.zeros(n + 1, np.int64), np.zeros((n, RANGES), np.int32)
             for lo, sets in _sets(b.column(1), k):
                 for i, s in enumerate(sets, lo):
                     size[i] = len(s)
@@ -95,14 +95,15 @@ def _prefixes(k: int, percent: int, shared):
                     at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
                     hot = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
                     cold[i] = len(s) - int(hot.sum())
+                    cuts[i] = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES)
                     least = -(-percent * len(s) // 100)
                     pre = np.concatenate([s[~hot], s[hot]])[: len(s) - least + 1]
                     values.append(pre.view(np.int64))
                     lengths[i + 1] = len(pre)
             grams = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sig, pa.binary()), pa.array(size), pa.array(cold), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), grams)],
-                ["doc_id", "sig", "n", "cold", "prefix"],
+                [b.column(0), pa.array(sig, pa.binary()), pa.array(size), pa.array(cold), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), grams), pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * RANGES, RANGES, dtype=np.int32)), pa.array(cuts.ravel()))],
+                ["doc_id", "sig", "n", "cold", "prefix", "cuts"],
             )
 
     return run
@@ -186,6 +187,14 @@ def _fits(percent: int):
     return (small * 100 >= F.greatest(F.col("x.n"), F.col("y.n")) * percent) & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least(F.col("x.pos"), F.col("y.pos")) >= least)
 
 
+def _bounded(pairs: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the counts by range don't rule out."""
+    a = bounds.select(F.col("sig").alias("a"), F.col("cuts").alias("ca"))
+    b = bounds.select(F.col("sig").alias("b"), F.col("cuts").alias("cb"))
+    most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return materialize(pairs.join(a, "a").join(b, "b").filter(most >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb"), "ngram-bounded")
+
+
 def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose whole sets are similar enough; overlaps are counted by fragment and summed."""
     bits = spark.sparkContext.broadcast(_filter_of(pairs))
@@ -217,7 +226,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(rows.mapInArrow(_prefixes(k, percent, shared), f"doc_id {kind}, sig binary, n long, cold long, prefix array<long>"), "ngram-rows")
+    rows = materialize(rows.mapInArrow(_prefixes(k, percent, shared), f"doc_id {kind}, sig binary, n long, cold long, prefix array<long>, cuts array<int>"), "ngram-rows")
 
     classes = rows.filter("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.max("cold").alias("cold"), F.max("prefix").alias("prefix"))
     posts = classes.select("sig", "n", "cold", F.posexplode("prefix").alias("pos", "g"))
@@ -226,7 +235,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = materialize(posts.join(leads, "g").select("g", "many", F.struct("sig", "n", "pos").alias("x"), "y"), "ngram-posts")
     star = met.filter(F.col("x.sig") != F.col("y.sig")).filter(_fits(percent))
     pairs = materialize(star.select(*_pair()).distinct(), "ngram-pairs")
-    links = materialize(_verified(spark, texts, pairs, k, percent), "ngram-links")
+    bounds = rows.filter("n > 0").groupBy("sig").agg(F.max("cuts").alias("cuts"))
+    links = materialize(_verified(spark, texts, _bounded(pairs, bounds, percent), k, percent), "ngram-links")
     comp = components(links, "ngram-cc")
 
     # members outside their leader's component against all others of the n-gram
@@ -239,7 +249,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     minor = crowd.filter("c <> lc").select("g", "x", "c").alias("l")
     other = crowd.filter("NOT is_lead").select("g", F.col("x").alias("y"), F.col("c").alias("d"), (F.col("c") == F.col("lc")).alias("major")).alias("r")
     rest = minor.join(other, (F.col("l.g") == F.col("r.g")) & (F.col("c") != F.col("d")) & (F.col("major") | (F.col("x.sig") < F.col("y.sig"))) & _fits(percent))
-    more = materialize(rest.select(*_pair()).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
+    more = _bounded(rest.select(*_pair()).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), bounds, percent)
+    discard(met, crowd, pairs)
     if more.limit(1).count():
         found = _verified(spark, texts, more, k, percent)
         links = links.union(found)

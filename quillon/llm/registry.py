@@ -1,8 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from quillon.llm import ngramjoin
+from quillon.llm import bpe, ctw, decontam, ngramjoin, pii
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_bpe": bpe.op2_bpe,
+    "op8_lm_score": ctw.op8_lm_score,
+    "op9_decontaminate": decontam.op9_decontaminate,
     "op10_ngram_join": ngramjoin.op10_ngram_join,
 }
 ORACLES = {

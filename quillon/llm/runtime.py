@@ -3,6 +3,7 @@ folder to cut lineage, the package on the executors, and Arrow batches of bounde
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,7 +55,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillon_path = path
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes materialized tables that no later step reads."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quillon_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
