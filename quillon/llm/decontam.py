@@ -6,13 +6,14 @@ into step, so edit distance becomes Hamming distance. Windows of an item's size
 several times with different bits, a few places of each embedding make a bucket key, and a window
 that shares a key with its item is verified by the exact edit distance.
 
-Windows are laid at words: at each place where a text and an item share three words in a row,
-the window starts as far before it as the item does. While a passage has fewer than a third of
-its words changed, such a place remains.
+Windows are laid at words: at each place where a text and an item share three words in a row, or
+two or one long enough, the window starts as far before it as the item does. While a passage has fewer
+than a third of its words changed, such a place remains.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from quillon.llm import textkernel as K
 from quillon.llm.runtime import session, steps, table, text_parts
 
-SEED_WORDS = 3
+#: Words in a row that lay a window, and the fewest bytes they must span.
+SEEDS = ((3, 0), (2, 9), (1, 14))
 #: Embeddings, bucket keys of each, and places in a key: two strings whose embeddings agree in a
 #: share p of their places meet with probability 1 - (1 - p**PLACES)**(WALKS * KEYS).
-WALKS, KEYS, PLACES = 3, 24, 4
+WALKS, KEYS, PLACES = 6, 64, 4
+#: Share of an embedding that is sampled: a walk uses its string up after about two thirds.
+REACH = 0.6
 #: Bytes of benchmark text that are told to the executors at once; a larger benchmark takes more passes.
 BLOCK_BYTES = 4 << 20
 _SEED_BITS = 22
@@ -37,20 +41,22 @@ def squeeze(text: str | None) -> str:
     return b" ".join(bytes(K.LOWER[np.frombuffer((text or "").encode(), np.uint8)]).split()).decode()
 
 
-def _random(walk: int, step: int, n: int = 256) -> np.ndarray:
-    """Fixed pseudo-random bits for a walk's step, by byte."""
+@functools.lru_cache(maxsize=64)
+def _random(steps_: int) -> np.ndarray:
+    """Fixed pseudo-random bits by walk, step and byte."""
     with np.errstate(over="ignore"):
-        x = K.mix(np.arange(n, dtype=np.uint64) + np.uint64((walk * 1_000_003 + step) * 0x9E37_79B9_7F4A & (2**64 - 1)))
-    return (x >> np.uint64(17)).astype(np.uint8) & 1
+        x = np.arange(WALKS, dtype=np.uint64)[:, None, None] * np.uint64(1 << 40) + np.arange(steps_, dtype=np.uint64)[None, :, None] * np.uint64(1 << 8) + np.arange(256, dtype=np.uint64)
+        return (K.mix(x + np.uint64(K.MULT)) >> np.uint64(17)).astype(np.uint8) & 1
 
 
 def embed(strings: np.ndarray, lengths: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
     """Bucket keys (rows x WALKS * KEYS) of byte strings in rows, padded with zeros."""
     n, width = strings.shape
-    steps_ = 3 * width
+    steps_ = int(3 * width * REACH) + 1
     padded = np.concatenate([strings, np.zeros((n, 1), np.uint8)], axis=1)
     out = np.zeros((n, WALKS * KEYS), np.uint64)
     row = np.arange(n)
+    bits = _random(steps_)
     with np.errstate(over="ignore"):
         for w in range(WALKS):
             wanted = places[w]  # KEYS x PLACES, as shares of the embedding
@@ -58,18 +64,16 @@ def embed(strings: np.ndarray, lengths: np.ndarray, places: list[np.ndarray]) ->
             # each string's own embedding is three times its length, so shares meet for strings of near lengths
             where = (wanted[None, :, :] * (3 * lengths[:, None, None])).astype(np.int64).reshape(n, -1)
             picked = np.zeros(where.shape, np.uint8)
-            order = np.argsort(where, axis=1)
-            ranked = np.take_along_axis(where, order, 1)
-            nxt = np.zeros(n, np.int64)
+            slots = where.shape[1]
+            order = np.argsort(where, axis=None, kind="stable")  # all picks by the step that makes them
+            cut = np.searchsorted(where.ravel()[order], np.arange(steps_ + 1))
+            flat = picked.ravel()
             for j in range(steps_):
-                c = padded[row, np.minimum(at, width)]
-                while True:
-                    due = (nxt < ranked.shape[1]) & (ranked[row, np.minimum(nxt, ranked.shape[1] - 1)] == j)
-                    if not due.any():
-                        break
-                    picked[row[due], order[row[due], nxt[due]]] = c[due]
-                    nxt[due] += 1
-                at += (_random(w, j)[c] == 1) & (at < lengths)
+                c = padded[row, at]
+                if cut[j] < cut[j + 1]:
+                    due = order[cut[j] : cut[j + 1]]
+                    flat[due] = c[due // slots]
+                at += (bits[w, j][c] == 1) & (at < lengths)
             got = picked.reshape(n, KEYS, PLACES).astype(np.uint64)
             key = np.zeros((n, KEYS), np.uint64)
             for p in range(PLACES):
@@ -80,7 +84,7 @@ def embed(strings: np.ndarray, lengths: np.ndarray, places: list[np.ndarray]) ->
 
 def sample_places() -> list[np.ndarray]:
     rng = np.random.RandomState(20260101)
-    return [rng.random_sample((KEYS, PLACES)) for _ in range(WALKS)]
+    return [rng.random_sample((KEYS, PLACES)) * REACH for _ in range(WALKS)]
 
 
 def best_place(item: bytes, text: bytes) -> tuple[int, int]:
@@ -121,13 +125,15 @@ class Items:
             s, e, f = K.word_spans(buf, np.array([0, len(buf)]))
             if not len(s):
                 continue
-            h, _ = K.shingles(K.word_hashes(buf, s, e), f, SEED_WORDS, short=False)
-            for at in range(len(h)):
-                keys.append(h[at])
-                refs.append((i, at, int(s[at])))
+            words = K.word_hashes(buf, s, e)
+            for k, span in SEEDS:
+                h, _ = K.shingles(words, f, k, short=False)
+                for at in np.flatnonzero(e[k - 1 :] - s[: len(s) - k + 1] >= span) if len(h) else ():
+                    keys.append(h[at])
+                    refs.append((i, at))
         self.keys = np.array(keys, np.uint64)
         order = np.argsort(self.keys, kind="stable")
-        self.keys, self.refs = self.keys[order], np.array(refs, np.int64).reshape(-1, 3)[order]
+        self.keys, self.refs = self.keys[order], np.array(refs, np.int64).reshape(-1, 2)[order]
         self.bits = np.zeros(1 << _SEED_BITS, bool)
         self.bits[(self.keys & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)] = True
         width = max([1, *map(len, self.bytes)])
@@ -144,18 +150,23 @@ def _windows(col: pa.Array, items: Items) -> Iterator[tuple[np.ndarray, np.ndarr
         buf, offsets = text_parts(col.slice(lo, hi - lo))
         buf = K.LOWER[buf]
         starts, ends, first = K.word_spans(buf, offsets)
-        h, sf = K.shingles(K.word_hashes(buf, starts, ends), first, SEED_WORDS, short=False)
-        maybe = np.flatnonzero(items.bits[(h & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)])
-        if not len(maybe) or not len(items.keys):
+        if not len(items.keys):
             continue
-        a, z = np.searchsorted(items.keys, h[maybe], "left"), np.searchsorted(items.keys, h[maybe], "right")
-        many = z - a
-        hit = np.repeat(maybe, many)
-        ref = items.refs[np.repeat(a - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))]
-        doc = np.searchsorted(sf, hit, "right") - 1
-        word = first[doc] + (hit - sf[doc])  # index of the seed's first word in the batch
-        begin = np.maximum(first[doc], word - ref[:, 1])
-        trip = np.unique(np.stack([doc, ref[:, 0], begin], 1), axis=0) if len(doc) else np.zeros((0, 3), np.int64)
+        words = K.word_hashes(buf, starts, ends)
+        trips = []
+        for k, _ in SEEDS:
+            h, sf = K.shingles(words, first, k, short=False)
+            maybe = np.flatnonzero(items.bits[(h & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)])
+            if not len(maybe):
+                continue
+            a, z = np.searchsorted(items.keys, h[maybe], "left"), np.searchsorted(items.keys, h[maybe], "right")
+            many = z - a
+            hit = np.repeat(maybe, many)
+            ref = items.refs[np.repeat(a - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))]
+            doc = np.searchsorted(sf, hit, "right") - 1
+            word = first[doc] + (hit - sf[doc])  # index of the seed's first word in the batch
+            trips.append(np.stack([doc, ref[:, 0], np.maximum(first[doc], word - ref[:, 1])], 1))
+        trip = np.unique(np.concatenate(trips), axis=0) if trips else np.zeros((0, 3), np.int64)
         docs_, its, outs = [], [], []
         for d, i, w in trip.tolist():
             size = int(items.lengths[i])
@@ -181,44 +192,46 @@ def _windows(col: pa.Array, items: Items) -> Iterator[tuple[np.ndarray, np.ndarr
 def _match(items_b, percent: int, embed_rows: int = 4096):
     def run(batches):
         items = items_b.value
-        for b in batches:
-            ids = b.column(0)
-            found: dict[tuple[int, int], tuple] = {}
-            held: list[tuple[int, int, int, int, bytes]] = []
-
-            def flush():
-                for a in range(0, len(held), embed_rows):
-                    part = held[a : a + embed_rows]
-                    windows = [t[skip : skip + int(items.lengths[i])] for _, i, skip, _, t in part]
-                    width = max(1, *map(len, windows), 1)
-                    rows = np.zeros((len(part), width), np.uint8)
-                    for r, t in enumerate(windows):
-                        rows[r, : len(t)] = np.frombuffer(t, np.uint8)
-                    # a window's places are shares of its item's length, so equal windows meet for certain
-                    lengths = np.array([len(t) for t in windows], np.int64)
-                    keys = embed(rows, lengths, items.places)
-                    meet = (keys == items.buckets[[i for _, i, *_ in part]]).any(1)
-                    for (d, i, skip, w, t), ok in zip(part, meet.tolist(), strict=True):
-                        if not ok:
-                            continue
-                        dist, _ = best_place(items.bytes[i], t)
-                        if dist * 100 <= (100 - percent) * int(items.lengths[i]):
-                            old = found.get((d, i))
-                            if old is None or (dist, w) < old:
-                                found[(d, i)] = (dist, w)
-                held.clear()
-
-            for docs_, its, outs in _windows(b.column(1), items):
-                held += [(int(d), int(i), int(skip), int(w), t) for d, (i, skip, w), t in zip(docs_.tolist(), its.tolist(), outs, strict=True)]
-                if len(held) >= embed_rows:
-                    flush()
-            flush()
+        ids: list = []
+        held: list[tuple[int, int, int, int, bytes]] = []
+
+        def flush(kind):
+            found: dict[tuple[int, int], tuple[int, int]] = {}
+            for a in range(0, len(held), embed_rows):
+                part = held[a : a + embed_rows]
+                windows = [t[skip : skip + int(items.lengths[i])] for _, i, skip, _, t in part]
+                rows = np.zeros((len(part), max(1, *map(len, windows), 1)), np.uint8)
+                for r, t in enumerate(windows):
+                    rows[r, : len(t)] = np.frombuffer(t, np.uint8)
+                keys = embed(rows, np.array([len(t) for t in windows], np.int64), items.places)
+                meet = (keys == items.buckets[[i for _, i, *_ in part]]).any(1)
+                for (d, i, _, w, t), ok in zip(part, meet.tolist(), strict=True):
+                    if not ok:
+                        continue
+                    dist, _ = best_place(items.bytes[i], t)
+                    if dist * 100 <= (100 - percent) * int(items.lengths[i]):
+                        found[(d, i)] = min(found.get((d, i), (dist, w)), (dist, w))
             keys = sorted(found)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array([d for d, _ in keys], pa.int64())), pa.array([items.ids[i] for _, i in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([1 - found[k][0] / max(1, int(items.lengths[k[1]])) for k in keys], pa.float64())],
+            return pa.RecordBatch.from_arrays(
+                [pa.array([ids[d] for d, _ in keys], kind), pa.array([items.ids[i] for _, i in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([1 - found[k][0] / max(1, int(items.lengths[k[1]])) for k in keys], pa.float64())],
                 ["doc_id", "item_id", "first_word", "distance", "similarity"],
             )
 
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            for docs_, its, outs in _windows(b.column(1), items):
+                for d in np.unique(docs_).tolist():
+                    own = np.flatnonzero(docs_ == d)
+                    held += [(len(ids), *its[j].tolist(), outs[j]) for j in own]
+                    ids.append(b.column(0)[d].as_py())
+            if len(held) >= embed_rows:
+                yield flush(kind)
+                held.clear()
+                ids.clear()
+        if held:
+            yield flush(kind)
+
     return run
 
 
