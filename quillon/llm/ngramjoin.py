@@ -30,8 +30,9 @@ from quillon.llm.runtime import discard, materialize, session, steps, table, tex
 #: add up to FREQUENT; at most KEPT of them are told to all executors (8 bytes each). Any
 #: choice gives the same links: it only moves n-grams to the end of the global order.
 LOCAL, FREQUENT, KEPT = 3, 24, 1 << 19
-#: Bits of the filter by which executors pick texts that have candidates (2 MB at most).
-FILTER_BITS = 1 << 24
+#: Bits of the filters by which executors pick n-grams that stand in more prefixes than one, and
+#: texts that have candidates: 4 MB at any size of the input. Beyond it more passes than need to.
+FILTER_BITS = 1 << 25
 FRAGMENTS = 8
 #: Ranges of hashes whose n-grams are counted for each set: the sum of the smaller counts bounds an overlap.
 RANGES = 64
@@ -109,9 +110,37 @@ def _prefixes(k: int, percent: int, shared):
     return run
 
 
-def _bit(sig: bytes) -> tuple[int, int]:
-    h = int.from_bytes(sig, "little")
-    return h % FILTER_BITS, (h >> 64) % FILTER_BITS
+def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter for each 64-bit key."""
+    h = K.mix(key.astype(np.int64).view(np.uint64))
+    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(33)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    x, y = _bits(key)
+    return (bits[x >> 3] >> (x & 7).astype(np.uint8) & bits[y >> 3] >> (y & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sig_key(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(s[:8] for s in sigs), np.int64)
+
+
+def _posts(shared):
+    """(sig, n, cold, pos, g): the places of prefix n-grams that may stand in other prefixes too."""
+
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            lists = b.column(3)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            g = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            pos = np.arange(len(g)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+            hit = np.flatnonzero(_has(bits, g))
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(pos[hit].astype(np.int32)), pa.array(g[hit])], ["sig", "n", "cold", "pos", "g"])
+
+    return run
 
 
 def _fragments(k: int, shared, count: int):
@@ -126,7 +155,7 @@ def _fragments(k: int, shared, count: int):
                     if not len(s):
                         continue
                     sig = xxhash.xxh3_128_digest(s.tobytes())
-                    if all(bits[x >> 3] >> (x & 7) & 1 for x in _bit(sig)):
+                    if _has(bits, _sig_key([sig]))[0]:
                         cut = np.searchsorted(s >> np.uint64(61), np.arange(count + 1) * (8 // count)).tolist()
                         for f in range(count):
                             if cut[f + 1] > cut[f]:
@@ -142,34 +171,38 @@ def _fragments(k: int, shared, count: int):
     return run
 
 
-def _fill_filter(batches):
-    """One bitmap for each partition of class ids."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+def _fill(batches):
+    """One filter for each partition of 64-bit keys."""
+    bits = np.zeros(FILTER_BITS, bool)
     seen = False
     for b in batches:
-        for s in b.column(0).to_pylist():
-            seen = True
-            for x in _bit(s):
-                bits[x >> 3] |= 1 << (x & 7)
+        seen = seen or b.num_rows > 0
+        for x in _bits(b.column(0).to_numpy()):
+            bits[x] = True
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bits"])
+
+
+def _either(batches):
+    total = None
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            x = np.frombuffer(x, np.uint8)
+            total = x if total is None else total | x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["bits"])
 
 
-def _or_bits(key, batches):
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
+def _first_bytes(batches):
     for b in batches:
-        for x in b.column("bits").to_pylist():
-            total |= np.frombuffer(x, np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(_sig_key(b.column(0).to_pylist()))], ["key"])
 
 
-def _filter_of(pairs: DataFrame) -> np.ndarray:
-    """The bitmap of all classes in pairs: fixed size, or-ed in two levels on the executors."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
-    parts = ids.mapInArrow(_fill_filter, "bits binary")
-    got = parts.coalesce(8).mapInArrow(lambda it: _or_bits(None, it), "bits binary").collect()
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """The filter of a column of longs: or-ed in levels, so the driver gets four of them at most."""
+    parts = keys.coalesce(32).mapInArrow(_fill, "bits binary")
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for (x,) in got:
+    for (x,) in parts.coalesce(4).mapInArrow(_either, "bits binary").collect():
         bits |= np.frombuffer(bytes(x), np.uint8)
     return bits
 
@@ -189,6 +222,9 @@ def _fits(percent: int):
 
 def _bounded(pairs: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
     """The pairs that the counts by range don't rule out."""
+    pairs = materialize(pairs, "ngram-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    bounds = bounds.join(ids, "sig", "left_semi").groupBy("sig").agg(F.max("cuts").alias("cuts"))
     a = bounds.select(F.col("sig").alias("a"), F.col("cuts").alias("ca"))
     b = bounds.select(F.col("sig").alias("b"), F.col("cuts").alias("cb"))
     most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -197,7 +233,8 @@ def _bounded(pairs: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
 
 def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose whole sets are similar enough; overlaps are counted by fragment and summed."""
-    bits = spark.sparkContext.broadcast(_filter_of(pairs))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).mapInArrow(_first_bytes, "key long")
+    bits = spark.sparkContext.broadcast(_filter_of(ids))
     frags = texts.mapInArrow(_fragments(k, bits, FRAGMENTS), "sig binary, frag int, grams array<long>")
     once = frags.join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi").groupBy("sig", "frag").agg(F.max("grams").alias("grams"))
     once = materialize(once, "ngram-sets")
@@ -228,14 +265,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(rows.mapInArrow(_prefixes(k, percent, shared), f"doc_id {kind}, sig binary, n long, cold long, prefix array<long>, cuts array<int>"), "ngram-rows")
 
-    classes = rows.filter("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.max("cold").alias("cold"), F.max("prefix").alias("prefix"))
-    posts = classes.select("sig", "n", "cold", F.posexplode("prefix").alias("pos", "g"))
+    # an n-gram of one prefix links nothing: only those of several are shuffled with their texts
+    several = rows.select(F.explode("prefix").alias("g")).groupBy("g").count().filter("count > 1").select("g")
+    bits = spark.sparkContext.broadcast(_filter_of(several))
+    posts = rows.filter("n > 0").select("sig", "n", "cold", "prefix").mapInArrow(_posts(bits), "sig binary, n long, cold long, pos int, g long").distinct()
+    posts = materialize(posts, "ngram-posts")
     # rare n-grams of a set can't link it; the leader of an n-gram is its member with the fewest of them
     leads = posts.groupBy("g").agg(F.count("*").alias("many"), F.min(F.struct("cold", "sig", "n", "pos")).alias("y")).filter("many > 1")
-    met = materialize(posts.join(leads, "g").select("g", "many", F.struct("sig", "n", "pos").alias("x"), "y"), "ngram-posts")
+    met = materialize(posts.join(leads, "g").select("g", "many", F.struct("sig", "n", "pos").alias("x"), "y"), "ngram-met")
+    discard(posts)
     star = met.filter(F.col("x.sig") != F.col("y.sig")).filter(_fits(percent))
-    pairs = materialize(star.select(*_pair()).distinct(), "ngram-pairs")
-    bounds = rows.filter("n > 0").groupBy("sig").agg(F.max("cuts").alias("cuts"))
+    pairs = star.select(*_pair()).distinct()
+    bounds = rows.filter("n > 0").select("sig", "cuts")
     links = materialize(_verified(spark, texts, _bounded(pairs, bounds, percent), k, percent), "ngram-links")
     comp = components(links, "ngram-cc")
 
@@ -249,8 +290,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     minor = crowd.filter("c <> lc").select("g", "x", "c").alias("l")
     other = crowd.filter("NOT is_lead").select("g", F.col("x").alias("y"), F.col("c").alias("d"), (F.col("c") == F.col("lc")).alias("major")).alias("r")
     rest = minor.join(other, (F.col("l.g") == F.col("r.g")) & (F.col("c") != F.col("d")) & (F.col("major") | (F.col("x.sig") < F.col("y.sig"))) & _fits(percent))
-    more = _bounded(rest.select(*_pair()).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), bounds, percent)
-    discard(met, crowd, pairs)
+    more = _bounded(rest.select(*_pair()).distinct().join(links, ["a", "b"], "left_anti"), bounds, percent)
+    discard(met, crowd)
     if more.limit(1).count():
         found = _verified(spark, texts, more, k, percent)
         links = links.union(found)
