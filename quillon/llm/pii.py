@@ -184,6 +184,26 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     return rows.mapInArrow(_scan if redact else _digest, schema + ", redacted string" * redact).withColumnRenamed("doc_id", id_col)
 
 
+def _rewrite(text_at: int, chars_at: int | None):
+    def run(batches):
+        for b in batches:
+            texts = [t if t is None else redacted(t, spans(t)) for t in b.column(text_at).to_pylist()]
+            b = b.set_column(text_at, b.schema.field(text_at).name, pa.array(texts, b.schema.field(text_at).type))
+            if chars_at is not None:
+                f = b.schema.field(chars_at)
+                b = b.set_column(chars_at, f.name, pa.array([None if t is None else len(t) for t in texts], f.type))
+            yield b
+
+    return run
+
+
+def redact_rows(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs with personal data in text_col replaced by its kind in brackets; nulls stay null."""
+    session(docs.sparkSession)
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    return docs.mapInArrow(_rewrite(docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col else None), docs.schema)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return find_pii(table(spark, sf_dir, "documents"))

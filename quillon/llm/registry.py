@@ -1,13 +1,15 @@
 """Queries of this subpackage and their SQL."""
 
-from quillon.llm import bpe, chat, ctw, decontam, licenses, ngramjoin, pii, vafile
+from quillon.llm import bpe, chat, ctw, decontam, htmlmain, langid, licenses, ngramjoin, pii, vafile
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_bpe": bpe.op2_bpe,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_main_text": htmlmain.op4_main_text,
     "op5_licenses": licenses.op5_licenses,
     "op6_topk": vafile.op6_topk,
+    "op7_langid": langid.op7_langid,
     "op8_lm_score": ctw.op8_lm_score,
     "op9_decontaminate": decontam.op9_decontaminate,
     "op10_ngram_join": ngramjoin.op10_ngram_join,
