@@ -31,11 +31,12 @@ from quillon.llm.runtime import discard, materialize, session, steps, table, tex
 #: choice gives the same links: it only moves n-grams to the end of the global order.
 LOCAL, FREQUENT, KEPT = 3, 24, 1 << 19
 #: Bits of the filters by which executors pick n-grams that stand in more prefixes than one, and
-#: texts that have candidates: 4 MB at any size of the input. Beyond it more passes than need to.
-FILTER_BITS = 1 << 25
+#: texts that have candidates: 2 MB at any size of the input. Beyond it more passes than need to.
+FILTER_BITS = 1 << 24
 FRAGMENTS = 8
-#: Ranges of hashes whose n-grams are counted for each set: the sum of the smaller counts bounds an overlap.
-RANGES = 64
+#: Bits of a hash that make up the ranges whose n-grams are counted for each set, below and from LARGE
+#: n-grams: the sum of the smaller counts bounds an overlap.
+RANGE_BITS, LARGE = (6, 10), 1500
 
 
 def _sets(batch: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -86,7 +87,7 @@ def _prefixes(k: int, percent: int, shared):
             n = b.num_rows
             size, cold = np.zeros(n, np.int64), np.zeros(n, np.int64)
             sig: list[bytes | None] = [None] * n
-            values, lengths, cuts = [], np.zeros(n + 1, np.int64), np.zeros((n, RANGES), np.int32)
+            values, lengths, cuts = [], np.zeros(n + 1, np.int64), [np.zeros(0, np.int32)] * n
             for lo, sets in _sets(b.column(1), k):
                 for i, s in enumerate(sets, lo):
                     size[i] = len(s)
@@ -96,14 +97,15 @@ def _prefixes(k: int, percent: int, shared):
                     at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
                     hot = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
                     cold[i] = len(s) - int(hot.sum())
-                    cuts[i] = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES)
+                    r = RANGE_BITS[len(s) >= LARGE]
+                    cuts[i] = np.bincount((s >> np.uint64(64 - r)).astype(np.int64), minlength=1 << r).astype(np.int32)
                     least = -(-percent * len(s) // 100)
                     pre = np.concatenate([s[~hot], s[hot]])[: len(s) - least + 1]
                     values.append(pre.view(np.int64))
                     lengths[i + 1] = len(pre)
             grams = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sig, pa.binary()), pa.array(size), pa.array(cold), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), grams), pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * RANGES, RANGES, dtype=np.int32)), pa.array(cuts.ravel()))],
+                [b.column(0), pa.array(sig, pa.binary()), pa.array(size), pa.array(cold), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), grams), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cuts)]).astype(np.int32)), pa.array(np.concatenate(cuts)))],
                 ["doc_id", "sig", "n", "cold", "prefix", "cuts"],
             )
 
@@ -228,7 +230,8 @@ def _bounded(pairs: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
     a = bounds.select(F.col("sig").alias("a"), F.col("cuts").alias("ca"))
     b = bounds.select(F.col("sig").alias("b"), F.col("cuts").alias("cb"))
     most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return materialize(pairs.join(a, "a").join(b, "b").filter(most >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb"), "ngram-bounded")
+    fits = (F.size("ca") != F.size("cb")) | (most >= _needed(F.col("na"), F.col("nb"), percent))
+    return materialize(pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b", "na", "nb"), "ngram-bounded")
 
 
 def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
