@@ -27,7 +27,7 @@ from quillon.llm.runtime import session, table
 #: Stands for the end of a word in the automaton's keys.
 _STOP = "\x00"
 #: White_Space as the tokenizer files' patterns mean it; Python's own adds \x1c to \x1f.
-_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}\p{White_Space}]+|[\x1c-\x1f]+")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
