@@ -67,7 +67,7 @@ def _count_frequent(k: int):
             for _, sets in _sets(b.column(0), k):
                 held += sets
                 size += sum(map(len, sets))
-                if size > 2_000_000:
+                if size > 500_000:
                     keys, counts = fold(keys, counts, held)
                     held, size = [], 0
         if held:
@@ -112,19 +112,36 @@ def _prefixes(k: int, percent: int, shared):
     return run
 
 
-def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in a filter for each 64-bit key."""
-    h = K.mix(key.astype(np.int64).view(np.uint64))
-    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(33)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _has(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether both places of each key are set in a filter of 64-bit words."""
+    one = np.uint64(1)
+    return (bits[x >> 6] >> (x & 63).astype(np.uint64) & bits[y >> 6] >> (y & 63).astype(np.uint64) & one).astype(bool)
 
 
-def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    x, y = _bits(key)
-    return (bits[x >> 3] >> (x & 7).astype(np.uint8) & bits[y >> 3] >> (y & 7).astype(np.uint8) & 1).astype(bool)
+def _gram_places(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return g & (FILTER_BITS - 1), (g.view(np.uint64) >> np.uint64(24)).astype(np.int64) & (FILTER_BITS - 1)
 
 
-def _sig_key(sigs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(s[:8] for s in sigs), np.int64)
+def _gram_columns(g):
+    return g.bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned(g, 24).bitwiseAND(FILTER_BITS - 1)
+
+
+def _sig_places(sig: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([int.from_bytes(sig[:3], "big")]), np.array([int.from_bytes(sig[3:6], "big")])
+
+
+def _sig_columns(sig):
+    return tuple(F.conv(F.hex(F.substring(sig, at, 3)), 16, 10).cast("long") for at in (1, 4))
+
+
+def _filter_of(keys: DataFrame, places) -> np.ndarray:
+    """The filter of the keys with these two places: words are or-ed in a groupBy, and come to the
+    driver as at most FILTER_BITS / 64 rows."""
+    at = keys.select(F.explode(F.array(*places)).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def _posts(shared):
@@ -138,7 +155,7 @@ def _posts(shared):
             g = lists.flatten().to_numpy()
             row = np.repeat(np.arange(b.num_rows), sizes)
             pos = np.arange(len(g)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-            hit = np.flatnonzero(_has(bits, g))
+            hit = np.flatnonzero(_has(bits, *_gram_places(g)))
             at = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(pos[hit].astype(np.int32)), pa.array(g[hit])], ["sig", "n", "cold", "pos", "g"])
 
@@ -157,7 +174,7 @@ def _fragments(k: int, shared, count: int):
                     if not len(s):
                         continue
                     sig = xxhash.xxh3_128_digest(s.tobytes())
-                    if _has(bits, _sig_key([sig]))[0]:
+                    if _has(bits, *_sig_places(sig))[0]:
                         cut = np.searchsorted(s >> np.uint64(61), np.arange(count + 1) * (8 // count)).tolist()
                         for f in range(count):
                             if cut[f + 1] > cut[f]:
@@ -173,42 +190,6 @@ def _fragments(k: int, shared, count: int):
     return run
 
 
-def _fill(batches):
-    """One filter for each partition of 64-bit keys."""
-    bits = np.zeros(FILTER_BITS, bool)
-    seen = False
-    for b in batches:
-        seen = seen or b.num_rows > 0
-        for x in _bits(b.column(0).to_numpy()):
-            bits[x] = True
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bits"])
-
-
-def _either(batches):
-    total = None
-    for b in batches:
-        for x in b.column(0).to_pylist():
-            x = np.frombuffer(x, np.uint8)
-            total = x if total is None else total | x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["bits"])
-
-
-def _first_bytes(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_sig_key(b.column(0).to_pylist()))], ["key"])
-
-
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """The filter of a column of longs: or-ed in levels, so the driver gets four of them at most."""
-    parts = keys.coalesce(32).mapInArrow(_fill, "bits binary")
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for (x,) in parts.coalesce(4).mapInArrow(_either, "bits binary").collect():
-        bits |= np.frombuffer(bytes(x), np.uint8)
-    return bits
-
-
 def _needed(a, b, percent: int):
     """Least overlap of two sets of these sizes: 100 * o >= percent * (a + b - o)."""
     return F.ceil((F.lit(percent) * (a + b)).cast("decimal(20,0)") / F.lit(100 + percent))
@@ -236,8 +217,8 @@ def _bounded(pairs: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
 
 def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose whole sets are similar enough; overlaps are counted by fragment and summed."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).mapInArrow(_first_bytes, "key long")
-    bits = spark.sparkContext.broadcast(_filter_of(ids))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
+    bits = spark.sparkContext.broadcast(_filter_of(ids, _sig_columns(F.col("sig"))))
     frags = texts.mapInArrow(_fragments(k, bits, FRAGMENTS), "sig binary, frag int, grams array<long>")
     once = frags.join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi").groupBy("sig", "frag").agg(F.max("grams").alias("grams"))
     once = materialize(once, "ngram-sets")
@@ -270,7 +251,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # an n-gram of one prefix links nothing: only those of several are shuffled with their texts
     several = rows.select(F.explode("prefix").alias("g")).groupBy("g").count().filter("count > 1").select("g")
-    bits = spark.sparkContext.broadcast(_filter_of(several))
+    bits = spark.sparkContext.broadcast(_filter_of(several, _gram_columns(F.col("g"))))
     posts = rows.filter("n > 0").select("sig", "n", "cold", "prefix").mapInArrow(_posts(bits), "sig binary, n long, cold long, pos int, g long").distinct()
     posts = materialize(posts, "ngram-posts")
     # rare n-grams of a set can't link it; the leader of an n-gram is its member with the fewest of them

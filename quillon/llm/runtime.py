@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most rows in one Arrow batch. Texts are a few kilobytes, so a batch stays in the low megabytes.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: Bytes of text that one numpy step works on.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
