@@ -32,7 +32,7 @@ _ODD_SPACES = re.compile("[\x1c-\x1f]")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}\p{White_Space}]+|[\x1c-\x1f]+")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: Chunks of text whose ids one Python worker keeps, in each of two generations.
-_KEPT = 120_000
+_KEPT = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -209,21 +209,21 @@ def _encode(path: str, keep: bool):
     def run(batches):
         bpe = encoder(path)
         for b in batches:
-            n, ids_hex, text_hex, ids, decoded = [], [], [], [], []
+            n, ids_hex, text_hex, ids = [], [], [], []
             for t in b.column(1).to_pylist():
                 raw, toks, count = bpe.encode(t or "")
                 n.append(count)
                 ids_hex.append(hashlib.sha256(raw).hexdigest())
                 if keep:
-                    ids.append(np.frombuffer(raw, "<u4").tolist())
-                    decoded.append(bpe.text(raw))
+                    ids.append(raw)
                 # joined stretches are what decode(raw) gives
                 text_hex.append(hashlib.sha256(" ".join(toks).encode()).hexdigest())
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep:
-                cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), flat))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
@@ -236,7 +236,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256 and, with keep, ids and readable decoded text.
+    """id_col, n_tokens, ids_sha256, decoded_sha256 and, with keep, the ids themselves; decode_texts() turns those
+    back into text.
 
     Null texts count as empty: no tokens. Repeated rows and null ids are kept; an empty table
     gives no rows; other columns are ignored. path is a file on every executor.
@@ -244,10 +245,26 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     session(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep
     return rows.mapInArrow(_encode(path or tokenizer_path(), keep), schema).withColumnRenamed("doc_id", id_col)
 
 
+def _decode(path: str):
+    def run(batches):
+        bpe = encoder(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.text(np.array(x or [], "<u4").tobytes()) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return run
+
+
+def decode_texts(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id_col and readable text of token ids; null ids are an empty text. Case and white space are not in the ids."""
+    session(tokens.sparkSession)
+    kind = tokens.schema[id_col].dataType.simpleString()
+    return tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col)).mapInArrow(_decode(path or tokenizer_path()), f"doc_id {kind}, text string").withColumnRenamed("doc_id", id_col)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the 49k word-end vocabulary."""
     return encode_texts(table(spark, sf_dir, "documents"))
