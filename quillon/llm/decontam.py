@@ -65,7 +65,8 @@ def embed(strings: np.ndarray, lengths: np.ndarray, places: list[np.ndarray]) ->
             where = (wanted[None, :, :] * (3 * lengths[:, None, None])).astype(np.int64).reshape(n, -1)
             picked = np.zeros(where.shape, np.uint8)
             slots = where.shape[1]
-            order = np.argsort(where, axis=None, kind="stable")  # all picks by the step that makes them
+            # all picks by the step that makes them; 16 bits sort by radix
+            order = np.argsort(where.astype(np.uint16) if steps_ < 1 << 16 else where, axis=None, kind="stable")
             cut = np.searchsorted(where.ravel()[order], np.arange(steps_ + 1))
             flat = picked.ravel()
             for j in range(steps_):
@@ -87,9 +88,13 @@ def sample_places() -> list[np.ndarray]:
     return [rng.random_sample((KEYS, PLACES)) * REACH for _ in range(WALKS)]
 
 
-def best_place(item: bytes, text: bytes) -> tuple[int, int]:
-    """(least edit distance of item to any stretch of text, end of the first such stretch): Myers' bit vectors."""
+def best_place(item: bytes, text: bytes, most: int | None = None) -> tuple[int, int]:
+    """(least edit distance of item to any stretch of text, end of the first such stretch): Myers' bit
+    vectors. With most, the scan ends where a distance so small can't be reached any more."""
     m = len(item)
+    if item in text:
+        return 0, text.index(item) + m
+    n, most = len(text), m if most is None else most
     peq: dict[int, int] = {}
     for i, c in enumerate(item):
         peq[c] = peq.get(c, 0) | (1 << i)
@@ -110,6 +115,8 @@ def best_place(item: bytes, text: bytes) -> tuple[int, int]:
         pv, mv = mh | ~(xv | ph) & mask, ph & xv
         if score < best:
             best, end = score, j
+        elif not j & 15 and score - (n - j) > most < best:
+            break  # a score falls by one a character at most
     return best, end
 
 
@@ -208,8 +215,9 @@ def _match(items_b, percent: int, embed_rows: int = 4096):
                 for (d, i, _, w, t), ok in zip(part, meet.tolist(), strict=True):
                     if not ok:
                         continue
-                    dist, _ = best_place(items.bytes[i], t)
-                    if dist * 100 <= (100 - percent) * int(items.lengths[i]):
+                    most = (100 - percent) * int(items.lengths[i]) // 100
+                    dist, _ = best_place(items.bytes[i], t, most)
+                    if dist <= most:
                         found[(d, i)] = min(found.get((d, i), (dist, w)), (dist, w))
             keys = sorted(found)
             return pa.RecordBatch.from_arrays(
