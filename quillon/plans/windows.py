@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.operators.order import numbered
 from quillon.plans.joins import RUN_A, RUN_B, runs
 from quillon.plans.registry import query
 from quillon.sources.tables import load
@@ -55,16 +56,7 @@ def first_occurrence(spark, sf):
 @query("o01_input_order", "SELECT page_id, CAST(row_number() OVER (ORDER BY lower(url), page_id) - 1 AS INTEGER) AS ord FROM pages ORDER BY ord")
 def input_order(spark, sf):
     """A global ordinal without a one-task window: ranges are sorted, counted, and offset by the ranges before."""
-    return _numbered(load(spark, sf, "pages").select("page_id", F.lower("url").alias("_k")), ["_k", "page_id"], "ord").select("page_id", F.col("ord").cast("int").alias("ord")).orderBy("ord")
-
-
-def _numbered(df, keys, out):
-    """Adds out, the 0-based place of each row in the order of keys, by range partitions."""
-    parts = df.repartitionByRange(8, *keys).withColumn("_p", F.spark_partition_id())
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_b"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1
-    return parts.join(F.broadcast(before), "_p").withColumn(out, within + F.col("_b")).drop("_p", "_b")
+    return numbered(load(spark, sf, "pages").select("page_id", F.lower("url").alias("_k")), ["_k", "page_id"], "ord").select("page_id", F.col("ord").cast("int").alias("ord")).orderBy("ord")
 
 
 @query("o02_leaderboard", "SELECT c_custkey, c_nationkey, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY round(c_acctbal, -3) DESC) AS INTEGER) AS rank FROM customer")
@@ -95,7 +87,7 @@ def systematic_sample(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey")
     n = o.agg(F.count("*").alias("n"))
     picks = spark.range(50).crossJoin(F.broadcast(n)).select(F.floor(F.col("id") * F.col("n") / 50.0).alias("i"))
-    return _numbered(o, ["o_orderkey"], "i").join(F.broadcast(picks), "i", "left_semi").select("o_orderkey")
+    return numbered(o, ["o_orderkey"], "i").join(F.broadcast(picks), "i", "left_semi").select("o_orderkey")
 
 
 @query("m02_seeded_sample", "SELECT page_id FROM pages ORDER BY sha256(url || '42'), page_id LIMIT 30")

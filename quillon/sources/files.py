@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.scalars import pad_hex_name
+from quillon.operators.order import numbered
+
 
 def corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, length, content, modificationTime) of all files below root that fit the pattern."""
@@ -14,11 +17,9 @@ def corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 def listing(files: DataFrame, root: str, path: str = "path") -> DataFrame:
     """docid (five digits) by the case-folded relative path, and the path. Listings are names only, far
     smaller than the corpus; still they are numbered by range partitions, not in one task."""
-    from quillon.plans.windows import _numbered
-
     rel = F.substring_index(F.col(path), root.rstrip("/") + "/", -1)
     rows = files.select(rel.alias("rel"), F.lower(rel).alias("_k"))
-    return _numbered(rows, ["_k", "rel"], "n").select(F.lpad(F.col("n").cast("string"), 5, "0").alias("docid"), "rel")
+    return numbered(rows, ["_k", "rel"], "n").select(F.lpad(F.col("n").cast("string"), 5, "0").alias("docid"), "rel")
 
 
 def strict(text: Column, fields: tuple[str, ...]) -> Column:
@@ -29,8 +30,6 @@ def strict(text: Column, fields: tuple[str, ...]) -> Column:
 
 
 def binary_name(number: Column, ext: Column) -> Column:
-    from quillon.functions.scalars import pad_hex_name
-
     return pad_hex_name(number, ext)
 
 
