@@ -161,3 +161,25 @@ def test_changed_pages_uncovered(spark):
     index = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 0), (1, 0, 1, 1)], "doc_id int, section int, para int, page int")
     t = spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id int, section int, para int")
     assert {r[0]: r[1] for r in search.changed_pages(t, index).collect()} == {1: [0, 1], 2: None}
+
+
+def test_binary_records(spark):
+    import struct
+
+    from quillon.sources import records
+
+    good = struct.pack("<II", 1, 8) + struct.pack("<II", 2, 12) + b"abcd"
+    assert list(records.records(good)) == [(0, 1, 8, None), (1, 2, 12, None)]
+    assert list(records.records(good + b"xx"))[-1] == (2, None, 2, "truncated header")
+    assert list(records.records(struct.pack("<II", 1, 4))) == [(0, 1, 4, "bad size")]
+    assert list(records.records(None)) == []
+    df = spark.createDataFrame([(1, bytearray(good)), (2, None)], "k long, b binary")
+    assert [r["type"] for r in records.decode(df, "k", "b").orderBy("ordinal").collect()] == [1, 2]
+
+
+def test_pluggable_sink(spark, tmp_path):
+    from quillon.sources.datasource import LinesSource
+
+    spark.dataSource.register(LinesSource)
+    spark.range(5).coalesce(2).write.format("quillon_lines").option("path", str(tmp_path)).mode("append").save()
+    assert spark.read.json(str(tmp_path)).count() == 5
