@@ -24,7 +24,7 @@ CENTROIDS = 4
 #: Most labelled texts of a language that the centroids are fitted on, and most languages.
 SAMPLE, LANGUAGES = 300, 256
 #: A text is rejected below this share of the cosine that its language's texts reach at its length.
-SHARE = 0.35
+SHARE = 0.2
 #: Letters count runs of other bytes (digits, punctuation) as one space.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
