@@ -196,11 +196,12 @@ def _needed(a, b, percent: int):
 
 
 def _fits(percent: int):
-    """Whether the sizes and the places of a shared n-gram (from 0) in both prefixes allow a link."""
+    """Whether the sizes and the places of a shared n-gram (from 0) in both prefixes allow a link, if it
+    is the first that the two share: all others then stand after it in both. A pair that links passes
+    with its first one, whatever becomes of its later ones."""
     least = _needed(F.col("x.n"), F.col("y.n"), percent)
-    small = F.least(F.col("x.n"), F.col("y.n"))
-    # what stands before the shared n-gram in one set can't also be later in the other
-    return (small * 100 >= F.greatest(F.col("x.n"), F.col("y.n")) * percent) & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least(F.col("x.pos"), F.col("y.pos")) >= least)
+    small, large = F.least(F.col("x.n"), F.col("y.n")), F.greatest(F.col("x.n"), F.col("y.n"))
+    return (small * 100 >= large * percent) & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= least)
 
 
 def _bounded(pairs: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
@@ -265,11 +266,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     comp = components(links, "ngram-cc")
 
     # members outside their leader's component against all others of the n-gram
-    crowd = met.filter("many > 2").select("g", "x", F.col("y.sig").alias("lead"))
-    of = comp.select(F.col("node"), "comp")
-    crowd = crowd.join(of.select(F.col("node").alias("lead"), F.col("comp").alias("lead_comp")), "lead", "left")
-    crowd = crowd.withColumn("sig", F.col("x.sig")).join(of.withColumnRenamed("node", "sig"), "sig", "left")
-    crowd = crowd.select("g", "x", F.coalesce("comp", "sig").alias("c"), F.coalesce("lead_comp", "lead").alias("lc"), (F.col("sig") == F.col("lead")).alias("is_lead"))
+    of = comp.select("node", "comp")
+    heads = met.filter("many > 2").select("g", F.col("y.sig").alias("lead")).distinct().join(of.select(F.col("node").alias("lead"), F.col("comp").alias("lead_comp")), "lead", "left")
+    heads = heads.select("g", "lead", F.coalesce("lead_comp", "lead").alias("lc"))
+    crowd = met.filter("many > 2").select("g", "x", F.col("x.sig").alias("sig")).join(of.withColumnRenamed("node", "sig"), "sig", "left").join(heads, "g")
+    crowd = crowd.select("g", "x", F.coalesce("comp", "sig").alias("c"), "lc", (F.col("sig") == F.col("lead")).alias("is_lead"))
     crowd = materialize(crowd, "ngram-crowd")
     minor = crowd.filter("c <> lc").select("g", "x", "c").alias("l")
     other = crowd.filter("NOT is_lead").select("g", F.col("x").alias("y"), F.col("c").alias("d"), (F.col("c") == F.col("lc")).alias("major")).alias("r")

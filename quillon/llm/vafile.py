@@ -73,8 +73,7 @@ def search_block(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarra
 
 
 def _group(k: int):
-    def run(left, right):
-        q, c = pa.Table.from_batches(list(left)) if not isinstance(left, pa.Table) else left, pa.Table.from_batches(list(right)) if not isinstance(right, pa.Table) else right
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
         if not q.num_rows or not c.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         a, b, s, _ = search_block(q["id"].to_numpy(), _ints(q["v"].combine_chunks()), c["id"].to_numpy(), _ints(c["v"].combine_chunks()), k)
