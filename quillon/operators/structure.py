@@ -60,18 +60,25 @@ def clause_rows(lines: list[str]) -> list[tuple[int, int | None, str]]:
     return out
 
 
-def clauses(paras: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """clause_rows() for each document: acceptance changes what is open, so it is a fold in order."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("para")
-        got = clause_rows(pdf["text"].fillna("").tolist())
-        at = pdf["para"].tolist()
-        return pd.DataFrame({id_col: pdf[id_col], "para": pdf["para"], "level": [g[0] for g in got], "parent": pd.array([None if g[1] is None else at[g[1]] for g in got], dtype="Int32"), "kind": [g[2] for g in got]})
-
-    kind = paras.schema[id_col].dataType.simpleString()
-    return paras.select(id_col, "para", "text").groupBy(id_col).applyInPandas(fold, f"{id_col} {kind}, para int, level int, parent int, kind string")
+def clauses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """clause_rows() of each text: acceptance changes what is open, so it is a fold over lines in order.
+    A text is one row already, so nothing is shuffled; null texts have no lines."""
+    import pyarrow as pa
+
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            at, out = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if text is not None:
+                    got = clause_rows(text.split("\n"))
+                    out += [(n, *g) for n, g in enumerate(got)]
+                    at += [i] * len(got)
+            para, level, parent, what = zip(*out) if out else ([],) * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(para, pa.int32()), pa.array(level, pa.int32()), pa.array(parent, pa.int32()), pa.array(what, pa.string())], [id_col, "para", "level", "parent", "kind"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, para int, level int, parent int, kind string")
 
 
 def structure_mode(explicit: Column, clause: Column, numbers: Column) -> Column:

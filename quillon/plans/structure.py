@@ -25,14 +25,17 @@ def outline(spark, sf):
     SELECT doc_id, para, CASE WHEN regexp_matches(t, '^제([0-9]+)조(의[0-9]+)?') THEN 1 WHEN regexp_matches(t, '^([0-9]+)[.)] ') THEN 2 WHEN regexp_matches(t, '^([a-z])[.)] ') THEN 3 END AS level FROM m""",
 )
 def clause_markers(spark, sf):
-    return _marked(spark, sf).select("doc_id", "para", S.marker_level(F.col("text")).alias("level"))
+    return paragraphs(_marked(spark, sf)).select("doc_id", "para", S.marker_level(F.col("text")).alias("level"))
+
+
+def _head(i):
+    """The marker that line i gets."""
+    k = i % 4
+    return F.when(k == 0, F.concat(F.lit("제"), (i + 1).cast("string"), F.lit("조 "))).when(k == 1, "1. ").when(k == 2, "a) ").otherwise("")
 
 
 def _marked(spark, sf):
-    p = paragraphs(load(spark, sf, "documents"))
-    k = F.col("para") % 4
-    head = F.when(k == 0, F.concat(F.lit("제"), (F.col("para") + 1).cast("string"), F.lit("조 "))).when(k == 1, "1. ").when(k == 2, "a) ").otherwise("")
-    return p.withColumn("text", F.concat(head, F.col("text")))
+    return load(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(_head(i), x)), "\n").alias("text"))
 
 
 @query(
