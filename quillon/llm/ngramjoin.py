@@ -26,10 +26,12 @@ from quillon.llm import textkernel as K
 from quillon.llm.graph import components
 from quillon.llm.runtime import discard, materialize, session, steps, table, text_parts
 
-#: An n-gram counts as frequent if the partitions in which it stands in LOCAL texts or more
-#: add up to FREQUENT; at most KEPT of them are told to all executors (8 bytes each). Any
-#: choice gives the same links: it only moves n-grams to the end of the global order.
-LOCAL, FREQUENT, KEPT = 3, 24, 1 << 19
+#: An n-gram that stands in FREQUENT texts or more is frequent; the KEPT most frequent are told to all
+#: executors (4 MB), by the upper half of their hash. Any choice gives the same links: it only moves
+#: n-grams to the end of the global order.
+FREQUENT, KEPT = 10, 1 << 20
+#: Ranges of hashes by which texts per n-gram are counted, and n-grams that a task holds at a time.
+BUCKETS, HELD = 1024, 4_000_000
 #: Bits of the filters by which executors pick n-grams that stand in more prefixes than one, and
 #: texts that have candidates: 2 MB at any size of the input. Beyond it more passes than need to.
 FILTER_BITS = 1 << 24
@@ -49,37 +51,56 @@ def _sets(batch: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield lo, [np.unique(sh[sf[i] : sf[i + 1]]) for i in range(hi - lo)]
 
 
-def _count_frequent(k: int):
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[cut], np.add.reduceat(counts.astype(np.uint32), cut) if len(cut) else counts
+
+
+def _count_texts(k: int):
+    """(bucket, keys, counts): in how many of a task's texts each n-gram stands (255 at most), packed by range of hash."""
+
     def run(batches):
+        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
         held: list[np.ndarray] = []
         size = 0
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def fold(keys, counts, held):
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            few = c >= 2  # seen once in a stretch of texts: too rare to matter for the order
-            u, c = u[few], c[few]
-            both = np.concatenate([keys, u])
-            u2, inverse = np.unique(both, return_inverse=True)
-            return u2, np.bincount(inverse, weights=np.concatenate([counts, c]), minlength=len(u2)).astype(np.int64)
+        def fold():
+            new = np.concatenate(held) if held else np.zeros(0, np.uint32)
+            u, c = _summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.uint8)]))
+            return u, np.minimum(c, 255).astype(np.uint8)
+
+        def rows():
+            cut = np.searchsorted(keys, np.arange(BUCKETS + 1, dtype=np.uint64) * (2**32 // BUCKETS))
+            some = [b for b in range(BUCKETS) if cut[b + 1] > cut[b]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()), pa.array([counts[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], ["b", "keys", "counts"])
 
         for b in batches:
             for _, sets in _sets(b.column(0), k):
-                held += sets
+                held += [(s >> np.uint64(32)).astype(np.uint32) for s in sets]
                 size += sum(map(len, sets))
-                if size > 500_000:
-                    keys, counts = fold(keys, counts, held)
+                if size > HELD // 4:
+                    keys, counts = fold()
                     held, size = [], 0
-        if held:
-            keys, counts = fold(keys, counts, held)
-        keep = counts >= LOCAL
-        keys, counts = keys[keep].view(np.int64), counts[keep]
-        for i in range(0, len(keys), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 65536]), pa.array(counts[i : i + 65536])], ["g", "n"])
+                    if len(keys) > HELD:
+                        yield from rows()
+                        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        keys, counts = fold()
+        yield from rows()
 
     return run
 
 
+def _frequent(group: pa.Table) -> pa.Table:
+    """The frequent n-grams of one range of hashes."""
+    join = lambda c, t: np.frombuffer(b"".join(group[c].to_pylist()), t)
+    keys, n = _summed(join("keys", np.uint32), join("counts", np.uint8))
+    hot = n >= FREQUENT
+    return pa.table({"g": pa.array(keys[hot].astype(np.int64)), "n": pa.array(n[hot].astype(np.int64))})
+
+
 def _prefixes(k: int, percent: int, shared):
     def run(batches):
         frequent = shared.value
@@ -94,8 +115,9 @@ def _prefixes(k: int, percent: int, shared):
                     if not len(s):
                         continue
                     sig[i] = xxhash.xxh3_128_digest(s.tobytes())
-                    at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
-                    hot = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
+                    upper = (s >> np.uint64(32)).astype(np.uint32)
+                    at = np.minimum(np.searchsorted(frequent, upper), max(len(frequent) - 1, 0))
+                    hot = frequent[at] == upper if len(frequent) else np.zeros(len(s), bool)
                     cold[i] = len(s) - int(hot.sum())
                     r = RANGE_BITS[len(s) >= LARGE]
                     cuts[i] = np.bincount((s >> np.uint64(64 - r)).astype(np.int64), minlength=1 << r).astype(np.int32)
@@ -221,7 +243,7 @@ def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, k: int, p
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
     bits = spark.sparkContext.broadcast(_filter_of(ids, _sig_columns(F.col("sig"))))
     frags = texts.mapInArrow(_fragments(k, bits, FRAGMENTS), "sig binary, frag int, grams array<long>")
-    once = frags.join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi").groupBy("sig", "frag").agg(F.max("grams").alias("grams"))
+    once = frags.groupBy("sig", "frag").agg(F.max("grams").alias("grams"))
     once = materialize(once, "ngram-sets")
     cut = pairs.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = once.select(F.col("sig").alias("a"), "frag", F.col("grams").alias("ga"))
@@ -243,9 +265,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = session(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    frequent = texts.mapInArrow(_count_frequent(k), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    frequent = texts.mapInArrow(_count_texts(k), "b int, keys binary, counts binary").groupBy("b").applyInArrow(_frequent, "g long, n long")
     top = frequent.orderBy(F.desc("n"), "g").limit(KEPT).select("g").toArrow()["g"].to_numpy()
-    shared = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
+    shared = spark.sparkContext.broadcast(np.sort(top.astype(np.uint32)))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(rows.mapInArrow(_prefixes(k, percent, shared), f"doc_id {kind}, sig binary, n long, cold long, prefix array<long>, cuts array<int>"), "ngram-rows")
