@@ -32,7 +32,7 @@ _ODD_SPACES = re.compile("[\x1c-\x1f]")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}\p{White_Space}]+|[\x1c-\x1f]+")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: Chunks of text whose ids one Python worker keeps, in each of two generations.
-_KEPT = 250_000
+_KEPT = 100_000
 
 
 def byte_letters() -> dict[int, str]:

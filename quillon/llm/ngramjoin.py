@@ -31,7 +31,7 @@ from quillon.llm.runtime import discard, materialize, session, steps, table, tex
 #: n-grams to the end of the global order.
 FREQUENT, KEPT = 10, 1 << 20
 #: Ranges of hashes by which texts per n-gram are counted, and n-grams that a task holds at a time.
-BUCKETS, HELD = 1024, 4_000_000
+BUCKETS, HELD = 1024, 2_000_000
 #: Bits of the filters by which executors pick n-grams that stand in more prefixes than one, and
 #: texts that have candidates: 2 MB at any size of the input. Beyond it more passes than need to.
 FILTER_BITS = 1 << 24
