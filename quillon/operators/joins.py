@@ -52,8 +52,19 @@ def _sequences(left: DataFrame, right: DataFrame, by: str, order: str, token: st
 
 
 def align_lists(a: list, b: list, most: int = 4_000_000) -> list[tuple[str, int | None, int | None]]:
-    """(kind, place in a, place in b): same, removed or added. Above most pairs of places the two are
-    compared place by place, which is linear."""
+    """(kind, place in a, place in b): same, removed or added. Above most pairs of places equal ends are
+    set aside first; what still is above is compared place by place, which is linear."""
+    if len(a) * len(b) > most:
+        n, lo, end = min(len(a), len(b)), 0, 0
+        while lo < n and a[lo] == b[lo]:
+            lo += 1
+        while end < n - lo and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
+            end += 1
+        if lo or end:
+            move = lambda i, by: None if i is None else i + by
+            core = align_lists(a[lo : len(a) - end], b[lo : len(b) - end], most)
+            ends = [("same", len(a) - k, len(b) - k) for k in range(end, 0, -1)]
+            return [("same", i, i) for i in range(lo)] + [(k, move(i, lo), move(j, lo)) for k, i, j in core] + ends
     if len(a) * len(b) <= most:
         blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
     else:
