@@ -5,7 +5,8 @@ adverts, forms and the like about nothing. One linear scan (Kadane's) finds the
 with the highest sum. Weights are log-odds from labelled pages - those that mark their own article
 - so a tag that stands mostly outside articles costs more, and a word in a link less.
 
-The region's text is put together from whole blocks, without the elements that don't belong to it.
+The region decides where the text starts and ends. It is widened to whole blocks, and to the ends of
+the article elements it has words of; its text leaves out the elements that don't belong to it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -169,22 +171,19 @@ def region(toks, weights: dict[str, float]) -> tuple[int, int]:
     return lo, hi
 
 
-def _snapped(toks, lo: int, hi: int) -> tuple[int, int]:
-    """The element marked as article that holds most of the region's words, if one does; else the region out to whole blocks."""
+def _widened(toks, lo: int, hi: int) -> tuple[int, int]:
+    """The region out to whole blocks and to the ends of every article element that it has words of."""
     stack, spans = [], []
     for i, (kind, value, aside) in enumerate(toks):
-        if value in MAIN and kind != "t" and not aside:
+        if value == "article" and kind != "t" and not aside:
             if kind == "<":
                 stack.append(i)
             elif stack:
                 spans.append((stack.pop(), i + 1))
     spans += [(i, len(toks)) for i in stack]
-    words = lambda a, z: sum(len(v.split()) for k, v, f in toks[a:z] if k == "t" and not f)
-    whole = words(lo, hi)
-    fits = [(z - a, a, z) for a, z in spans if 2 * words(max(a, lo), min(z, hi)) > whole]
-    if fits:
-        _, a, z = min(fits)
-        return a, z
+    words = list(accumulate((k == "t" and not f and not v.isspace() for k, v, f in toks), initial=0))
+    touched = [(a, z) for a, z in spans if max(a, lo) < min(z, hi) and words[min(z, hi)] > words[max(a, lo)]]
+    lo, hi = min([lo, *(a for a, _ in touched)]), max([hi, *(z for _, z in touched)])
     is_edge = lambda t: t[0] != "t" and t[1] in BLOCKS
     while lo > 0 and not is_edge(toks[lo - 1]):
         lo -= 1
@@ -198,7 +197,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
     lo, hi = region(toks, weights)
     if lo >= hi:
         return ""
-    lo, hi = _snapped(toks, lo, hi)
+    lo, hi = _widened(toks, lo, hi)
     blocks: list[list[str]] = [[]]
     for kind, value, aside in toks[lo:hi]:
         if kind != "t":
