@@ -6,9 +6,9 @@ into step, so edit distance becomes Hamming distance. Windows of an item's size
 several times with different bits, a few places of each embedding make a bucket key, and a window
 that shares a key with its item is verified by the exact edit distance.
 
-Windows are laid at words: at each place where a text and an item share three words in a row, or
-two or one long enough, the window starts as far before it as the item does. While a passage has fewer
-than a third of its words changed, such a place remains.
+Windows are laid at anchors, stretches that a text and an item share: bytes in a row, whatever the
+words are, where enough of them stand about as far apart in both; and three words in a row, or two
+or one long enough. Both strings are embedded from the anchor on, so they start in step.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from quillon.llm import textkernel as K
 from quillon.llm.runtime import session, steps, table, text_parts
 
-#: Words in a row that lay a window, and the fewest bytes they must span.
+#: Bytes in a row of an anchor; how far shifts of anchors of one passage may differ (a power of two); and
+#: bytes of an item for which one anchor is asked for, of at least two (one in short items) and MOST at most.
+GRAM, BAND, EVERY, SHORT, MOST = 8, 32, 20, 40, 12
+#: Words in a row that are an anchor by themselves, and the fewest bytes they must span.
 SEEDS = ((3, 0), (2, 9), (1, 14))
 #: Embeddings, bucket keys of each, and places in a key: two strings whose embeddings agree in a
 #: share p of their places meet with probability 1 - (1 - p**PLACES)**(WALKS * KEYS).
@@ -121,98 +124,169 @@ def best_place(item: bytes, text: bytes, most: int | None = None) -> tuple[int,
 
 
 class Items:
-    """A block of benchmark items: bytes, seeds by hash and bucket keys."""
+    """A block of benchmark items: bytes, and their anchors by hash."""
 
     def __init__(self, ids: list, texts: list[str]):
         self.ids, self.bytes = ids, [squeeze(t).encode() for t in texts]
-        keys, refs = [], []
-        self.places = sample_places()
+        keys, refs, grams, at = [], [], [], []
+        self.places, self.profiles = sample_places(), {}
         for i, t in enumerate(self.bytes):
             buf = np.frombuffer(t, np.uint8)
+            g = _grams(buf)
+            grams.append(g)
+            at.append(np.stack([np.full(len(g), i), np.arange(len(g))], 1))
             s, e, f = K.word_spans(buf, np.array([0, len(buf)]))
             if not len(s):
                 continue
             words = K.word_hashes(buf, s, e)
             for k, span in SEEDS:
                 h, _ = K.shingles(words, f, k, short=False)
-                for at in np.flatnonzero(e[k - 1 :] - s[: len(s) - k + 1] >= span) if len(h) else ():
-                    keys.append(h[at])
-                    refs.append((i, at))
-        self.keys = np.array(keys, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.refs = self.keys[order], np.array(refs, np.int64).reshape(-1, 2)[order]
+                for w in np.flatnonzero(e[k - 1 :] - s[: len(s) - k + 1] >= span) if len(h) else ():
+                    keys.append(h[w])
+                    refs.append((i, s[w]))
+        self.words = _Index(np.array(keys, np.uint64), np.array(refs, np.int64).reshape(-1, 2))
+        self.grams = _Index(np.concatenate([np.zeros(0, np.uint64), *grams]), np.concatenate([np.zeros((0, 2), np.int64), *at]))
+        self.lengths = np.array([len(t) for t in self.bytes], np.int64)
+        self.least = np.clip((self.lengths - GRAM + 1) // EVERY, np.where(self.lengths < SHORT, 1, 2), MOST)
+
+
+    def profile(self, i: int) -> np.ndarray:
+        if i not in self.profiles:
+            if len(self.profiles) >= 1024:
+                self.profiles.clear()
+            self.profiles[i] = _profile(np.frombuffer(self.bytes[i], np.uint8))
+        return self.profiles[i]
+
+
+def _profile(buf: np.ndarray) -> np.ndarray:
+    """Runs of three bytes by hash; what two share counts as many or more here."""
+    x = buf.astype(np.int64)
+    return np.bincount((x[:-2] * 961 + x[1:-1] * 31 + x[2:]) & 4095, minlength=4096)
+
+
+def _grams(buf: np.ndarray) -> np.ndarray:
+    """Each GRAM bytes in a row, mixed."""
+    x = buf.astype(np.uint64)
+    for k in (1, 2, 4):
+        x = x[:-k] << np.uint64(8 * k) | x[k:] if len(x) > k else x[:0]
+    return K.mix(x)
+
+
+class _Index:
+    """(item, place) by hash."""
+
+    def __init__(self, keys: np.ndarray, refs: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.refs = refs[order]
+        self.keys, self.first = np.unique(keys[order], return_index=True)
+        self.many = np.diff(np.append(self.first, len(keys)))
         self.bits = np.zeros(1 << _SEED_BITS, bool)
         self.bits[(self.keys & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)] = True
-        width = max([1, *map(len, self.bytes)])
-        rows = np.zeros((len(self.bytes), width), np.uint8)
-        for i, t in enumerate(self.bytes):
-            rows[i, : len(t)] = np.frombuffer(t, np.uint8)
-        self.lengths = np.array([len(t) for t in self.bytes], np.int64)
-        self.buckets = embed(rows, self.lengths, self.places) if len(self.bytes) else np.zeros((0, WALKS * KEYS), np.uint64)
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in h, refs) of all agreements."""
+        maybe = np.flatnonzero(self.bits[(h & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)])
+        if not len(maybe):
+            return maybe, np.zeros((0, 2), np.int64)
+        k = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+        same = self.keys[k] == h[maybe]
+        maybe, k = maybe[same], k[same]
+        many = self.many[k]
+        begin = np.repeat(self.first[k] - np.cumsum(many) + many, many)
+        return np.repeat(maybe, many), self.refs[begin + np.arange(len(begin))]
+
+
+def _anchors(doc: np.ndarray, place: np.ndarray, ref: np.ndarray, items: Items) -> set[tuple[int, int, int, int]]:
+    """(text, item, place in the text, place in the item): up to three for each item and band of shifts with enough
+    shared bytes, the first in the item and those past a quarter and a half of it."""
+    shift = place - ref[:, 1] + (int(items.lengths.max()) // BAND + 2) * BAND
+    key = (doc * len(items.ids) + ref[:, 0]) << 32 | shift // BAND
+    both = np.concatenate([key, key - 1])  # bands overlap by half
+    order = np.argsort(both)
+    both = both[order]
+    cut = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    size = np.diff(np.append(cut, len(both)))
+    enough = size >= items.least[(both[cut] >> 32) % len(items.ids)]
+    out = set()
+    for lo, n in zip(cut[enough].tolist(), size[enough].tolist()):
+        hits = order[lo : lo + n] % len(key)
+        hits = hits[np.argsort(ref[hits, 1], kind="stable")]
+        at = ref[hits, 1]
+        m = int(items.lengths[ref[hits[0], 0]])
+        for j in {0, *np.searchsorted(at, (m // 4, m // 2)).tolist()} - {n}:
+            h = hits[j]
+            out.add((int(doc[h]), int(ref[h, 0]), int(place[h]), int(at[j])))
+    return out
 
-def _windows(col: pa.Array, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Seeded windows: (rows, items, squeezed stretches of text in which the window starts at 1/5 item)."""
+
+def _windows(col: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(row, item, first word, place in the stretch, place in the item, squeezed stretch of text) of each anchor."""
+    if not len(items.ids) or not items.lengths.max():
+        return
     for lo, hi in steps(col):
         buf, offsets = text_parts(col.slice(lo, hi - lo))
-        buf = K.LOWER[buf]
-        starts, ends, first = K.word_spans(buf, offsets)
-        if not len(items.keys):
+        if not len(buf):
             continue
+        space = K.SPACE[buf]
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        buf = np.where(space, np.uint8(32), K.LOWER[buf])[keep]
+        offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
+        starts, ends, first = K.word_spans(buf, offsets)
+        found = set()
+        pos, ref = items.grams.find(_grams(buf))
+        doc = np.searchsorted(offsets, pos, "right") - 1
+        within = pos + GRAM <= offsets[doc + 1]
+        pos, ref, doc = pos[within], ref[within], doc[within]
+        if len(pos):
+            found |= _anchors(doc, pos - offsets[doc], ref, items)
         words = K.word_hashes(buf, starts, ends)
-        trips = []
         for k, _ in SEEDS:
             h, sf = K.shingles(words, first, k, short=False)
-            maybe = np.flatnonzero(items.bits[(h & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)])
-            if not len(maybe):
-                continue
-            a, z = np.searchsorted(items.keys, h[maybe], "left"), np.searchsorted(items.keys, h[maybe], "right")
-            many = z - a
-            hit = np.repeat(maybe, many)
-            ref = items.refs[np.repeat(a - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))]
+            hit, ref = items.words.find(h)
             doc = np.searchsorted(sf, hit, "right") - 1
-            word = first[doc] + (hit - sf[doc])  # index of the seed's first word in the batch
-            trips.append(np.stack([doc, ref[:, 0], np.maximum(first[doc], word - ref[:, 1])], 1))
-        trip = np.unique(np.concatenate(trips), axis=0) if trips else np.zeros((0, 3), np.int64)
-        docs_, its, outs = [], [], []
-        for d, i, w in trip.tolist():
+            at = starts[first[doc] + hit - sf[doc]] - offsets[doc] if len(hit) else hit
+            if len(hit):
+                # one for each start of a window
+                _, one = np.unique(np.stack([doc, ref[:, 0], at - ref[:, 1]], 1), axis=0, return_index=True)
+                found.update(zip(doc[one].tolist(), ref[one, 0].tolist(), at[one].tolist(), ref[one, 1].tolist()))
+        for d, i, p, q in sorted(found):
             size = int(items.lengths[i])
             slack = size // 5
-            s0 = int(starts[w])
-            back = max(int(offsets[d]), s0 - slack - 16)
-            raw = bytes(buf[back:s0]).split()
-            before = b" ".join(raw)[-slack:] if slack else b""
-            # white space may be longer than one space: take words until the window is full
-            want, take = size + slack, size + slack + 64
-            while True:
-                stop = min(int(offsets[d + 1]), s0 + take)
-                after = b" ".join(bytes(buf[s0:stop]).split())
-                if len(after) >= want or stop == int(offsets[d + 1]):
-                    break
-                take *= 2
-            docs_.append(lo + d)
-            its.append((i, len(before) + (1 if before else 0), w - int(first[d])))
-            outs.append((before + b" " if before else b"") + after[:want])
-        yield np.array(docs_, np.int64), np.array(its, np.int64).reshape(-1, 3), outs
+            a, z = int(offsets[d]), int(offsets[d + 1])
+            begin = max(a, a + p - q - slack)
+            stretch = buf[begin : min(z, a + p - q + size + slack)]
+            # an edit spoils three of the item's runs of three bytes at most; the others stand in the stretch
+            if np.minimum(_profile(stretch), items.profile(i)).sum() < size - 2 - 3 * slack:
+                continue
+            w = int(np.searchsorted(starts, max(a, a + p - q), "right")) - 1 - int(first[d])
+            yield lo + d, i, max(0, w), a + p - begin, q, bytes(stretch)
 
 
 def _match(items_b, percent: int, embed_rows: int = 4096):
     def run(batches):
         items = items_b.value
         ids: list = []
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, int, bytes]] = []
+
+        def keys_of(strings, lengths):
+            rows = np.zeros((len(strings), max(1, *map(len, strings), 1)), np.uint8)
+            for r, t in enumerate(strings):
+                rows[r, : len(t)] = np.frombuffer(t, np.uint8)
+            return embed(rows, np.array(lengths, np.int64), items.places)
 
         def flush(kind):
             found: dict[tuple[int, int], tuple[int, int]] = {}
-            for a in range(0, len(held), embed_rows):
-                part = held[a : a + embed_rows]
-                windows = [t[skip : skip + int(items.lengths[i])] for _, i, skip, _, t in part]
-                rows = np.zeros((len(part), max(1, *map(len, windows), 1)), np.uint8)
-                for r, t in enumerate(windows):
-                    rows[r, : len(t)] = np.frombuffer(t, np.uint8)
-                keys = embed(rows, np.array([len(t) for t in windows], np.int64), items.places)
-                meet = (keys == items.buckets[[i for _, i, *_ in part]]).any(1)
-                for (d, i, _, w, t), ok in zip(part, meet.tolist(), strict=True):
+            held.sort(key=lambda x: int(items.lengths[x[1]]) - x[4])  # strings of a length are embedded together
+            for a in range(0, len(held), 1024):
+                part = held[a : a + 1024]
+                own = sorted({(i, q) for _, i, _, _, q, _ in part})
+                at = {x: j for j, x in enumerate(own)}
+                mine = keys_of([items.bytes[i][q:] for i, q in own], [int(items.lengths[i]) - q for i, q in own])
+                sizes = [int(items.lengths[i]) - q for _, i, _, _, q, _ in part]
+                keys = keys_of([t[p : p + n] for (*_, p, _, t), n in zip(part, sizes, strict=True)], sizes)
+                meet = (keys == mine[[at[i, q] for _, i, _, _, q, _ in part]]).any(1)
+                for (d, i, w, _, _, t), ok in zip(part, meet.tolist(), strict=True):
                     if not ok:
                         continue
                     most = (100 - percent) * int(items.lengths[i]) // 100
@@ -228,11 +302,12 @@ def _match(items_b, percent: int, embed_rows: int = 4096):
         kind = None
         for b in batches:
             kind = b.column(0).type
-            for docs_, its, outs in _windows(b.column(1), items):
-                for d in np.unique(docs_).tolist():
-                    own = np.flatnonzero(docs_ == d)
-                    held += [(len(ids), *its[j].tolist(), outs[j]) for j in own]
+            rows: dict[int, int] = {}
+            for d, *rest in _windows(b.column(1), items):
+                if d not in rows:
+                    rows[d] = len(ids)
                     ids.append(b.column(0)[d].as_py())
+                held.append((rows[d], *rest))
             if len(held) >= embed_rows:
                 yield flush(kind)
                 held.clear()
@@ -249,7 +324,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     space don't count. One row per row of docs and item, with the closest stretch (ties: the
     first); first_word is the word where its window starts.
 
-    Items of fewer than three words and null items match nothing; null and empty texts match
+    Items of fewer than three words and under GRAM bytes and null items match nothing; null and empty texts match
     nothing; equal items each match; repeated rows and null ids are kept; empty tables give no
     rows; other columns are ignored. Items are read in blocks of bounded size, so a benchmark
     of any size takes more passes, not more memory.

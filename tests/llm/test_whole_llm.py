@@ -2,7 +2,7 @@
 
 import random
 
-from quillon.llm import htmlmain
+from quillon.llm import decontam, htmlmain
 
 PAGES = ["<nav><a>x y</a></nav><article><p>a b c</p></article><footer>z</footer>"] * 5
 
@@ -20,3 +20,22 @@ def test_main_text_region_decides_bounds():
     # the ends of an article that the region leaves off are in the text; a far element that it doesn't touch isn't
     ends = f"{nav}<article><p>x</p>{'<i></i>' * 40}<p>one {words(30)}</p>{'<i></i>' * 40}<p>y</p></article>{'<ul><li></li></ul>' * 90}<section><p>far</p></section>{foot}"
     assert htmlmain.extract(ends, w) == f"x\none {words(30)}\ny"
+
+
+def test_decontamination_without_words_and_to_the_bound(spark):
+    rng = random.Random(2)
+    cjk = lambda n: "".join(chr(0x4E00 + rng.randrange(600)) for _ in range(n))
+    latin = lambda n: "".join(rng.choice("abcdefghiklmnoprstuw     ") for _ in range(n))
+    items = [cjk(rng.randrange(30, 90)) for _ in range(40)] + [latin(rng.randrange(60, 400)) for _ in range(60)]
+
+    def edited(text, rate, letter):
+        return "".join(c if rng.random() >= rate else rng.choice(("", letter(1), c + letter(1))) for c in text)
+
+    docs = [cjk(200) + edited(t, i % 3 * 0.06, cjk) + cjk(200) for i, t in enumerate(items[:40])]
+    docs += [latin(300) + " " + edited(t, rng.choice((0.1, 0.14, 0.18)), latin) + " " + latin(300) for t in items[40:]]
+    body = [decontam.squeeze(d).encode() for d in docs]
+    want = {(d, i): dist for d, t in enumerate(body) for i, x in enumerate(items) if (dist := decontam.best_place(b := decontam.squeeze(x).encode(), t)[0]) * 100 <= 20 * len(b)}
+    frame = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert len(want) > 80 and set(got) <= set(want) and len(got) >= 0.98 * len(want)
+    assert all(want[k] == d for k, d in got.items())
