@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of 4-word shingles at 85 percent the smallest doc_id stays, once; rows without an id stay."""
-    found = ngramjoin.ngram_components(docs)
+    """Of each component of 5-word shingles at 80 percent the smallest doc_id stays, once; rows without an id stay."""
+    found = ngramjoin.ngram_components(docs, k=5, percent=80)
     kept = found.filter("component_id = doc_id").select("doc_id").distinct()
     return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id is null"))
 

@@ -39,3 +39,13 @@ def test_decontamination_without_words_and_to_the_bound(spark):
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
     assert len(want) > 80 and set(got) <= set(want) and len(got) >= 0.98 * len(want)
     assert all(want[k] == d for k, d in got.items())
+
+
+def test_pipeline_drops_copies_at_five_words_and_80_percent(spark):
+    import corpus_pipeline as C
+
+    w = [f"w{i}" for i in range(100)]
+    # 96 five-word n-grams and 20 more: a Jaccard similarity of 96 / 116
+    rows = [(1, " ".join(w)), (2, " ".join(w + [f"x{i}" for i in range(20)])), (3, " ".join(w + [f"y{i}" for i in range(30)]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, "").collect()) == [1, 3]
