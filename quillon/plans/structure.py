@@ -141,7 +141,7 @@ def set_cell(spark, sf):
 @query("p21_control_gaps", "SELECT l_orderkey, CAST(sum(CASE WHEN gap > 1 THEN gap - 1 ELSE 0 END) AS BIGINT) AS hidden_controls FROM (SELECT l_orderkey, l_linenumber * 2 - lag(l_linenumber * 2) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS gap FROM lineitem) GROUP BY 1")
 def control_gaps(spark, sf):
     """Positions of inline controls show as gaps between neighbouring character offsets."""
-    x = load(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 2).alias("o"))
-    offs = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("o")).alias("o"))
-    gaps = F.zip_with(F.slice("o", 2, 1000), F.slice(F.col("o"), F.lit(1), F.size("o") - 1), lambda b, a: F.greatest(b - a - 1, F.lit(0)))
-    return offs.select("l_orderkey", F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g).alias("hidden_controls"))
+    o = F.col("l_linenumber") * 2
+    gap = o - F.lag(o).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    x = load(spark, sf, "lineitem").select("l_orderkey", gap.alias("gap"))
+    return x.groupBy("l_orderkey").agg(F.sum(F.when(F.col("gap") > 1, F.col("gap") - 1).otherwise(0)).cast("long").alias("hidden_controls"))

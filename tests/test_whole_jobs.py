@@ -24,3 +24,9 @@ def test_alignment_of_long_lists():
     assert [a[i] for _, i, _ in got if i is not None] == a and [b[5:][j] for _, _, j in got if j is not None] == b[5:]
     assert all(a[i] == b[5:][j] for k, i, j in got if k == "same")
     assert [k for k, *_ in joins.align_lists(a, a[1:], 20)] == ["removed"] + ["same"] * 39
+
+
+def test_control_gaps_of_a_long_order(spark, tmp_path):
+    rows = [(1, i, 0) for i in range(1500)] + [(2, 3, 0), (2, 9, 0), (2, 9, 1), (3, 1, 0)]
+    got = QUERIES["p21_control_gaps"](spark, folder(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_linenumber int, l_partkey long"))
+    assert {r[0]: r[1] for r in got.collect()} == {1: 1499, 2: 11, 3: 0}
