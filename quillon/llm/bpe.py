@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.runtime import session, table
+from quillon.llm.runtime import session, table, turn_to
 
 #: Stands for the end of a word in the automaton's keys.
 _STOP = "\x00"
@@ -31,8 +31,20 @@ _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}\p{White_Space}]+|[\x1c-\x1f]+")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-#: Chunks of text whose ids one Python worker keeps, in each of two generations.
-_KEPT = 100_000
+#: Most texts have letters below U+0250 only: their classes as plain sets, which re matches faster.
+_WIDE = re.compile("[^\x00-\u024f]")
+
+
+def _latin_pieces() -> re.Pattern:
+    of = lambda c: "".join(re.escape(x) for x in map(chr, range(0x250)) if regex.match(c, x))
+    letters, numbers = of(r"\p{L}"), of(r"\p{N}")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}\t-\r \x85\xa0\x1c-\x1f]+|[\x1c-\x1f]+")
+
+
+_LATIN_PIECES = _latin_pieces()
+#: Bytes of memory that one Python worker may hold for stretches between white space, for the pieces
+#: they consist of, and for pairs of tokens; and the longest key that is held.
+CHUNK_BYTES, PIECE_BYTES, PAIRS, LONGEST_KEY = 80 << 20, 96 << 20, 500_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -73,7 +85,8 @@ class Bpe:
         self.letters = {chr(b): c for b, c in byte_letters().items()}
         self.table = str.maketrans(self.letters)
         self.joined: dict[int, bool] = {}
-        self.cache = _Cache(self._chunk)
+        self.pieces = _Cache(self._piece, PIECE_BYTES)
+        self.cache = _Cache(self._chunk, CHUNK_BYTES)
 
     def _spine(self, t: int, side: int) -> list[tuple[int, float]]:
         """(token, rank at which it is joined to its parent) down one side of a token's merge tree."""
@@ -97,7 +110,7 @@ class Bpe:
                         break
                 if not known:
                     break
-            if len(self.joined) > 1_000_000:
+            if len(self.joined) > PAIRS:
                 self.joined.clear()
             self.joined[key] = known
         return known
@@ -133,39 +146,38 @@ class Bpe:
             at -= size[at]
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str, int]:
-        """Ids, tokens and count of a stretch without white space."""
-        if chunk.isascii():
-            pieces = _ASCII_PIECES.findall(chunk.lower())
-            whole = chunk
+    def _piece(self, piece: str) -> bytes:
+        return np.array(self.word(piece.encode().decode("latin-1").translate(self.table)), "<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a stretch without white space. Words with other marks around them share their pieces' ids."""
+        low = chunk.lower()
+        if low.isascii():
+            pieces = (low,) if low.isalpha() else _ASCII_PIECES.findall(low)
+        elif not _WIDE.search(low):
+            pieces = _LATIN_PIECES.findall(low)
         else:
-            whole = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            pieces = _PIECES.findall(whole)
-        ids: list[int] = []
-        for p in pieces:
-            ids += self.word(p.encode().decode("latin-1").translate(self.table))
-        return np.array(ids, "<u4").tobytes(), " ".join([self.tokens[i] for i in ids]), len(ids)
-
-    def encode(self, text: str) -> tuple[bytes, list[str], int]:
-        """Ids as little-endian 32-bit integers, the tokens of each stretch, and the number of ids."""
+            pieces = _PIECES.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         parts = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
-        ids, toks, n = [], [], 0
+        ids: list[bytes] = []
         for p in parts:
             if p in self.special:
-                i = self.special[p]
-                ids.append(np.array([i], "<u4").tobytes())
-                toks.append(p)
-                n += 1
-                continue
-            got = list(map(self.cache.__getitem__, _SPACES.split(p) if _ODD_SPACES.search(p) else p.split()))
-            ids += [g[0] for g in got]
-            toks += [g[1] for g in got if g[2]]
-            n += sum([g[2] for g in got])
-        return b"".join(ids), toks, n
+                ids.append(np.array([self.special[p]], "<u4").tobytes())
+            else:
+                ids += map(self.cache.__getitem__, _SPACES.split(p) if _ODD_SPACES.search(p) else p.split())
+        return b"".join(ids)
 
     def decode(self, ids: bytes) -> str:
-        """The tokens with spaces between them, as these files have no decoder of their own."""
-        return " ".join([self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist() if i in self.tokens])
+        """The tokens with spaces between them, as these files have no decoder of their own; unknown ids have none."""
+        found = np.frombuffer(ids, "<u4").tolist()
+        try:
+            return " ".join(map(self.tokens.__getitem__, found))
+        except KeyError:
+            return " ".join([self.tokens[i] for i in found if i in self.tokens])
 
     def text(self, ids: bytes) -> str:
         """Readable text: byte letters turned back, a space after each word's end."""
@@ -182,21 +194,26 @@ class Bpe:
 
 
 class _Cache(dict):
-    """Makes what is missing; holds two generations of a fixed number of entries."""
+    """Makes what is missing; two generations of half the bytes each, so what is still asked for stays."""
+
+    #: What a string, a bytes object and their place in a dictionary take besides their content.
+    EACH = 200
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old, self.held = make, most, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= _KEPT:
+        if len(key) <= LONGEST_KEY:
+            if self.held >= self.most // 2:
                 self.old = dict(self)
                 self.clear()
+                self.held = 0
             self[key] = value
+            self.held += self.EACH + 2 * len(key) + len(value)
         return value
 
 
@@ -207,17 +224,17 @@ def encoder(path: str) -> Bpe:
 
 def _encode(path: str, keep: bool):
     def run(batches):
+        turn_to("bpe", encoder.cache_clear)
         bpe = encoder(path)
         for b in batches:
             n, ids_hex, text_hex, ids = [], [], [], []
-            for t in b.column(1).to_pylist():
-                raw, toks, count = bpe.encode(t or "")
-                n.append(count)
+            for t in b.column(1):
+                raw = bpe.encode(t.as_py() or "")
+                n.append(len(raw) // 4)
                 ids_hex.append(hashlib.sha256(raw).hexdigest())
+                text_hex.append(hashlib.sha256(bpe.decode(raw).encode()).hexdigest())
                 if keep:
                     ids.append(raw)
-                # joined stretches are what decode(raw) gives
-                text_hex.append(hashlib.sha256(" ".join(toks).encode()).hexdigest())
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep:
@@ -251,6 +268,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
 def _decode(path: str):
     def run(batches):
+        turn_to("bpe", encoder.cache_clear)
         bpe = encoder(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.text(np.array(x or [], "<u4").tobytes()) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textkernel as K
-from quillon.llm.runtime import session, steps, table, text_parts
+from quillon.llm.runtime import session, steps, table, text_parts, turn_to
 
 #: Bytes in a row of an anchor; how far shifts of anchors of one passage may differ (a power of two); and
 #: bytes of an item for which one anchor is asked for, of at least two (one in short items) and MOST at most.
@@ -265,6 +265,7 @@ def _windows(col: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int,
 
 def _match(items_b, percent: int, embed_rows: int = 4096):
     def run(batches):
+        turn_to("decontam")
         items = items_b.value
         ids: list = []
         held: list[tuple[int, int, int, int, int, bytes]] = []

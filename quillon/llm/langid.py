@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import textkernel as K
-from quillon.llm.runtime import session, steps, table, text_parts
+from quillon.llm.runtime import session, steps, table, text_parts, turn_to
 
 DIMS = 4096
 CENTROIDS = 4
@@ -136,6 +136,7 @@ class Model:
 
 def _predict(model_b):
     def run(batches):
+        turn_to("langid")
         m = model_b.value
         for b in batches:
             n = b.num_rows
@@ -191,6 +192,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def _accept(model_b, text_at: int, lang_at: int | None):
     def run(batches):
+        turn_to("langid")
         for b in batches:
             probe = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), pa.array([False] * b.num_rows), b.column(text_at)], ["rid", "held_out", "text"])
             got = next(iter(_predict(model_b)(iter([probe]))))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import textkernel as K
 from quillon.llm.graph import components
-from quillon.llm.runtime import discard, materialize, session, steps, table, text_parts
+from quillon.llm.runtime import discard, materialize, session, steps, table, text_parts, turn_to
 
 #: An n-gram that stands in FREQUENT texts or more is frequent; the KEPT most frequent are told to all
 #: executors (4 MB), by the upper half of their hash. Any choice gives the same links: it only moves
@@ -63,6 +63,7 @@ def _count_texts(k: int):
     """(bucket, keys, counts): in how many of a task's texts each n-gram stands (255 at most), packed by range of hash."""
 
     def run(batches):
+        turn_to("ngramjoin")
         keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
         held: list[np.ndarray] = []
         size = 0
@@ -103,6 +104,7 @@ def _frequent(group: pa.Table) -> pa.Table:
 
 def _prefixes(k: int, percent: int, shared):
     def run(batches):
+        turn_to("ngramjoin")
         frequent = shared.value
         for b in batches:
             n = b.num_rows
@@ -170,6 +172,7 @@ def _posts(shared):
     """(sig, n, cold, pos, g): the places of prefix n-grams that may stand in other prefixes too."""
 
     def run(batches):
+        turn_to("ngramjoin")
         bits = shared.value
         for b in batches:
             lists = b.column(3)
@@ -188,6 +191,7 @@ def _fragments(k: int, shared, count: int):
     """(sig, frag, grams) of texts whose class may have candidates; each fragment is a range of hashes."""
 
     def run(batches):
+        turn_to("ngramjoin")
         bits = shared.value
         for b in batches:
             sigs, frags, values, lengths = [], [], [], [0]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.runtime import session, table
+from quillon.llm.runtime import session, table, turn_to
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 #: Scores before context, and the words within CONTEXT characters that raise them.
@@ -186,6 +186,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
 
 def _rewrite(text_at: int, chars_at: int | None):
     def run(batches):
+        turn_to("pii")
         for b in batches:
             texts = [t if t is None else redacted(t, spans(t)) for t in b.column(text_at).to_pylist()]
             b = b.set_column(text_at, b.schema.field(text_at).name, pa.array(texts, b.schema.field(text_at).type))

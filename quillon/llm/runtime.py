@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -74,6 +74,19 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What operators hold in a Python worker between its tasks, and how to drop it. Workers live on from stage to
+#: stage: one that turns to another operator gives back what the last one held.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def turn_to(operator: str, drop: Callable[[], None] | None = None) -> None:
+    """Says in a worker that a task of operator starts."""
+    for other in [o for o in _held if o != operator]:
+        _held.pop(other)()
+    if drop is not None:
+        _held[operator] = drop
+
+
 def text_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its offsets; nulls count as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -58,9 +58,9 @@ def test_bpe_is_exact():
     texts += ["".join(rng.choice("abcdehinorst  '.,!1Éß") for _ in range(rng.randrange(80))) for _ in range(400)]
     for text in texts:
         want = t.encode(text, add_special_tokens=False)
-        raw, toks, n = b.encode(text)
-        assert np.frombuffer(raw, "<u4").tolist() == want.ids and n == len(want.ids)
-        assert " ".join(toks) == b.decode(raw) == t.decode(want.ids, skip_special_tokens=False)
+        raw = b.encode(text)
+        assert np.frombuffer(raw, "<u4").tolist() == want.ids
+        assert b.decode(raw) == t.decode(want.ids, skip_special_tokens=False)
 
 
 def test_pii_is_what_the_patterns_say():
