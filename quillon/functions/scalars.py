@@ -46,10 +46,10 @@ def int_or(text: Column, pattern: str, default: int = -1) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    parts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
-    return F.aggregate(parts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+    n = F.length(text)
+    # a character's count is what the text loses without it
+    parts = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c == "", 0.0).otherwise((n - F.length(F.replace(text, c, F.lit("")))) / n))
+    return F.aggregate(parts, F.lit(0.0), lambda s, p: F.when(p > 0, s - p * F.log2(p)).otherwise(s))
 
 
 def pad_hex_name(number: Column, ext: Column) -> Column:

@@ -37,10 +37,11 @@ def sweep(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str
 
     long = lambda d: d.select(*keys, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(keys, fields, "path", "value")
     j = long(before).withColumnRenamed("value", "x").join(long(after).withColumnRenamed("value", "y"), [*keys, "path"]).filter(~F.col("x").eqNullSafe(F.col("y")))
-    total = j.groupBy("path").agg(F.count("*").alias("n"))
-    first = j.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(*keys))).filter(F.col("k") <= examples)
-    some = first.groupBy("path").agg(F.array_sort(F.collect_list(keys[0])).alias("examples"))
-    return total.join(some, "path")
+    # by hash parts of each path first, so a frequent path isn't one task's; each part keeps its first keys
+    part = j.withColumn("_h", F.pmod(F.xxhash64(*keys), F.lit(64))).withColumn("k", F.row_number().over(Window.partitionBy("path", "_h").orderBy(*keys)))
+    few = part.groupBy("path", "_h").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("k") <= examples, F.struct(*keys))).alias("e"))
+    all_ = few.groupBy("path").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    return all_.select("path", "n", F.array_sort(F.transform(F.slice("e", 1, examples), lambda x: x[keys[0]])).alias("examples"))
 
 
 def identical(a: DataFrame, b: DataFrame) -> DataFrame:

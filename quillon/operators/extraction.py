@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.shipping import ship
+
 #: Kinds of values. The patterns are ours, and use only what both regex dialects share.
 PATTERNS = {
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
@@ -15,6 +17,10 @@ PATTERNS = {
 }
 
 
+#: An anchor with its address in double quotes, whatever attributes stand before it and in any case of letters.
+ANCHOR = r'(?i)<a\s(?:[^>]*\s)?href\s*=\s*"([^"]*)"'
+
+
 def extract_values(paras: DataFrame, kinds: dict[str, str] = PATTERNS, id_col: str = "doc_id") -> DataFrame:
     """A row for each value: address, page, kind, ordinal within the paragraph and the value."""
     found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("values")) for k, p in kinds.items()])
@@ -24,7 +30,7 @@ def extract_values(paras: DataFrame, kinds: dict[str, str] = PATTERNS, id_col: s
 
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, ordinal, href) of all anchors in markup."""
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("ordinal", "href"))
+    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("ordinal", "href"))
 
 
 def luhn_numbers(text: str | Column) -> Column:
@@ -35,11 +41,14 @@ def luhn_numbers(text: str | Column) -> Column:
 
 def pii_counts(docs: DataFrame) -> DataFrame:
     """Detection only, never masking: counts by kind for every document."""
+    found = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    t = F.col("text")
+    # cheap tests first: most texts have none of these
     return docs.select(
         "doc_id",
-        F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"), F.lit(0))).cast("long").alias("emails"),
-        F.size(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), F.lit(0))).cast("long").alias("ips"),
-        F.size(luhn_numbers("text")).cast("long").alias("cards"),
+        F.when(~t.contains("@"), 0).otherwise(found(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+")).cast("long").alias("emails"),
+        F.when(~t.rlike(r"[0-9]\.[0-9]"), 0).otherwise(found(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}")).cast("long").alias("ips"),
+        F.when(~t.rlike("[0-9]{13}"), 0).otherwise(F.size(luhn_numbers("text"))).cast("long").alias("cards"),
     )
 
 
@@ -73,6 +82,7 @@ def dedup_field_names(fields: DataFrame, group: str, order: str, name: str) -> D
         return pdf
 
     schema = T.StructType([*fields.schema.fields, T.StructField("unique_name", T.StringType())])
+    ship(fields.sparkSession)
     return fields.groupBy(group).applyInPandas(fold, schema)
 
 

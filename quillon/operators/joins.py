@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import difflib
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.shipping import ship
+
 #: Rows below which a side may be broadcast; larger sides are shuffled.
 SMALL_ROWS = 100_000
 
@@ -51,38 +54,66 @@ def _sequences(left: DataFrame, right: DataFrame, by: str, order: str, token: st
     return side(left, "lo", "lt").join(side(right, "ro", "rt"), by, how)
 
 
-def align_lists(a: list, b: list, most: int = 4_000_000) -> list[tuple[str, int | None, int | None]]:
-    """(kind, place in a, place in b): same, removed or added. Above most pairs of places equal ends are
-    set aside first; what still is above is compared place by place, which is linear."""
-    if len(a) * len(b) > most:
-        n, lo, end = min(len(a), len(b)), 0, 0
-        while lo < n and a[lo] == b[lo]:
-            lo += 1
-        while end < n - lo and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
-            end += 1
-        if lo or end:
-            move = lambda i, by: None if i is None else i + by
-            core = align_lists(a[lo : len(a) - end], b[lo : len(b) - end], most)
-            ends = [("same", len(a) - k, len(b) - k) for k in range(end, 0, -1)]
-            return [("same", i, i) for i in range(lo)] + [(k, move(i, lo), move(j, lo)) for k, i, j in core] + ends
-    if len(a) * len(b) <= most:
-        blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-    else:
-        n = min(len(a), len(b))
-        blocks = [("equal" if a[i] == b[i] else "replace", i, i + 1, i, i + 1) for i in range(n)] + [("replace", n, len(a), n, len(b))]
+def _lengths(a: list, b: list) -> list[int]:
+    """LCS length of a and each prefix of b. One integer has a bit for each place of b; a step of the whole
+    row is a few operations on it."""
+    places: dict = {}
+    for j, t in enumerate(b):
+        places[t] = places.get(t, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for t in a:
+        u = v & places.get(t, 0)
+        v = ((v + u) | (v - u)) & full
+    # a bit that is 0 is a place where the length grows
+    return [0, *accumulate(c == "0" for c in reversed(f"{v:0{len(b)}b}"))] if b else [0]
+
+
+def common_pairs(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence. Divide and conquer: the first half of a is matched with the part
+    of b that gives the longest sum (ties: the shortest part), so memory is linear at any length."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, m, j, n = todo.pop()
+        while i < m and j < n and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        if m - i == 1:
+            at = next((k for k in range(j, n) if b[k] == a[i]), None)
+            out += [] if at is None else [(i, at)]
+            continue
+        mid = (i + m) // 2
+        head, tail = _lengths(a[i:mid], b[j:n]), _lengths(a[mid:m][::-1], b[j:n][::-1])
+        sums = [x + y for x, y in zip(head, reversed(tail), strict=True)]
+        cut = j + sums.index(max(sums))
+        todo += [(i, mid, j, cut), (mid, m, cut, n)]
+    return sorted(out)
+
+
+def align_lists(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
+    """(kind, place in a, place in b): same for a longest common subsequence, else removed or added."""
     out: list[tuple[str, int | None, int | None]] = []
-    for op, i1, i2, j1, j2 in blocks:
-        if op == "equal":
-            out += [("same", i, j) for i, j in zip(range(i1, i2), range(j1, j2), strict=True)]
-        else:
-            out += [("removed", i, None) for i in range(i1, i2)] + [("added", None, j) for j in range(j1, j2)]
+    i = j = 0
+    for x, y in [*common_pairs(a, b), (len(a), len(b))]:
+        out += [("removed", k, None) for k in range(i, x)] + [("added", None, k) for k in range(j, y)]
+        if x < len(a) and y < len(b):
+            out.append(("same", x, y))
+        i, j = x + 1, y + 1
     return out
 
 
-def align(left: DataFrame, right: DataFrame, by: str, order: str, token: str, most: int = 4_000_000) -> DataFrame:
-    """LCS alignment of two sequences for each key: (by, kind, l_order, r_order, token)."""
+def align(left: DataFrame, right: DataFrame, by: str, order: str, token: str) -> DataFrame:
+    """LCS alignment of two sequences for each key: (by, kind, l_order, r_order, token). A key's two sequences
+    come together in one row."""
     import pandas as pd
 
+    ship(left.sparkSession)
     kind = left.schema[by].dataType.simpleString()
     lists = lambda x: [] if x is None else list(x)
 
@@ -91,7 +122,7 @@ def align(left: DataFrame, right: DataFrame, by: str, order: str, token: str, mo
             out = []
             for key, lo, lt, ro, rt in pdf.itertuples(index=False):
                 lo, lt, ro, rt = map(lists, (lo, lt, ro, rt))
-                out += [(key, k, None if i is None else lo[i], None if j is None else ro[j], lt[i] if i is not None else rt[j]) for k, i, j in align_lists(lt, rt, most)]
+                out += [(key, k, None if i is None else lo[i], None if j is None else ro[j], lt[i] if i is not None else rt[j]) for k, i, j in align_lists(lt, rt)]
             yield pd.DataFrame(out, columns=[by, "kind", "l_order", "r_order", "token"]).astype({"l_order": "Int64", "r_order": "Int64"})
 
     return _sequences(left, right, by, order, token, "full_outer").select(by, "lo", "lt", "ro", "rt").mapInPandas(run, f"{by} {kind}, kind string, l_order long, r_order long, token string")
@@ -101,6 +132,7 @@ def fuzzy_forward(left: DataFrame, right: DataFrame, by: str, order: str, text:
     """For each left line in order, the first of the next window right lines that is alike enough; greedy."""
     import pandas as pd
 
+    ship(left.sparkSession)
     kind = left.schema[by].dataType.simpleString()
 
     def run(batches):
@@ -120,8 +152,11 @@ def fuzzy_forward(left: DataFrame, right: DataFrame, by: str, order: str, text:
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: Column, name: str, value: str) -> DataFrame:
-    """Exact name first, else the smallest name that the key starts with; table is small and checked."""
-    t = small(table.select(F.col(name).alias("_n"), F.col(value).alias("_v")))
-    hit = rows.withColumn("_k", key).join(t, F.col("_k").startswith(F.col("_n")), "left")
-    best = F.min_by("_v", F.struct((F.col("_n") != F.col("_k")).alias("prefix"), "_n"))
+    """Exact name first, else the smallest name that the key starts with. A key's beginnings of the lengths that
+    names have are joined by equality, whatever the size of the table."""
+    t = table.select(F.col(name).alias("_n"), F.col(value).alias("_v"))
+    sizes = sorted(r[0] for r in t.select(F.length("_n")).distinct().collect() if r[0] is not None)
+    starts = F.array_distinct(F.transform(F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length("_k")), lambda n: F.substring(F.col("_k"), F.lit(1), n)))
+    hit = rows.withColumn("_k", key).withColumn("_s", F.explode_outer(starts)).join(small(t), F.col("_s") == F.col("_n"), "left")
+    best = F.min_by("_v", F.when(F.col("_n").isNotNull(), F.struct((F.col("_n") != F.col("_k")).alias("prefix"), "_n")))
     return hit.groupBy(*rows.columns).agg(best.alias(value))

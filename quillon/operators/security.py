@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +14,29 @@ INJECTION = r"(?i)ignore (all )?(previous|prior|above) (instructions|text)|disre
 HIDDEN_STYLE = r"(?i)display:\s*none|visibility:\s*hidden|font-size:\s*0|color:\s*(#fff|white)"
 
 
+def _text(text: str | Column) -> Column:
+    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text can match at all: plain searches, before a pattern that ignores case."""
+    low = F.lower(text)
+    return functools.reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
 def hidden_text(markup: str | Column) -> Column:
-    return F.coalesce(F.col(markup) if isinstance(markup, str) else markup, F.lit("")).rlike(HIDDEN_STYLE)
+    t = _text(markup)
+    return _any(t, ("display:", "visibility:", "font-size:", "color:")) & t.rlike(HIDDEN_STYLE)
 
 
 def deceptive(text: str | Column) -> Column:
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).rlike(DECEPTIVE)
+    t = _text(text)
+    return (F.octet_length(t) > F.length(t)) & t.rlike(DECEPTIVE)
 
 
 def injection(text: str | Column) -> Column:
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).rlike(INJECTION)
+    t = _text(text)
+    return _any(t, ("ignore ", "disregard ", "you are now", "system prompt")) & t.rlike(INJECTION)
 
 
 def verdict(rows: DataFrame, by: str, axes: dict[str, Column]) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from pyspark.sql import functions as F
 
+from quillon.operators.order import medians
 from quillon.plans.joins import RUN_A, RUN_B, runs
 from quillon.plans.registry import query
 from quillon.sources.tables import PARAS_SQL, load, paragraphs
 
 
+@query("a01_page_list", f"WITH {PARAS_SQL} SELECT doc_id, CAST(max(page) + 1 AS BIGINT) AS pages FROM paras GROUP BY 1")
+def page_list(spark, sf):
+    """The list by file that the totals are made of."""
+    return paragraphs(load(spark, sf, "documents")).groupBy("doc_id").agg((F.max("page") + 1).cast("long").alias("pages"))
+
+
 @query("a01_total_pages", f"WITH {PARAS_SQL}, p AS (SELECT doc_id, CAST(max(page) + 1 AS BIGINT) AS n FROM paras GROUP BY 1) SELECT lang, sum(n)::BIGINT AS total_pages, count(*) AS files FROM p JOIN documents USING (doc_id) GROUP BY 1")
 def total_pages(spark, sf):
     docs = load(spark, sf, "documents")
@@ -57,8 +64,10 @@ def bounded_examples(spark, sf):
 
 @query("a08_median_deltas", "SELECT l_returnflag, median(l_quantity - 25) AS median_delta, min(l_quantity - 25) AS min_delta, max(l_quantity - 25) AS max_delta FROM lineitem GROUP BY 1")
 def median_deltas(spark, sf):
-    d = F.col("l_quantity") - 25
-    return load(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.median(d).alias("median_delta"), F.min(d).alias("min_delta"), F.max(d).alias("max_delta"))
+    l = load(spark, sf, "lineitem").select("l_returnflag", (F.col("l_quantity") - 25).alias("d"))  # noqa: E741
+    ends = l.groupBy("l_returnflag").agg(F.min("d").alias("min_delta"), F.max("d").alias("max_delta"))
+    mid = medians(l, ["l_returnflag"], "d", "median_delta").withColumnRenamed("l_returnflag", "flag")
+    return ends.join(mid, F.col("l_returnflag").eqNullSafe(F.col("flag")), "left").select("l_returnflag", "median_delta", "min_delta", "max_delta")
 
 
 @query("a09_distinct_ids", "SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1")
@@ -72,9 +81,10 @@ def batch_totals(spark, sf):
     return load(spark, sf, "documents").agg(F.count("*").alias("total"), F.count_if(n > 100).alias("success"), F.count_if((n <= 100) & (n > 0)).alias("failed"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("skipped"))
 
 
-@query("a11_hotspots", "SELECT lang, source, count(*) AS n FROM documents WHERE substr(sha256(text), 1, 1) < '8' GROUP BY ALL ORDER BY n DESC, lang, source LIMIT 20")
+@query("a11_hotspots", "SELECT lang, source, count(*) AS n FROM documents WHERE sha256(text) <> sha256(replace(text, ' the ', ' The ')) GROUP BY ALL ORDER BY n DESC, lang, source LIMIT 20")
 def hotspots(spark, sf):
-    d = load(spark, sf, "documents").filter(F.substring(F.sha2("text", 256), 1, 1) < "8")
+    """Payloads that differ between what was read and what was generated, counted by role and control."""
+    d = load(spark, sf, "documents").filter(F.sha2("text", 256) != F.sha2(F.replace("text", F.lit(" the "), F.lit(" The ")), 256))
     return d.groupBy("lang", "source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "source").limit(20)
 
 
@@ -106,8 +116,10 @@ def json_leaves(spark, sf):
 def valid_medians(spark, sf):
     """Groups without a valid row are reported too, with nulls."""
     ok = (F.col("p_size") > 10) & (F.col("p_retailprice") > 1200)
-    v = F.when(ok, F.col("p_retailprice"))
-    return load(spark, sf, "part").groupBy("p_brand").agg(F.median(v).alias("med"), F.max(v).alias("top"), F.count_if(ok).alias("valid"), F.count("*").alias("n"))
+    p = load(spark, sf, "part").select("p_brand", ok.alias("ok"), F.when(ok, F.col("p_retailprice")).alias("v"))
+    all_ = p.groupBy("p_brand").agg(F.max("v").alias("top"), F.count_if("ok").alias("valid"), F.count("*").alias("n"))
+    mid = medians(p, ["p_brand"], "v", "med").withColumnRenamed("p_brand", "brand")
+    return all_.join(mid, F.col("p_brand").eqNullSafe(F.col("brand")), "left").select("p_brand", "med", "top", "valid", "n")
 
 
 @query("a17_net_effect", f"WITH j AS (SELECT CASE a.verdict WHEN 'PASS' THEN 0 ELSE 1 END AS x, CASE b.verdict WHEN 'PASS' THEN 0 ELSE 1 END AS y FROM {RUN_A} a JOIN {RUN_B} b USING (doc_id)) SELECT count(*) FILTER (y < x) AS improved, count(*) FILTER (y > x) AS worsened, count(*) FILTER (y < x) - count(*) FILTER (y > x) AS net FROM j")

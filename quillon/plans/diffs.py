@@ -36,7 +36,7 @@ def page_diff(spark, sf):
     def unified(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([D.unified(x, y) for x, y in zip(a, b, strict=True)])
 
-    d = load(spark, sf, "conversations").filter("role = 'assistant'").withColumn("after", F.replace("text", F.lit(" de "), F.lit(" du ")))
+    d = load(spark, sf, "conversations").withColumn("after", F.replace("text", F.lit(" de "), F.lit(" du ")))
     return d.filter("text <> after").select("conv_id", "turn", unified("text", "after").alias("diff"))
 
 

@@ -40,7 +40,7 @@ def redact(spark, sf):
 
 @query(
     "s16_html_links",
-    """WITH h AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)
+    """WITH h AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s(?:[^>]*\\s)?href\\s*=\\s*"([^"]*)"', 1) AS l FROM pages)
     SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS ordinal, unnest(l) AS href FROM h""",
 )
 def html_links(spark, sf):

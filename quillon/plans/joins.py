@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.functions import scalars
 from quillon.operators import joins as J
 from quillon.plans.registry import query
 from quillon.sources.tables import PARAS_SQL, load, paragraphs
@@ -81,24 +82,24 @@ def _lines(spark, sf, parity):
 
 @query("j08_lcs_align")
 def lcs_align(spark, sf):
-    """No SQL: an LCS alignment for each pair of orders; tests compare it with a second implementation."""
+    """No SQL: an LCS alignment for each pair of orders; tests compare its length with a dynamic programme."""
     once = lambda d: d.groupBy("pair", "line").agg(F.min("token").alias("token"))
     return J.align(once(_lines(spark, sf, 0)), once(_lines(spark, sf, 1)), "pair", "line", "token")
 
 
 @query("j09_fuzzy_forward")
 def fuzzy_forward(spark, sf):
-    """No SQL: greedy and order-dependent."""
-    c = load(spark, sf, "conversations").select("conv_id", F.col("turn").alias("line"), F.substring("text", 1, 80).alias("text"))
-    return J.fuzzy_forward(c, c.withColumn("text", F.concat(F.lit("> "), "text")), "conv_id", "line", "text")
+    """No SQL: greedy and order-dependent. Lines are compared by their match keys of 24 cleaned characters."""
+    c = load(spark, sf, "conversations").select("conv_id", F.col("turn").alias("line"), scalars.match_key(F.col("text")).alias("text"))
+    return J.fuzzy_forward(c, c.withColumn("text", F.concat(F.lit(">"), "text")), "conv_id", "line", "text")
 
 
-@query("j10_identity_compare", f"SELECT a.sha AS stable_id, count(*) AS pairs FROM (SELECT sha256(text) AS sha FROM conversations WHERE conv_id % 2 = 0) a JOIN (SELECT sha256(text) AS sha FROM conversations WHERE conv_id % 2 = 1) b USING (sha) GROUP BY 1 UNION ALL SELECT 'rows', count(*) FROM conversations")
+@query("j10_identity_compare", f"SELECT a.sha AS stable_id, count(*) AS pairs FROM (SELECT sha256(role || chr(10) || turn) AS sha FROM conversations WHERE conv_id % 2 = 0) a JOIN (SELECT sha256(role || chr(10) || turn) AS sha FROM conversations WHERE conv_id % 2 = 1) b USING (sha) GROUP BY 1")
 def identity_compare(spark, sf):
     """Same stable id on both sides; counts are multiplied, not pairs listed."""
-    c = load(spark, sf, "conversations").select("conv_id", F.sha2("text", 256).alias("stable_id"))
+    c = load(spark, sf, "conversations").select("conv_id", F.sha2(F.concat("role", F.lit("\n"), F.col("turn").cast("string")), 256).alias("stable_id"))
     a, b = (c.filter(F.col("conv_id") % 2 == k).groupBy("stable_id").agg(F.count("*").alias(f"n{k}")) for k in (0, 1))
-    return a.join(b, "stable_id").select("stable_id", (F.col("n0") * F.col("n1")).alias("pairs")).union(c.agg(F.lit("rows").alias("stable_id"), F.count("*").alias("pairs")))
+    return a.join(b, "stable_id").select("stable_id", (F.col("n0") * F.col("n1")).alias("pairs"))
 
 
 @query("j11_mail_merge", "SELECT n_name AS template, r_name AS value, replace('Dear {name} of {place}', '{name}', n_name) AS letter FROM nation, region WHERE n_regionkey = r_regionkey")

@@ -34,11 +34,11 @@ def injection(spark, sf):
 
 @query(
     "t14_security_verdict",
-    f"""SELECT lang, bool_and(NOT regexp_matches(text, '(?i)display:\\s*none|visibility:\\s*hidden|font-size:\\s*0|color:\\s*(#fff|white)')) AS hidden_clean, bool_and(NOT regexp_matches(text, '{_DECEPTIVE}')) AS unicode_clean,
-    bool_and(NOT regexp_matches(text, '{S.INJECTION}')) AS injection_clean FROM (SELECT lang, {_PLANTED_DOC} AS text FROM documents) GROUP BY lang""",
+    f"""SELECT doc_id, bool_and(NOT regexp_matches(text, '(?i)display:\\s*none|visibility:\\s*hidden|font-size:\\s*0|color:\\s*(#fff|white)')) AS hidden_clean, bool_and(NOT regexp_matches(text, '{_DECEPTIVE}')) AS unicode_clean,
+    bool_and(NOT regexp_matches(text, '{S.INJECTION}')) AS injection_clean FROM (SELECT doc_id, {_PLANTED_DOC} AS text FROM documents) GROUP BY doc_id""",
 )
 def verdict(spark, sf):
-    return S.verdict(planted(spark, sf), "lang", {"hidden": S.hidden_text("text"), "unicode": S.deceptive("text"), "injection": S.injection("text")})
+    return S.verdict(planted(spark, sf), "doc_id", {"hidden": S.hidden_text("text"), "unicode": S.deceptive("text"), "injection": S.injection("text")})
 
 
 @query("p11_path_filter", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https://.*/(en|de)/[0-9]+')")
@@ -46,10 +46,10 @@ def path_filter(spark, sf):
     return load(spark, sf, "pages").filter(F.col("url").rlike("^https://.*/(en|de)/[0-9]+")).select("page_id", "url")
 
 
-@query("p12_keyword_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_type), 'steel')")
+@query("p12_keyword_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_type), 'widget promo')")
 def keyword_search(spark, sf):
     hay = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    return load(spark, sf, "part").filter(hay.contains("steel")).select("p_partkey", "p_name")
+    return load(spark, sf, "part").filter(hay.contains("widget promo")).select("p_partkey", "p_name")
 
 
 @query(

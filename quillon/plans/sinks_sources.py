@@ -89,11 +89,17 @@ def preview(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.substring("html", 1, 64).alias("preview"))
 
 
-@query("s17_preserved_fragments", "SELECT page_id, regexp_extract(html, '(<script>[^<]*)', 1) AS raw, 0 AS ord FROM pages WHERE contains(html, '<script>')")
+@query(
+    "s17_preserved_fragments",
+    """WITH h AS (SELECT page_id, string_split_regex(html, '<script[^<]*</script>|<!--[^<]*-->') AS gaps, regexp_extract_all(html, '<script[^<]*</script>|<!--[^<]*-->') AS raws FROM pages),
+    x AS (SELECT page_id, raws, gaps, unnest(range(len(raws))) AS k FROM h),
+    y AS (SELECT page_id, k, raws[k + 1] AS raw, array_to_string(gaps[1:k + 1], '') AS before FROM x)
+    SELECT page_id, CAST(k AS INTEGER) AS ord, raw, CASE WHEN contains(before, '<body') THEN 'body' ELSE 'head' END AS parent, CAST(len(regexp_extract_all(before, '<[a-zA-Z]')) AS INTEGER) AS siblings_before FROM y""",
+)
 def preserved_fragments(spark, sf):
-    """Subtrees that the model lacks are kept verbatim, in order."""
-    p = load(spark, sf, "pages").select("page_id", F.regexp_extract_all("html", F.lit("(<script>[^<]*)"), F.lit(1)).alias("raw"))
-    return p.select("page_id", F.posexplode("raw").alias("ord", "raw")).filter("ord = 0").select("page_id", "raw", "ord")
+    """Every subtree that the model lacks is kept verbatim, with its parent, its order, and how many elements that
+    the model has stand before it."""
+    return S.fragments(load(spark, sf, "pages"), "page_id", "html", "<script[^<]*</script>|<!--[^<]*-->")
 
 
 @query("s18_legacy_strings", "SELECT n_nationkey, n_name || '?' AS text FROM nation")
@@ -138,6 +144,14 @@ def loss_report(spark, sf):
     return K.lean(load(spark, sf, "events").withColumnRenamed("event_type", "kind"), "event_id", ("click", "view"))[1]
 
 
+@query("k10_preserve_export", """SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN '<' || event_type || '/>' ELSE '<!-- ' || replace(event_type || ' ' || coalesce(props, ''), '--', '- -') || ' -->' END AS xml FROM events""")
+def preserve_export(spark, sf):
+    """Nothing is dropped: kinds that the target can't hold stand as comments."""
+    e = load(spark, sf, "events")
+    raw = F.concat_ws(" ", "event_type", F.coalesce("props", F.lit("")))
+    return e.select("event_id", K.preserved(F.concat(F.lit("<"), F.col("event_type"), F.lit("/>")), F.col("event_type").isin("click", "view"), raw).alias("xml"))
+
+
 @query("k10_lean_export", "SELECT event_type AS kind, count(*) AS kept FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
 def lean_export(spark, sf):
     return K.lean(load(spark, sf, "events").withColumnRenamed("event_type", "kind"), "event_id", ("click", "view"))[0].groupBy("kind").agg(F.count("*").alias("kept"))
@@ -174,9 +188,9 @@ def csv_round_trip(spark, sf):
     return back.groupBy("l_orderkey", "l_linenumber").agg(F.sum("q").alias("qty"), F.count("f").alias("n"))
 
 
-@query("k17_xml_escape", "SELECT page_id, replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+@query("k17_xml_escape", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
 def xml_escape(spark, sf):
-    return load(spark, sf, "pages").select("page_id", K.xml_text(F.substring("html", 1, 200)).alias("escaped"))
+    return load(spark, sf, "pages").select("page_id", K.xml_text(F.col("html")).alias("escaped"))
 
 
 @query("k18_stable_order", "SELECT sha256(string_agg(n_name, '|' ORDER BY n_name)) AS digest FROM nation")

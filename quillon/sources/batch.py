@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillon.shipping import ship
+
 
 def isolated(rows: DataFrame, record: Callable[[dict], dict], schema: str, keep: list[str]) -> DataFrame:
     """record(row) for every row, in Arrow batches; a row that raises has nulls, the kept columns and an error."""
@@ -28,4 +30,5 @@ def isolated(rows: DataFrame, record: Callable[[dict], dict], schema: str, keep:
                     frame[f.name] = frame[f.name].astype("Int64")
             yield frame
 
+    ship(rows.sparkSession)
     return rows.mapInPandas(run, schema + ", error string")

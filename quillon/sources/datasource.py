@@ -1,14 +1,18 @@
 """A sink that users can plug in: format("quillon_lines") writes one JSON line for each row, by partition,
-and its files appear only when all partitions are there."""
+and its files appear only when all partitions are there. Appending adds files; overwriting removes those
+that were there before, after the new ones stand."""
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from quillon.shipping import ship
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -18,15 +22,15 @@ class Written(WriterCommitMessage):
 
 
 class LinesWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         c = TaskContext.get()
         os.makedirs(self.path, exist_ok=True)
-        name = f"part-{c.partitionId():05d}.json"
+        name = f"part-{self.job}-{c.partitionId():05d}.json"
         temporary = os.path.join(self.path, f".{name}.{c.taskAttemptId()}")
         n = 0
         with open(temporary, "w", encoding="utf-8") as f:
@@ -39,6 +43,11 @@ class LinesWriter(DataSourceWriter):
         for m in messages:
             if m is not None:
                 os.replace(m.temporary, m.final)
+        if self.overwrite and os.path.isdir(self.path):
+            new = {os.path.basename(m.final) for m in messages if m is not None}
+            for f in os.listdir(self.path):
+                if f.startswith("part-") and f.endswith(".json") and f not in new:
+                    os.remove(os.path.join(self.path, f))
 
     def abort(self, messages):
         for m in messages:
@@ -57,4 +66,9 @@ class LinesSource(DataSource):
         return "value string"
 
     def writer(self, schema, overwrite):
-        return LinesWriter(self.options["path"])
+        return LinesWriter(self.options["path"], overwrite)
+
+
+def register(spark) -> None:
+    """Makes format("quillon_lines") known to a session, and its code to the executors."""
+    ship(spark).dataSource.register(LinesSource)

@@ -46,3 +46,12 @@ def read_lines(spark: SparkSession, path: str, schema: str, skip_kind: str | Non
 
 def first_per(rows: DataFrame, by: str, *order: str) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter("_k = 1").drop("_k")
+
+
+def fragments(pages, id_col: str, markup: str, pattern: str):
+    """(id, ord, raw, parent, siblings_before): all stretches of markup that match the pattern, verbatim and in order;
+    whether they stand in the head or the body, and how many other elements open before them."""
+    h = pages.select(id_col, F.split(markup, pattern).alias("gaps"), F.regexp_extract_all(markup, F.lit(pattern), F.lit(0)).alias("raws"))
+    x = h.select(id_col, "gaps", F.posexplode("raws").alias("ord", "raw")).withColumn("before", F.array_join(F.slice("gaps", 1, F.col("ord") + 1), ""))
+    parent = F.when(F.col("before").contains("<body"), "body").otherwise("head")
+    return x.select(id_col, "ord", "raw", parent.alias("parent"), F.size(F.regexp_extract_all("before", F.lit("<[a-zA-Z]"), F.lit(0))).alias("siblings_before"))

@@ -7,6 +7,8 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillon.shipping import ship
+
 #: Most records of one stream that become rows of one batch at a time.
 STEP = 10_000
 
@@ -45,4 +47,5 @@ def decode(blobs: DataFrame, id_col: str, blob_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int32(), pa.int64(), pa.int64(), pa.string()))], [id_col, "ordinal", "type", "size", "error"])
 
     kind = blobs.schema[id_col].dataType.simpleString()
+    ship(blobs.sparkSession)
     return blobs.select(id_col, blob_col).mapInArrow(run, f"{id_col} {kind}, ordinal int, type long, size long, error string")

@@ -37,6 +37,11 @@ def lean(rows: DataFrame, key: str, kept: tuple[str, ...], kind: str = "kind") -
     return rows.filter(keep), rows.filter(~keep).groupBy(kind).agg(F.count("*").alias("lost"))
 
 
+def preserved(element: Column, known: Column, raw: Column) -> Column:
+    """The element if the target can hold it, else a comment with what it was ('--' can't stand in one)."""
+    return F.when(known, element).otherwise(F.concat(F.lit("<!-- "), F.replace(raw, F.lit("--"), F.lit("- -")), F.lit(" -->")))
+
+
 def grid_csv(cells: DataFrame, table: str, row: str, columns: tuple[str, ...]) -> DataFrame:
     """A line of CSV for each row of a dense grid."""
     return cells.select(table, row, F.to_csv(F.struct(*columns)).alias("line"))

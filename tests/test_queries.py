@@ -6,7 +6,7 @@ from oracle import check
 
 from quillon.plans.registry import ORACLES, QUERIES
 
-EMPTY: set[str] = {"p12_keyword_search", "rel_keyword", "j05_containment", "u02_difference", "k14_page_range", "j13_prefix_fallback", "l01_visible_limit"}
+EMPTY: set[str] = {"j05_containment", "u02_difference", "k14_page_range", "j13_prefix_fallback", "l01_visible_limit"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

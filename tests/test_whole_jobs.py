@@ -1,8 +1,21 @@
 """Queries over all rows of small tables of their own, against brute force."""
 
-from quillon.operators import joins
+import os
+import random
+import subprocess
+import sys
+from pathlib import Path
+from statistics import median
+
+from conftest import SF
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quillon.operators import joins, order
 from quillon.plans.registry import QUERIES
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def folder(spark, tmp_path, name, rows, schema):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
@@ -17,13 +30,87 @@ def test_alignment_noise_of_all_documents(spark, tmp_path):
     assert (got["by_place"], got["by_alignment"]) == (by_place, len(texts))
 
 
-def test_alignment_of_long_lists():
-    a = [str(i) for i in range(40)]
-    b = a[:10] + ["new"] + a[11:]
-    got = joins.align_lists(a, b[5:], 20)
-    assert [a[i] for _, i, _ in got if i is not None] == a and [b[5:][j] for _, _, j in got if j is not None] == b[5:]
-    assert all(a[i] == b[5:][j] for k, i, j in got if k == "same")
-    assert [k for k, *_ in joins.align_lists(a, a[1:], 20)] == ["removed"] + ["same"] * 39
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(1500):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(16))] for _ in "xy")
+        got = joins.align_lists(a, b)
+        assert [a[i] for _, i, _ in got if i is not None] == a and [b[j] for _, _, j in got if j is not None] == b
+        same = [(i, j) for k, i, j in got if k == "same"]
+        assert len(same) == lcs(a, b) and all(a[i] == b[j] for i, j in same)
+    a = [str(rng.randrange(400)) for _ in range(6000)]
+    b = [x for x in a if rng.random() > 0.2] + ["z"] * 900
+    assert sum(k == "same" for k, *_ in joins.align_lists(a, b)) == len(b) - 900
+    assert joins.align_lists([], []) == [] and joins.align_lists(["a"], []) == [("removed", 0, None)]
+
+
+def test_numbers_with_payload_through_a_write(spark, tmp_path):
+    n = 1_200_000
+    df = spark.range(0, n, 1, 8).select(F.xxhash64("id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    order.numbered(df, ["key"], "i", 16).write.parquet(str(tmp_path / "o"))
+    got = spark.read.parquet(str(tmp_path / "o"))
+    assert tuple(got.agg(F.countDistinct("i"), F.min("i"), F.max("i")).first()) == (n, 0, n - 1)
+    w = Window.orderBy("i")
+    assert got.filter("i between 500000 and 501000").withColumn("d", F.col("key") > F.lag("key").over(w)).filter("NOT d").count() == 0
+
+
+def test_numbers_of_ties_nulls_and_nothing(spark):
+    rows = spark.createDataFrame([(None,), (5,), (5,), (1,), (None,)], "k long")
+    got = sorted((r["i"], r["k"]) for r in order.numbered(rows, ["k"], "i", 3).collect())
+    assert got == [(0, None), (1, None), (2, 1), (3, 5), (4, 5)]
+    assert order.numbered(rows.limit(0), ["k"], "i").count() == 0
+
+
+def test_medians(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice([None, 1.0, 2.5, float(rng.randrange(50))])) for _ in range(501)] + [(None, 3.0), ("c", None)]
+    got = {r["g"]: r["m"] for r in order.medians(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", "m").collect()}
+    assert got == {g: median([v for h, v in rows if h == g and v is not None]) for g in ("a", "b", None)}
+
+
+def test_lines_sink_appends_and_overwrites(spark, tmp_path):
+    from quillon.sources import datasource
+
+    datasource.register(spark)
+    write = lambda n, mode: spark.range(n).coalesce(2).write.format("quillon_lines").option("path", str(tmp_path)).mode(mode).save()
+    write(5, "append")
+    write(3, "append")
+    assert spark.read.json(str(tmp_path)).count() == 8
+    write(2, "overwrite")
+    assert spark.read.json(str(tmp_path)).count() == 2
+
+
+def test_lookup_by_prefix(spark):
+    rows = spark.createDataFrame([(1, "abc"), (2, "ab"), (3, "zz"), (4, None), (5, "")], "i int, k string")
+    names = spark.createDataFrame([("a", 1), ("ab", 2), ("abcd", 3), (None, 4)], "n string, v int")
+    assert {r["i"]: r["v"] for r in joins.lookup(rows, names, F.col("k"), "n", "v").collect()} == {1: 1, 2: 2, 3: None, 4: None, 5: None}
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    """Queries with Python workers, in a driver that was started elsewhere and has the package on its own path only."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+q = __spark_entry__.queries()
+for n in ("t17_gated_clauses", "j08_lcs_align", "s10_binary_records", "s18_legacy_strings", "x03_redact_json", "d02_page_diff", "t26_unique_names", "j09_fuzzy_forward"):
+    q[n](s, {SF!r}).write.format("noop").mode("overwrite").save()
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET", "SPARK_ENV_LOADED")}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "all ran" in got.stdout, got.stderr[-2000:]
 
 
 def test_control_gaps_of_a_long_order(spark, tmp_path):
