@@ -34,4 +34,6 @@ def components(edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:
         sign = tuple(got)
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
+    out._quillon_path = e._quillon_path  # what discard() deletes
+    return out

@@ -24,17 +24,21 @@ from pyspark.sql import functions as F
 
 from quillon.llm import textkernel as K
 from quillon.llm.graph import components
-from quillon.llm.runtime import discard, materialize, session, steps, table, text_parts, turn_to
+from quillon.llm.runtime import discard, materialize, planned_bytes, salted, session, steps, table, text_parts, turn_to
 
 #: An n-gram that stands in FREQUENT texts or more is frequent; the KEPT most frequent are told to all
-#: executors (4 MB), by the upper half of their hash. Any choice gives the same links: it only moves
+#: executors (8 MB), by the upper 48 bits of their hash. Any choice gives the same links: it only moves
 #: n-grams to the end of the global order.
 FREQUENT, KEPT = 10, 1 << 20
-#: Ranges of hashes by which texts per n-gram are counted, and n-grams that a task holds at a time.
-BUCKETS, HELD = 1024, 2_000_000
+#: Ranges of hashes by which texts per n-gram are counted, at least, and one for so many bytes of input, so
+#: that what comes together in a range doesn't grow; and n-grams that a task holds at a time.
+BUCKETS, BUCKET_BYTES, HELD = 1024, 64 << 20, 2_000_000
 #: Bits of the filters by which executors pick n-grams that stand in more prefixes than one, and
-#: texts that have candidates: 2 MB at any size of the input. Beyond it more passes than need to.
-FILTER_BITS = 1 << 24
+#: texts that have candidates: 2 MB at least and 128 MB at most, by the size of the input. Beyond it more passes than
+#: need to.
+FILTER_BITS = (24, 30)
+#: Members of one n-gram that are compared by one task.
+CROWD = 2000
 FRAGMENTS = 8
 #: Bits of a hash that make up the ranges whose n-grams are counted for each set, below and from LARGE
 #: n-grams: the sum of the smaller counts bounds an overlap.
@@ -59,35 +63,57 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[cut], np.add.reduceat(counts.astype(np.uint32), cut) if len(cut) else counts
 
 
-def _count_texts(k: int):
+def _ranges(size: int) -> int:
+    """How many ranges of hashes input of so many bytes is counted by: a power of two."""
+    return 1 << max(BUCKETS.bit_length() - 1, min(22, (size // BUCKET_BYTES).bit_length()))
+
+
+def _upper(s: np.ndarray) -> np.ndarray:
+    return s >> np.uint64(16)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys of 48 bits as six bytes each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _count_texts(k: int, ranges: int):
     """(bucket, keys, counts): in how many of a task's texts each n-gram stands (255 at most), packed by range of hash."""
 
     def run(batches):
         turn_to("ngramjoin")
-        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         held: list[np.ndarray] = []
         size = 0
 
         def fold():
-            new = np.concatenate(held) if held else np.zeros(0, np.uint32)
+            new = np.concatenate(held) if held else np.zeros(0, np.uint64)
             u, c = _summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.uint8)]))
             return u, np.minimum(c, 255).astype(np.uint8)
 
         def rows():
-            cut = np.searchsorted(keys, np.arange(BUCKETS + 1, dtype=np.uint64) * (2**32 // BUCKETS))
-            some = [b for b in range(BUCKETS) if cut[b + 1] > cut[b]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()), pa.array([counts[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], ["b", "keys", "counts"])
+            cut = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(2**48 // ranges))
+            some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+            for lo in range(0, len(some), 4096):
+                part = some[lo : lo + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([_packed(keys[cut[b] : cut[b + 1]]) for b in part], pa.binary()), pa.array([counts[cut[b] : cut[b + 1]].tobytes() for b in part], pa.binary())], ["b", "keys", "counts"])
 
         for b in batches:
             for _, sets in _sets(b.column(0), k):
-                held += [(s >> np.uint64(32)).astype(np.uint32) for s in sets]
+                held += [_upper(s) for s in sets]
                 size += sum(map(len, sets))
                 if size > HELD // 4:
                     keys, counts = fold()
                     held, size = [], 0
                     if len(keys) > HELD:
                         yield from rows()
-                        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+                        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         keys, counts = fold()
         yield from rows()
 
@@ -96,8 +122,8 @@ def _count_texts(k: int):
 
 def _frequent(group: pa.Table) -> pa.Table:
     """The frequent n-grams of one range of hashes."""
-    join = lambda c, t: np.frombuffer(b"".join(group[c].to_pylist()), t)
-    keys, n = _summed(join("keys", np.uint32), join("counts", np.uint8))
+    turn_to("ngramjoin")
+    keys, n = _summed(_unpacked(b"".join(group["keys"].to_pylist())), np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8))
     hot = n >= FREQUENT
     return pa.table({"g": pa.array(keys[hot].astype(np.int64)), "n": pa.array(n[hot].astype(np.int64))})
 
@@ -117,7 +143,7 @@ def _prefixes(k: int, percent: int, shared):
                     if not len(s):
                         continue
                     sig[i] = xxhash.xxh3_128_digest(s.tobytes())
-                    upper = (s >> np.uint64(32)).astype(np.uint32)
+                    upper = _upper(s)
                     at = np.minimum(np.searchsorted(frequent, upper), max(len(frequent) - 1, 0))
                     hot = frequent[at] == upper if len(frequent) else np.zeros(len(s), bool)
                     cold[i] = len(s) - int(hot.sum())
@@ -142,28 +168,34 @@ def _has(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (bits[x >> 6] >> (x & 63).astype(np.uint64) & bits[y >> 6] >> (y & 63).astype(np.uint64) & one).astype(bool)
 
 
-def _gram_places(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return g & (FILTER_BITS - 1), (g.view(np.uint64) >> np.uint64(24)).astype(np.int64) & (FILTER_BITS - 1)
+def _bits(size: int) -> int:
+    """Bits of a filter, as a power of two, for input of so many bytes."""
+    return min(max(FILTER_BITS[0], (size >> 10).bit_length()), FILTER_BITS[1])
+
 
+def _gram_places(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return g & ((1 << bits) - 1), (g.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
-def _gram_columns(g):
-    return g.bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned(g, 24).bitwiseAND(FILTER_BITS - 1)
 
+def _gram_columns(g, bits: int):
+    return g.bitwiseAND((1 << bits) - 1), F.shiftrightunsigned(g, 64 - bits)
 
-def _sig_places(sig: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([int.from_bytes(sig[:3], "big")]), np.array([int.from_bytes(sig[3:6], "big")])
 
+def _sig_places(sig: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    keep = (1 << bits) - 1
+    return np.array([int.from_bytes(sig[:4], "big") & keep]), np.array([int.from_bytes(sig[4:8], "big") & keep])
 
-def _sig_columns(sig):
-    return tuple(F.conv(F.hex(F.substring(sig, at, 3)), 16, 10).cast("long") for at in (1, 4))
 
+def _sig_columns(sig, bits: int):
+    return tuple(F.conv(F.hex(F.substring(sig, at, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1) for at in (1, 5))
 
-def _filter_of(keys: DataFrame, places) -> np.ndarray:
+
+def _filter_of(keys: DataFrame, places, bits: int) -> np.ndarray:
     """The filter of the keys with these two places: words are or-ed in a groupBy, and come to the
-    driver as at most FILTER_BITS / 64 rows."""
+    driver as at most 2 ** bits / 64 rows."""
     at = keys.select(F.explode(F.array(*places)).alias("p"))
     words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    out = np.zeros(1 << bits >> 6, np.uint64)
     out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -180,7 +212,7 @@ def _posts(shared):
             g = lists.flatten().to_numpy()
             row = np.repeat(np.arange(b.num_rows), sizes)
             pos = np.arange(len(g)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-            hit = np.flatnonzero(_has(bits, *_gram_places(g)))
+            hit = np.flatnonzero(_has(bits, *_gram_places(g, len(bits).bit_length() + 5)))
             at = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(pos[hit].astype(np.int32)), pa.array(g[hit])], ["sig", "n", "cold", "pos", "g"])
 
@@ -200,7 +232,7 @@ def _fragments(k: int, shared, count: int):
                     if not len(s):
                         continue
                     sig = xxhash.xxh3_128_digest(s.tobytes())
-                    if _has(bits, *_sig_places(sig))[0]:
+                    if _has(bits, *_sig_places(sig, len(bits).bit_length() + 5))[0]:
                         cut = np.searchsorted(s >> np.uint64(61), np.arange(count + 1) * (8 // count)).tolist()
                         for f in range(count):
                             if cut[f + 1] > cut[f]:
@@ -234,27 +266,31 @@ def _bounded(pairs: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
     """The pairs that the counts by range don't rule out."""
     pairs = materialize(pairs, "ngram-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    bounds = bounds.join(ids, "sig", "left_semi").groupBy("sig").agg(F.max("cuts").alias("cuts"))
-    a = bounds.select(F.col("sig").alias("a"), F.col("cuts").alias("ca"))
-    b = bounds.select(F.col("sig").alias("b"), F.col("cuts").alias("cb"))
+    bounds = bounds.groupBy("sig").agg(F.max("cuts").alias("cuts")).join(ids, "sig", "left_semi")
+    bounds = materialize(bounds, "ngram-bounds")
     most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
     fits = (F.size("ca") != F.size("cb")) | (most >= _needed(F.col("na"), F.col("nb"), percent))
-    return materialize(pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b", "na", "nb"), "ngram-bounded")
+    one = salted(pairs, bounds.select(F.col("sig").alias("a"), F.col("cuts").alias("ca")), ["a"], F.col("b"))
+    two = one.join(bounds.select(F.col("sig").alias("b"), F.col("cuts").alias("cb")), "b")
+    out = materialize(two.filter(fits).select("a", "b", "na", "nb"), "ngram-bounded")
+    discard(pairs, bounds)
+    return out
 
 
-def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose whole sets are similar enough; overlaps are counted by fragment and summed."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
-    bits = spark.sparkContext.broadcast(_filter_of(ids, _sig_columns(F.col("sig"))))
-    frags = texts.mapInArrow(_fragments(k, bits, FRAGMENTS), "sig binary, frag int, grams array<long>")
-    once = frags.groupBy("sig", "frag").agg(F.max("grams").alias("grams"))
-    once = materialize(once, "ngram-sets")
-    cut = pairs.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    known = spark.sparkContext.broadcast(_filter_of(ids, _sig_columns(F.col("sig"), bits), bits))
+    frags = texts.mapInArrow(_fragments(k, known, FRAGMENTS), "sig binary, frag int, grams array<long>")
+    once = materialize(frags.groupBy("sig", "frag").agg(F.max("grams").alias("grams")), "ngram-sets")
+    each = F.array(*[F.lit(f) for f in range(FRAGMENTS)])
     left = once.select(F.col("sig").alias("a"), "frag", F.col("grams").alias("ga"))
     right = once.select(F.col("sig").alias("b"), "frag", F.col("grams").alias("gb"))
-    part = cut.join(left, ["a", "frag"]).join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.filter(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
+    part = salted(pairs.withColumn("frag", F.explode(each)), left, ["a", "frag"], F.col("b")).join(right, ["b", "frag"])
+    total = part.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    out = materialize(total.filter(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b"), "ngram-links")
+    discard(once)
+    return out
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -269,17 +305,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = session(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    frequent = texts.mapInArrow(_count_texts(k), "b int, keys binary, counts binary").groupBy("b").applyInArrow(_frequent, "g long, n long")
+    size = planned_bytes(docs)
+    bits = _bits(size)
+    frequent = texts.mapInArrow(_count_texts(k, _ranges(size)), "b int, keys binary, counts binary").groupBy("b").applyInArrow(_frequent, "g long, n long")
     top = frequent.orderBy(F.desc("n"), "g").limit(KEPT).select("g").toArrow()["g"].to_numpy()
-    shared = spark.sparkContext.broadcast(np.sort(top.astype(np.uint32)))
+    shared = spark.sparkContext.broadcast(np.sort(top.astype(np.uint64)))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(rows.mapInArrow(_prefixes(k, percent, shared), f"doc_id {kind}, sig binary, n long, cold long, prefix array<long>, cuts array<int>"), "ngram-rows")
 
     # an n-gram of one prefix links nothing: only those of several are shuffled with their texts
     several = rows.select(F.explode("prefix").alias("g")).groupBy("g").count().filter("count > 1").select("g")
-    bits = spark.sparkContext.broadcast(_filter_of(several, _gram_columns(F.col("g"))))
-    posts = rows.filter("n > 0").select("sig", "n", "cold", "prefix").mapInArrow(_posts(bits), "sig binary, n long, cold long, pos int, g long").distinct()
+    shared = spark.sparkContext.broadcast(_filter_of(several, _gram_columns(F.col("g"), bits), bits))
+    posts = rows.filter("n > 0").select("sig", "n", "cold", "prefix").mapInArrow(_posts(shared), "sig binary, n long, cold long, pos int, g long").distinct()
     posts = materialize(posts, "ngram-posts")
     # rare n-grams of a set can't link it; the leader of an n-gram is its member with the fewest of them
     leads = posts.groupBy("g").agg(F.count("*").alias("many"), F.min(F.struct("cold", "sig", "n", "pos")).alias("y")).filter("many > 1")
@@ -288,31 +326,41 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     star = met.filter(F.col("x.sig") != F.col("y.sig")).filter(_fits(percent))
     pairs = star.select(*_pair()).distinct()
     bounds = rows.filter("n > 0").select("sig", "cuts")
-    links = materialize(_verified(spark, texts, _bounded(pairs, bounds, percent), k, percent), "ngram-links")
+    maybe = _bounded(pairs, bounds, percent)
+    links = _verified(spark, texts, maybe, k, percent, bits)
+    discard(maybe)
     comp = components(links, "ngram-cc")
 
     # members outside their leader's component against all others of the n-gram
     of = comp.select("node", "comp")
     heads = met.filter("many > 2").select("g", F.col("y.sig").alias("lead")).distinct().join(of.select(F.col("node").alias("lead"), F.col("comp").alias("lead_comp")), "lead", "left")
     heads = heads.select("g", "lead", F.coalesce("lead_comp", "lead").alias("lc"))
-    crowd = met.filter("many > 2").select("g", "x", F.col("x.sig").alias("sig")).join(of.withColumnRenamed("node", "sig"), "sig", "left").join(heads, "g")
-    crowd = crowd.select("g", "x", F.coalesce("comp", "sig").alias("c"), "lc", (F.col("sig") == F.col("lead")).alias("is_lead"))
+    crowd = met.filter("many > 2").select("g", "many", "x", F.col("x.sig").alias("sig")).join(of.withColumnRenamed("node", "sig"), "sig", "left").join(heads, "g")
+    # sizes of a link differ by a factor of percent / 100 at most: only neighbouring bands of sizes meet; members of
+    # a crowded n-gram are dealt over several tasks, and what they are compared with goes to each of these
+    band = F.floor(F.log(F.col("x.n").cast("double")) / float(-np.log(percent / 100 - 1e-9))) if percent < 100 else F.col("x.n")
+    crowd = crowd.select("g", "x", F.coalesce("comp", "sig").alias("c"), "lc", (F.col("sig") == F.col("lead")).alias("is_lead"), band.cast("long").alias("band"), F.ceil(F.col("many") / CROWD).alias("ways"))
     crowd = materialize(crowd, "ngram-crowd")
-    minor = crowd.filter("c <> lc").select("g", "x", "c").alias("l")
-    other = crowd.filter("NOT is_lead").select("g", F.col("x").alias("y"), F.col("c").alias("d"), (F.col("c") == F.col("lc")).alias("major")).alias("r")
-    rest = minor.join(other, (F.col("l.g") == F.col("r.g")) & (F.col("c") != F.col("d")) & (F.col("major") | (F.col("x.sig") < F.col("y.sig"))) & _fits(percent))
+    near = F.sequence(F.col("band") - 1, F.col("band") + 1)
+    minor = crowd.filter("c <> lc").select("g", "x", "c", "ways", F.explode(near).alias("band")).select("g", "x", "c", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("s")).alias("l")
+    other = crowd.filter("NOT is_lead").select("g", F.col("x").alias("y"), F.col("c").alias("d"), (F.col("c") == F.col("lc")).alias("major"), "band", F.pmod(F.xxhash64("x.sig"), F.col("ways")).alias("s")).alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("g", "band", "s")]
+    rest = minor.join(other, same[0] & same[1] & same[2] & (F.col("c") != F.col("d")) & (F.col("major") | (F.col("x.sig") < F.col("y.sig"))) & _fits(percent))
     more = _bounded(rest.select(*_pair()).distinct().join(links, ["a", "b"], "left_anti"), bounds, percent)
     discard(met, crowd)
     if more.limit(1).count():
-        found = _verified(spark, texts, more, k, percent)
-        links = links.union(found)
-        comp = components(links, "ngram-cc")
+        first, links = links, materialize(links.union(_verified(spark, texts, more, k, percent, bits)), "ngram-links")
+        old, comp = comp, components(links, "ngram-cc")
+        discard(first, old)
+    discard(more, links)
 
     least = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     name = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = materialize(least.join(name, "comp").select("sig", "component_id"), "ngram-names")
-    out = rows.select("doc_id", "sig", F.col("n").alias("n_shingles")).join(named, "sig", "left")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.hex("sig").alias("class_id"))
+    discard(comp)
+    worded = rows.select("doc_id", "sig", F.col("n").alias("n_shingles"))
+    out = salted(worded.filter("n_shingles > 0"), named, ["sig"], F.col("doc_id")).unionByName(worded.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.hex("sig").alias("class_id"))
 
 
 def _pair():

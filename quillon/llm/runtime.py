@@ -3,36 +3,40 @@ folder to cut lineage, the package on the executors, and Arrow batches of bounde
 
 from __future__ import annotations
 
+import atexit
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.shipping import ship
 
 #: Most rows in one Arrow batch. Texts are a few kilobytes, so a batch stays in the low megabytes.
 BATCH_ROWS = 256
+#: Bytes after which a batch ends, so that rows of many megabytes come a few at a time.
+BATCH_BYTES = 64 << 20
 #: Bytes of text that one numpy step works on.
 STEP_BYTES = 1 << 20
 
 
+#: Spark's own bound of rows in an Arrow batch, which ours takes the place of.
+_DEFAULT_ROWS = "10000"
+
+
 def session(spark: SparkSession) -> SparkSession:
-    """Ships this package to the executors once per context and bounds Arrow batches."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quillon_shipped", None) is None:
-        root = Path(__file__).resolve().parents[1]
-        archive = os.path.join(tempfile.mkdtemp(prefix="quillon-"), "quillon-ship.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, str(p.relative_to(root.parent)))
-        sc.addPyFile(archive)
-        sc._quillon_shipped = archive
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Ships this package to the executors once per context and bounds Arrow batches, by rows and by bytes, unless
+    the caller has set bounds of their own."""
+    ship(spark)
+    for key, default, value in (("maxRecordsPerBatch", _DEFAULT_ROWS, BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) in (default, None, "-1", "2147483647b", "9223372036854775807b"):
+            spark.conf.set(key, str(value))
     return spark
 
 
@@ -41,9 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set, as in tests."""
+    """The folder all executors share; a temporary one where none is set and all run in this process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillon-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -57,6 +63,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
+    if not _left:
+        atexit.register(_discard_left)
+    _left[path] = spark.sparkContext
     release(spark)
     return out
 
@@ -67,11 +76,45 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Materialized tables that stand; results may still read them, so what no step discards goes when the driver ends.
+_left: dict[str, SparkContext] = {}
+
+
+def _delete(sc: SparkContext, path: str) -> None:
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes materialized tables that no later step reads."""
     for df in frames:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quillon_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession.sparkContext, df._quillon_path)
+        _left.pop(df._quillon_path, None)
+
+
+def _discard_left() -> None:
+    for path, sc in _left.items():
+        if sc._jsc is not None:  # a stopped context has no way to its files
+            _delete(sc, path)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The size that Spark's planner expects, from file sizes: no job; 0 where it knows nothing. It steers how
+    work is cut, never results."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
+def salted(left: DataFrame, right: DataFrame, keys: list[str], spread, ways: int = 16, share: int = 256) -> DataFrame:
+    """left joined with right (one row for each key) where a few keys may hold most of left: rows of a key with more
+    than 1 / share of all - of which there are fewer than share, so they are broadcast - go ways ways by the hash
+    of spread, and those keys' rows of right to all of them. left should be materialized: it is read twice."""
+    total = left.count()
+    hot = left.groupBy(*keys).count().filter(F.col("count") * share > max(total, share * 100)).select(*keys).limit(share).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot.collect(), hot.schema))
+    l = left.join(hot, keys, "left").withColumn("_s", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(ways))).otherwise(F.lit(0).cast("long"))).drop("_hot")  # noqa: E741
+    r = right.join(hot, keys, "left").withColumn("_s", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
+    return l.join(r, [*keys, "_s"]).drop("_s")
 
 
 #: What operators hold in a Python worker between its tasks, and how to drop it. Workers live on from stage to
