@@ -6,9 +6,10 @@ and its weighted probability is half its estimate and half the product of its ch
 the counts of a whole corpus the weights are computed bottom-up at once, and the predictive
 probability of a byte is the posterior mixture along its context path, over all depths.
 
-Counting and scoring run on the executors. Counts come from every training text. The tables that
-are sent out have fixed bounds: NODES deepest contexts (rarer ones share one node below their
-parent, so no count is lost) and COMMON words; the counts of all other words are joined.
+Every context that occurs in training has its own node. The NODES most frequent deepest ones, whose byte
+probabilities are ready in a table, and COMMON words are sent to every executor; those of all other contexts, and
+the counts of all other words, are joined to the places that need them, so the bounds move work and
+no result. A context that never occurred has an empty node below its parent.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textkernel as K
-from quillon.llm.runtime import materialize, session, steps, table, text_parts
+from quillon.llm.runtime import materialize, session, steps, table, text_parts, turn_to
 
 DEPTH = 3
-#: Deepest contexts with a node of their own: at most 64 MB of float32 as bytes' log probabilities.
+#: Deepest contexts whose byte probabilities are sent to every executor: at most 64 MB of float32. Others are joined.
 NODES = 1 << 16
 #: Words whose counts are sent to every executor: 2 MB.
 COMMON = 1 << 17
@@ -132,33 +133,30 @@ def _byte_logs(one: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-class Tree:
-    """The frozen model: log10 byte probabilities for each deepest context that has a row."""
-
-    def __init__(self, deep_ctx, deep_sym, deep_n, mid_ctx, mid_sym, mid_n):
-        """Counts of kept deepest contexts (3 bytes as an int), and of all 2-byte contexts."""
-        ctx2, i2 = np.unique(mid_ctx, return_inverse=True)
-        c2 = np.zeros((len(ctx2), 256))
-        np.add.at(c2, (i2, mid_sym), mid_n)
-        ctx3, i3 = np.unique(deep_ctx, return_inverse=True)
-        order = np.argsort(i3, kind="stable")
-        i3, sym3, n3 = i3[order], np.asarray(deep_sym)[order], np.asarray(deep_n)[order]
-        par3 = np.searchsorted(ctx2, ctx3 & 0xFFFF)
-        other = c2.copy()
-        np.subtract.at(other, (par3[i3], sym3), n3)
-        n0, n1 = _choices(other)
-        below, rest_kt = _log_kt(n0, n1), (n1 + 0.5) / (n0 + n1 + 1)
-        chunk = 2048
-        spans = [(lo, min(lo + chunk, len(ctx3))) for lo in range(0, len(ctx3), chunk)]
-
-        def deep(lo, hi):
-            a, z = np.searchsorted(i3, [lo, hi])
-            c = np.zeros((hi - lo, 256))
-            c[i3[a:z] - lo, sym3[a:z]] = n3[a:z]
-            return _choices(c)
-
-        for lo, hi in spans:
-            np.add.at(below, par3[lo:hi], _log_kt(*deep(lo, hi)))
+def _dense(ctx: np.ndarray, sym: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts in order, and their 256 byte counts as rows."""
+    u, i = np.unique(ctx, return_inverse=True)
+    c = np.zeros((len(u), 256))
+    np.add.at(c, (i, sym), n)
+    return u, c
+
+
+def _below(group: pa.Table) -> pa.Table:
+    """Of the deepest contexts below one of two bytes, the sum of their log estimates, and their counts in all."""
+    ctx = group["ctx"].to_numpy()
+    total, counts = np.zeros((1, 256)), np.zeros((1, 256))
+    _, c = _dense(ctx, group["sym"].to_numpy(), group["n"].to_numpy())
+    for lo in range(0, len(c), 64):
+        total += _log_kt(*_choices(c[lo : lo + 64])).sum(0)
+        counts += c[lo : lo + 64].sum(0)
+    return pa.table({"ctx": [int(ctx[0]) & 0xFFFF], "below": pa.array([total[0].tolist()], pa.list_(pa.float64())), "counts": pa.array([counts[0].tolist()], pa.list_(pa.float64()))})
+
+
+class Paths:
+    """The contexts of two bytes: for each binary choice, what the path down to there gives, and the share
+    that is left for the node below. One more row stands for contexts that lack one."""
+
+    def __init__(self, ctx: np.ndarray, counts: np.ndarray, below: np.ndarray):
         half = np.log(0.5)
 
         def weigh(counts, children):
@@ -167,27 +165,43 @@ class Tree:
             total = half + np.logaddexp(own, children)
             return total, np.exp(half + own - total), (n1 + 0.5) / (n0 + n1 + 1)
 
-        l2, b2, k2 = weigh(c2, below)
+        order = np.argsort(ctx)
+        ctx2, c2 = np.asarray(ctx, np.int64)[order], counts.reshape(-1, 256)[order]
+        l2, b2, k2 = weigh(c2, below.reshape(-1, 256)[order])
         ctx1, i1 = np.unique(ctx2 & 0xFF, return_inverse=True)
         c1, s1 = np.zeros((len(ctx1), 256)), np.zeros((len(ctx1), 256))
         np.add.at(c1, i1, c2)
         np.add.at(s1, i1, l2)
         l1, b1, k1 = weigh(c1, s1)
         _, b0, k0 = weigh(c1.sum(0, keepdims=True), l1.sum(0, keepdims=True))
-        # what the path down to a node gives, and the share that is left for below it
         f0, r0 = b0 * k0, 1 - b0
         f1, r1 = f0 + r0 * b1 * k1, r0 * (1 - b1)
-        f2, r2 = f1[i1] + r1[i1] * b2 * k2, r1[i1] * (1 - b2)
-        logs = [_byte_logs(f0 + r0 * 0.5), _byte_logs(f1 + r1 * 0.5), _byte_logs(f2 + r2 * rest_kt)]
-        for lo, hi in spans:
-            n0, n1 = deep(lo, hi)
-            p = par3[lo:hi]
-            logs.append(_byte_logs(f2[p] + r2[p] * (n1 + 0.5) / (n0 + n1 + 1)))
-        self.logs = np.concatenate(logs)
-        self.ctx1, self.ctx2, self.ctx3 = ctx1, ctx2, ctx3
+        self.first, self.left = f1[i1] + r1[i1] * b2 * k2, r1[i1] * (1 - b2)
+        self.ctx1, self.ctx2 = ctx1, ctx2
+        #: Where nothing stands below a path its node is empty and says 1/2.
+        self.short = np.concatenate([_byte_logs(f0 + r0 * 0.5), _byte_logs(f1 + r1 * 0.5), _byte_logs(self.first + self.left * 0.5)])
+
+    def logs(self, ctx: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 byte probabilities of deepest contexts (3 bytes as an int) with these counts."""
+        out = []
+        for lo in range(0, len(ctx), 1024):
+            p = np.searchsorted(self.ctx2, ctx[lo : lo + 1024] & 0xFFFF)
+            n0, n1 = _choices(counts[lo : lo + 1024])
+            out.append(_byte_logs(self.first[p] + self.left[p] * (n1 + 0.5) / (n0 + n1 + 1)))
+        return np.concatenate(out) if out else np.zeros((0, 256), np.float32)
+
+
+class Tree:
+    """The frozen model as executors have it: log10 byte probabilities of the kept deepest contexts, and of
+    contexts that never occurred; rare ones are known by a bit each, and left to a join."""
+
+    def __init__(self, paths: Paths, ctx3: np.ndarray, logs3: np.ndarray, rare: np.ndarray):
+        self.logs = np.concatenate([paths.short, logs3])
+        self.ctx1, self.ctx2, self.ctx3 = paths.ctx1, paths.ctx2, ctx3
+        self.rare = np.packbits(np.bincount(rare, minlength=1 << 24).astype(bool)) if len(rare) else None
 
     def rows(self) -> np.ndarray:
-        """The row of logs for each of the 2**24 contexts."""
+        """The row of logs for each of the 2**24 contexts; -1 for rare ones."""
         if getattr(self, "_rows", None) is None:
             r1 = np.zeros(256, np.int32)
             r1[self.ctx1] = 1 + np.arange(len(self.ctx1))
@@ -195,25 +209,44 @@ class Tree:
             r2[self.ctx2] = 1 + len(self.ctx1) + np.arange(len(self.ctx2))
             r3 = np.tile(r2, 256)
             r3[self.ctx3] = 1 + len(self.ctx1) + len(self.ctx2) + np.arange(len(self.ctx3))
+            if self.rare is not None:
+                r3[np.unpackbits(self.rare).astype(bool)] = -1
             self._rows = r3
         return self._rows
 
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte after the others."""
-        return self.logs[self.rows()[codes >> np.uint32(8)], codes & np.uint32(0xFF)]
+    def score(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each gram's last byte after the others (0 for rare contexts), and which are rare."""
+        row = self.rows()[codes >> np.uint32(8)]
+        rare = np.flatnonzero(row < 0) if self.rare is not None else np.zeros(0, np.int64)
+        out = self.logs[row, codes & np.uint32(0xFF)]
+        out[rare] = 0
+        return out, rare
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_rows"}
 
 
+def _rare_logs(paths_b):
+    """(ctx, logs) of rare contexts, for the join."""
+
+    def run(group: pa.Table) -> pa.Table:
+        turn_to("ctw")
+        ctx, c = _dense(group["ctx"].to_numpy(), group["sym"].to_numpy(), group["n"].to_numpy())
+        return pa.table({"ctx": pa.array(ctx, pa.int64()), "logs": pa.array(paths_b.value.logs(ctx, c).tolist(), pa.list_(pa.float32()))})
+
+    return run
+
+
 def _score(tree_b, common_b):
     def run(batches):
         tree, (keys, logs) = tree_b.value, common_b.value
+        turn_to("ctw", lambda: tree.__dict__.pop("_rows", None))
         at0, i = TaskContext.get().partitionId() << 36, 0
         for b in batches:
             n = b.num_rows
             tokens, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             tails, lengths = [], [0]
+            far, far_lengths, size = [], [0], np.zeros(n, np.int64)
             for lo, hi in steps(b.column(2)):
                 buf, offsets = text_parts(b.column(2).slice(lo, hi - lo))
                 buf = K.LOWER[buf]
@@ -229,11 +262,16 @@ def _score(tree_b, common_b):
                 tails.append(h[~hit].view(np.int64))
                 lengths += (lengths[-1] + np.cumsum(np.diff(first) - np.diff(hits[first]))).tolist()
                 codes, cf = gram_codes(buf, offsets)
-                score[lo:hi] = np.add.reduceat(tree.score(codes).astype(np.float64), cf[:-1])
+                got, rare = tree.score(codes)
+                score[lo:hi] = np.add.reduceat(got.astype(np.float64), cf[:-1])
+                size[lo:hi] = np.diff(cf)
+                far.append(codes[rare].astype(np.int64))
+                far_lengths += (far_lengths[-1] + np.searchsorted(rare, cf[1:])).tolist()
             tail = pa.ListArray.from_arrays(pa.array(np.array(lengths, np.int32)), pa.array(np.concatenate(tails) if tails else np.zeros(0, np.int64)))
+            grams = pa.ListArray.from_arrays(pa.array(np.array(far_lengths, np.int32)), pa.array(np.concatenate(far) if far else np.zeros(0, np.int64)))
             rid = pa.array(at0 + np.arange(i, i + n))
             i += n
-            yield pa.RecordBatch.from_arrays([rid, b.column(0), b.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), tail], ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([rid, b.column(0), b.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), pa.array(size), tail, grams], ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "size", "tail", "grams"])
 
     return run
 
@@ -247,9 +285,11 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     """Scores every text with a model learnt from the rows where held_out (a column) isn't true.
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram,
-    log10) and score (the tree's log10 probability of the text's lower-cased bytes and its end). Null texts are empty: one token, the end. No training rows: every estimate
-    starts from no counts. Null ids and repeated rows are kept as they are; an empty table gives
-    no rows; other columns are ignored. Words are counted by 64-bit hashes.
+    log10), score (the tree's log10 probability of the text's lower-cased bytes and its end) and
+    bits_per_byte (its code length, the end counted as a byte). Null texts are empty: one token, the end. No
+    training rows: every estimate starts from no counts. Null ids and repeated rows are kept as they are; ties
+    between equally frequent contexts or words only decide which are joined; an empty table gives
+    no rows; other columns are ignored. Long texts are read whole, in steps. Words are counted by 64-bit hashes.
     """
     spark = session(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -268,18 +308,29 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     common_b = spark.sparkContext.broadcast((keys.astype(np.int64).view(np.uint64)[order], np.log10(n[order] + 1.0)))
 
     grams = counted.filter("kind = 1").select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(255).cast("int").alias("sym"), "n")
-    mid = grams.groupBy(F.col("ctx").bitwiseAND(0xFFFF).alias("ctx"), "sym").agg(F.sum("n").alias("n"))
-    kept = grams.groupBy("ctx").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "ctx").limit(NODES).select("ctx")
-    deep = grams.join(F.broadcast(kept), "ctx", "left_semi")
-    tree_b = spark.sparkContext.broadcast(Tree(*_columns(deep, "ctx", "sym", "n"), *_columns(mid, "ctx", "sym", "n")))
-
-    scored = materialize(rows.mapInArrow(_score(tree_b, common_b), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>"), "lm-scored")
+    # a group is what stands below two bytes: 65,536 rows at most, and as many groups
+    mid = grams.groupBy(F.col("ctx").bitwiseAND(0xFFFF).alias("mid")).applyInArrow(_below, "ctx long, below array<double>, counts array<double>").toArrow()
+    flat = lambda c: mid[c].combine_chunks().flatten().to_numpy() if mid.num_rows else np.zeros(0)
+    paths = Paths(mid["ctx"].to_numpy(), flat("counts"), flat("below"))
+    seen = grams.groupBy("ctx").agg(F.sum("n").alias("m"))
+    kept = seen.orderBy(F.desc("m"), "ctx").limit(NODES).select("ctx")
+    ctx3, counts3 = _dense(*_columns(grams.join(F.broadcast(kept), "ctx", "left_semi"), "ctx", "sym", "n"))
+    # at most 2**24 contexts, one bit of each is sent
+    rare = np.setdiff1d(_columns(seen.select("ctx"), "ctx")[0], ctx3) if len(ctx3) >= NODES else np.zeros(0, np.int64)
+    tree_b = spark.sparkContext.broadcast(Tree(paths, ctx3, paths.logs(ctx3, counts3), rare))
+
+    scored = materialize(rows.mapInArrow(_score(tree_b, common_b), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, size long, tail array<long>, grams array<long>"), "lm-scored")
     if least:
-        rare = words.filter((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("key") > least[1])))
-        tail = scored.select("rid", F.explode("tail").alias("key")).join(rare, "key").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("add"))
+        less = words.filter((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("key") > least[1])))
+        tail = scored.select("rid", F.explode("tail").alias("key")).join(less, "key").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("add"))
         scored = scored.drop("tail").join(tail, "rid", "left")
     else:
         scored = scored.withColumns({"more": F.lit(0).cast("long"), "add": F.lit(0.0)})
+    if len(rare):
+        far = grams.join(F.broadcast(kept), "ctx", "left_anti").groupBy(F.shiftright("ctx", 4).alias("part")).applyInArrow(_rare_logs(spark.sparkContext.broadcast(paths)), "ctx long, logs array<float>")
+        asked = scored.select("rid", F.explode("grams").alias("gram")).groupBy("rid", "gram").agg(F.count("*").alias("c")).withColumn("ctx", F.shiftright("gram", 8))
+        found = asked.join(far, "ctx").groupBy("rid").agg(F.sum(F.col("c") * F.element_at("logs", F.col("gram").bitwiseAND(255).cast("int") + 1).cast("double")).alias("rest"))
+        scored = scored.drop("grams").join(found, "rid", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
     end = float(np.log10(texts + 1.0))
     return scored.select(
         F.col("doc_id").alias(id_col),
@@ -289,6 +340,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("add", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))).alias("base_score"),
         F.col("score"),
+        (F.col("score") * F.lit(-float(np.log2(10.0))) / F.col("size")).alias("bits_per_byte"),
     )
 
 

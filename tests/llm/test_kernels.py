@@ -141,9 +141,12 @@ def test_tree_is_a_distribution_and_matches_recursion():
     assert np.diff(first).tolist() == [5, 5, 3] and [hex(c) for c in codes[:2]] == ["0xffffff61", "0xffff6162"]
     u, n = np.unique(codes, return_counts=True)
     deep = ((u >> np.uint32(8)).astype(np.int64), (u & np.uint32(255)).astype(np.int64), n)
-    tree = ctw.Tree(*deep, deep[0] & 0xFFFF, deep[1], deep[2])
+    below = [ctw._below(pa.table({"ctx": deep[0][at], "sym": deep[1][at], "n": deep[2][at]})) for m in np.unique(deep[0] & 0xFFFF) if len(at := np.flatnonzero(deep[0] & 0xFFFF == m))]
+    paths = ctw.Paths(*(np.array([x for t in below for x in t[c].to_pylist()]) for c in ("ctx", "counts", "below")))
+    ctx3, counts3 = ctw._dense(*deep)
+    tree = ctw.Tree(paths, ctx3, paths.logs(ctx3, counts3), np.zeros(0, np.int64))
     for ctx in (0xFFFFFF, 0x616261, 0x7A7A7A, 0x7A7A61, 0x7A6261):
-        p = tree.score(np.uint32(ctx << 8) | np.arange(256, dtype=np.uint32))
+        p = tree.score(np.uint32(ctx << 8) | np.arange(256, dtype=np.uint32))[0]
         assert np.sum(10.0 ** p.astype(np.float64)) == pytest.approx(1, abs=1e-5)
 
     from math import exp, lgamma, log
@@ -178,11 +181,11 @@ def test_tree_is_a_distribution_and_matches_recursion():
             p = est if depth == 3 else (b := exp(log(0.5) + kt(*n) - weight(suffix, depth, node))) * est + (1 - b) * p
         return p
 
-    for ctx, sym in ((0xFFFFFF, 0x61), (0xFF6162, 0x61), (0x616162, 0x62)):
+    for ctx, sym in ((0xFFFFFF, 0x61), (0xFF6162, 0x61), (0x616162, 0x62), (0x7A6162, 0x61), (0x7A7A61, 0x62)):
         want = 0.0
         for j in range(8):
             want += np.log10(predict(ctx, 1 << j | sym >> (8 - j), sym >> (7 - j) & 1))
-        assert tree.score(np.array([ctx << 8 | sym], np.uint32))[0] == pytest.approx(want, abs=1e-4)
+        assert tree.score(np.array([ctx << 8 | sym], np.uint32))[0][0] == pytest.approx(want, abs=1e-4)
 
 
 def test_language_vectors():

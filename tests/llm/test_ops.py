@@ -1,5 +1,6 @@
 """Every operator through Spark: odd rows, empty tables, clashing columns, and results against brute force."""
 
+import math
 import random
 import re
 
@@ -180,6 +181,33 @@ def test_lm_prefers_what_it_has_seen(spark):
     assert got[90] > got[91] * 0.2
 
 
+def test_lm_joins_give_what_the_tables_give(spark, monkeypatch):
+    """Base columns against plain Python; the same scores whether words and contexts are sent or joined."""
+    rng = random.Random(9)
+    words = ["a", "bb", "the", "The", "é", "日本", "x1", "zq"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(60)] + [(100, None), (101, ""), (102, "unseen the"), (None, "the the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 2
+    whole = {str(r[0]): r for r in ctw.lm_scores(df, held).collect()}
+    monkeypatch.setattr(ctw, "COMMON", 3)
+    monkeypatch.setattr(ctw, "NODES", 4)
+    joined = {str(r[0]): r for r in ctw.lm_scores(df, held).collect()}
+    fold = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    count = {}
+    for i, t in rows:
+        if i is None or i % 5 != 2:
+            for w in [*fold(t), "<end>"]:
+                count[w] = count.get(w, 0) + 1
+    total = sum(count.values())
+    for i, t in rows:
+        a, b, ws = whole[str(i)], joined[str(i)], [*fold(t), "<end>"]
+        assert (a["n_tokens"], a["n_known"], a["train_tokens"]) == (b["n_tokens"], b["n_known"], b["train_tokens"]) == (len(ws), sum(w in count for w in ws), total)
+        base = sum(math.log10((count.get(w, 0) + 1) / (total + len(count) + 1)) for w in ws)
+        assert a["base_score"] == pytest.approx(base) and b["base_score"] == pytest.approx(base)
+        assert a["score"] == pytest.approx(b["score"], abs=1e-4)
+        assert a["bits_per_byte"] == pytest.approx(-a["score"] * math.log2(10) / (len((t or "").encode()) + 1))
+
+
 @pytest.mark.parametrize("name", ["op3_chat_format", "op6_topk", "op10_ngram_join"])
 def test_sql(name, spark, duck):
     from oracle import check
