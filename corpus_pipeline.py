@@ -16,31 +16,66 @@ from quillon.llm.runtime import materialize, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _text_key(docs: DataFrame) -> DataFrame:
+    """Adds _key: 128 bits of a row's text, for decisions that depend on the text alone. Null and empty texts differ."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit("\x00null"))
+    return docs.withColumn("_key", F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b")))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language stay, with lang as predicted; those that are rejected go."""
+    """Documents of a known language stay, with lang as predicted; those that are rejected go.
+
+    Null texts and texts without a letter are rejected. Each row is judged by its own text: repeated rows and
+    null or shared ids don't matter, nor do other columns. Ties go to the first language in order. An empty table stays
+    empty. Texts of any length are read whole, in steps of bounded size.
+    """
     return langid.accepted(docs, langid.fit(docs, F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of 5-word shingles at 80 percent the smallest doc_id stays, once; rows without an id stay."""
-    found = ngramjoin.ngram_components(docs, k=5, percent=80)
-    kept = found.filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id is null"))
+    """Of each component of 5-word shingles at 80 percent one row stays: that of the smallest doc_id, where null comes
+    last; of rows that share it, the one with the smallest hash.
+
+    Rows are told apart by their whole content, not by their id: different texts under one id are judged one by one, and
+    repeated rows, null ids included, are copies of which one stays. Null texts and texts without words are linked with
+    nothing and all stay. Columns other than those of documents take part in a row's identity and are passed on.
+    An empty table stays empty.
+    """
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in docs.columns]
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b")))
+    found = ngramjoin.ngram_components(keyed, id_col="_key", k=5, percent=80)
+    hashes = lambda c: (F.col(f"{c}.a").alias("a"), F.col(f"{c}.b").alias("b"))
+    gone = found.filter("n_shingles > 0 AND component_id <> _key").select(*hashes("_key")).distinct()
+    wordless = found.filter("n_shingles = 0").select(*hashes("_key")).distinct().withColumn("wordless", F.lit(True))
+    rows = keyed.select(*docs.columns, *hashes("_key")).join(gone, ["a", "b"], "left_anti").join(wordless, ["a", "b"], "left")
+    # copies of a row that stays have its hashes, so they meet where the joins have brought them
+    once = rows.filter("wordless IS NULL").dropDuplicates(["a", "b"])
+    return once.select(docs.columns).union(rows.filter("wordless").select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly, go."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item, or nearly, go.
+
+    A row is judged by its own text: one with a null id goes if its text holds an item, and a clean one stays though
+    another row under its id goes. Repeated rows go or stay together; null and empty texts stay; other columns are passed on.
+    An empty table, or an empty benchmark, changes nothing.
+    """
+    keyed = _text_key(docs)
+    found = decontam.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
+    return keyed.join(found.select("_key").distinct(), "_key", "left_anti").select(docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets, and n_chars follows.
+
+    Every row stays, repeated ones and those with null ids too; null texts stay null; of spans that overlap the
+    first decides; other columns are passed on. An empty table stays empty.
+    """
     return pii.redact_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests and the token ids themselves."""
+    """doc_id, n_tokens, digests and the token ids themselves, for every row; null texts count as empty."""
     return bpe.encode_texts(docs, keep=True)
 
 
