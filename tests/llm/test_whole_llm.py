@@ -49,3 +49,51 @@ def test_pipeline_drops_copies_at_five_words_and_80_percent(spark):
     rows = [(1, " ".join(w)), (2, " ".join(w + [f"x{i}" for i in range(20)])), (3, " ".join(w + [f"y{i}" for i in range(30)]))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_main_text_of_pages_without_markers():
+    w = htmlmain.learn(PAGES)
+    text = " ".join(f"w{i}" for i in range(60))
+    nav, foot = "<nav><a>Home</a></nav>", "<footer>f</footer>"
+    want = {
+        f'<body><p class="share">Share<p>Real {text}<p>more</body>': f"Real {text}\nmore",
+        f'<body>{nav}<div id="content" class="has-sidebar"><p>{text}</p></div>{foot}': text,
+        f'<body>{nav}<div class="article-with-comments"><p>{text}</p><div id="comments"><p>{text} {text}</p></div></div>{foot}': text,
+        f'<body><ul><li class="menu-item">Home<li class="menu-item">About</ul><div><p>{text}</p></div>{foot}': text,
+        f'<body><form action="/x">{nav}<div><p>{text}</p></div></form></body>': text,
+        f'<body>{nav}<div class="post"><p>{text}</p><div class="post-share">share it</div><p>end</p></div><div class="entry-comments"><p>{text}</p></div>{foot}': f"{text}\nend",
+        f"<body>{nav}<div class='ad'>buy<article><p>{text}</p></article>{foot}": text,
+        f"<body>{nav}<div class='ad'>{text}</div><article><h1>T</h1></article>{foot}": "T",
+        f"<body>{nav}<div class='widget'><p>{text}</p></div>{foot}": text,
+        f"<body>{nav}<div class='ad'>buy this now</div>{foot}": "",
+        f"<body><table><tr><td class=sidebar>links<td><p>{text}</table>{foot}": text,
+        f"<body>{nav}<form><input name=q></form><p>{text}<form>news</form><p>end</p>{foot}": f"{text}\nend",
+    }
+    for page, found in want.items():
+        assert htmlmain.extract(page, w) == found, page
+
+
+def test_main_text_in_linear_time_and_against_all_regions():
+    import time
+
+    w = htmlmain.learn(PAGES)
+    for part in ("<li class=menu>x<h1>", "<b>", "<p>a", "<div class=ad>", "</p><b><div></div>", "<td>x<table>", "<select><option>a"):
+        t = time.perf_counter()
+        htmlmain.extract(part * (200_000 // len(part)), w)
+        assert time.perf_counter() - t < 10, part
+    rng = random.Random(4)
+    pieces = ["<p>", "</p>", "<div>", "</div>", "a b c", "x", "<li>", "<a>", "</a>", "<br>", "<nav>m</nav>", "<h1>"]
+    for _ in range(150):
+        toks = htmlmain.tokens("".join(rng.choice(pieces) for _ in range(rng.randrange(1, 30))))
+        points = [htmlmain.value(t, f, n, w) for t, (f, n) in zip(toks, htmlmain._features(toks))]
+        lo, hi = htmlmain.region(toks, w)
+        best = max([0.0, *(sum(points[i:j]) for i in range(len(points)) for j in range(i + 1, len(points) + 1))])
+        assert abs(sum(points[lo:hi]) - best) < 1e-9
+
+
+def test_main_text_of_all_pages_without_their_markers(spark):
+    from conftest import SF
+
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    w = htmlmain.learn(pages)
+    assert all(htmlmain.extract(p, w) == htmlmain.extract(p.replace("<article", "<div").replace("</article", "</div"), w) != "" for p in pages)
