@@ -91,38 +91,67 @@ def sample_places() -> list[np.ndarray]:
     return [rng.random_sample((KEYS, PLACES)) * REACH for _ in range(WALKS)]
 
 
-def best_place(item: bytes, text: bytes, most: int | None = None) -> tuple[int, int]:
-    """(least edit distance of item to any stretch of text, end of the first such stretch): Myers' bit
-    vectors. With most, the scan ends where a distance so small can't be reached any more."""
-    m = len(item)
-    if item in text:
-        return 0, text.index(item) + m
-    n, most = len(text), m if most is None else most
-    peq: dict[int, int] = {}
-    for i, c in enumerate(item):
-        peq[c] = peq.get(c, 0) | (1 << i)
-    mask, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score = mask, 0, m
-    best, end = m, 0
-    for j, c in enumerate(text, 1):
-        eq = peq.get(c, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv) & mask
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph, mh = (ph << 1) & mask, (mh << 1) & mask
-        pv, mv = mh | ~(xv | ph) & mask, ph & xv
-        if score < best:
-            best, end = score, j
-        elif not j & 15 and score - (n - j) > most < best:
-            break  # a score falls by one a character at most
+def _tables(items: list[bytes], words: int) -> np.ndarray:
+    """For each item, byte and 64-bit word: at which of the word's places of the item the byte stands."""
+    out = np.zeros((len(items), 256, words), np.uint64)
+    for i, t in enumerate(items):
+        at = np.arange(len(t))
+        np.bitwise_or.at(out, (i, np.frombuffer(t, np.uint8), at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def best_places(items: list[bytes], own: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(least edit distance of items[own[k]] to any stretch of texts[k], end of the first such stretch) for all
+    k: Myers' bit vectors in words of 64 bits, one step of all texts at a time. Items are not empty."""
+    sizes = np.array([len(t) for t in items], np.int64)
+    best, end = sizes[own].copy(), np.zeros(len(own), np.int64)
+    blocks = -(-sizes[own] // 64)
+    one, top = np.uint64(1), np.uint64(63)
+    blocks += blocks & 1  # fewer and larger groups
+    for words in np.unique(blocks).tolist():
+        rows = np.flatnonzero(blocks == words)
+        rows = rows[np.argsort([-len(texts[k]) for k in rows], kind="stable")]  # those that end first stand last
+        mine, at = np.unique(own[rows], return_inverse=True)
+        table = _tables([items[i] for i in mine], words)
+        n = np.array([len(texts[k]) for k in rows])
+        wide = np.zeros((int(n.max(initial=0)), len(rows)), np.uint8)
+        for r, k in enumerate(rows):
+            wide[: len(texts[k]), r] = np.frombuffer(texts[k], np.uint8)
+        pv = [np.full(len(rows), ~np.uint64(0)) for _ in range(words)]
+        mv = [np.zeros(len(rows), np.uint64) for _ in range(words)]
+        last = ((sizes[own[rows]] - 1) & 63).astype(np.uint64)
+        at_word = [np.flatnonzero((sizes[own[rows]] - 1) >> 6 == w) for w in range(words)]
+        score = sizes[own[rows]].copy()
+        low, where = score.copy(), np.zeros(len(rows), np.int64)
+        left = np.searchsorted(-n, -np.arange(len(wide)), "left")  # texts longer than j
+        for j, m in enumerate(left.tolist()):
+            eqs = table[at[:m], wide[j, :m]]
+            plus = minus = np.zeros(m, np.uint64)  # what the word before hands on
+            for w in range(words):
+                eq, p, q = eqs[:, w], pv[w][:m], mv[w][:m]
+                xv = eq | q
+                eq = eq | minus
+                xh = (((eq & p) + p) ^ p) | eq
+                ph, mh = q | ~(xh | p), p & xh
+                ends = at_word[w][: np.searchsorted(at_word[w], m)]  # items whose last byte stands in this word
+                if len(ends):
+                    score[ends] += (ph[ends] >> last[ends] & one).astype(np.int64) - (mh[ends] >> last[ends] & one).astype(np.int64)
+                up, down = ph >> top, mh >> top
+                ph, mh = ph << one | plus, mh << one | minus
+                plus, minus = up, down
+                pv[w][:m], mv[w][:m] = mh | ~(xv | ph), ph & xv
+            better = np.flatnonzero(score[:m] < low[:m])
+            low[better], where[better] = score[better], j + 1
+        best[rows], end[rows] = low, where
     return best, end
 
 
+def best_place(item: bytes, text: bytes) -> tuple[int, int]:
+    """best_places() of one."""
+    got = best_places([item], np.zeros(1, np.int64), [text])
+    return int(got[0][0]), int(got[1][0])
+
+
 class Items:
     """A block of benchmark items: bytes, and their anchors by hash."""
 
@@ -263,7 +292,7 @@ def _windows(col: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int,
             yield lo + d, i, max(0, w), a + p - begin, q, bytes(stretch)
 
 
-def _match(items_b, percent: int, embed_rows: int = 4096):
+def _match(items_b, percent: int, embed_rows: int = 16384):
     def run(batches):
         turn_to("decontam")
         items = items_b.value
@@ -278,6 +307,7 @@ def _match(items_b, percent: int, embed_rows: int = 4096):
 
         def flush(kind):
             found: dict[tuple[int, int], tuple[int, int]] = {}
+            near: list[tuple[int, int, int, int, int, bytes]] = []
             held.sort(key=lambda x: int(items.lengths[x[1]]) - x[4])  # strings of a length are embedded together
             for a in range(0, len(held), 1024):
                 part = held[a : a + 1024]
@@ -287,13 +317,12 @@ def _match(items_b, percent: int, embed_rows: int = 4096):
                 sizes = [int(items.lengths[i]) - q for _, i, _, _, q, _ in part]
                 keys = keys_of([t[p : p + n] for (*_, p, _, t), n in zip(part, sizes, strict=True)], sizes)
                 meet = (keys == mine[[at[i, q] for _, i, _, _, q, _ in part]]).any(1)
-                for (d, i, w, _, _, t), ok in zip(part, meet.tolist(), strict=True):
-                    if not ok:
-                        continue
-                    most = (100 - percent) * int(items.lengths[i]) // 100
-                    dist, _ = best_place(items.bytes[i], t, most)
-                    if dist <= most:
-                        found[(d, i)] = min(found.get((d, i), (dist, w)), (dist, w))
+                near += [x for x, ok in zip(part, meet.tolist(), strict=True) if ok]
+            some, which = np.unique(np.array([i for _, i, *_ in near], np.int64), return_inverse=True)
+            dist, _ = best_places([items.bytes[i] for i in some], which, [t for *_, t in near])
+            for (d, i, w, *_), e in zip(near, dist.tolist(), strict=True):
+                if e <= (100 - percent) * int(items.lengths[i]) // 100:
+                    found[(d, i)] = min(found.get((d, i), (e, w)), (e, w))
             keys = sorted(found)
             return pa.RecordBatch.from_arrays(
                 [pa.array([ids[d] for d, _ in keys], kind), pa.array([items.ids[i] for _, i in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([1 - found[k][0] / max(1, int(items.lengths[k[1]])) for k in keys], pa.float64())],

@@ -130,7 +130,14 @@ def test_edit_search():
         a, b = (bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 25))) for _ in "xy")
         want = brute(a, b)
         assert decontam.best_place(a, b)[0] == min(want, len(a))
-        assert (decontam.best_place(a, b, 3)[0] <= 3) == (want <= 3)
+    many = [bytes(rng.choice(b"ab c") for _ in range(n)) for n in (1, 63, 64, 65, 128, 129, 200, 300)]
+    texts = [bytes(rng.choice(b"ab c") for _ in range(rng.randrange(0, 400))) for _ in range(40)] + [b"xx" + t[:-3] + b"y" for t in many]
+    own = np.array([rng.randrange(8) for _ in range(40)] + list(range(8)))
+    dist, end = decontam.best_places(many, own, texts)
+    for k, (i, t) in enumerate(zip(own, texts)):
+        assert dist[k] == min(brute(many[i], t), len(many[i])), (k, len(many[i]))
+        if dist[k] < len(many[i]):
+            assert brute(many[i], t[: end[k]]) == dist[k] and (brute(many[i], t[: end[k] - 1]) > dist[k])
 
 
 def test_tree_is_a_distribution_and_matches_recursion():
