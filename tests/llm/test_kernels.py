@@ -98,21 +98,26 @@ def test_licence_expressions():
     assert licenses.scan("")[:4] == (0, 0, None, None) and licenses.scan("permit licensed")[1] == 0
 
 
-def test_top_k_is_exact():
+def test_bounds_hold_and_survivors_hold_the_best():
     rng = np.random.RandomState(3)
     for scale in (3, 1000, 40_000):
         v = rng.randint(-scale, scale, (300, 8))
         v[50:80] = v[50]
+        v[7] *= 1000
         ids = rng.permutation(300).astype(np.int64)
+        shift = np.array([max(0, int(np.abs(x).max()).bit_length() - 7) for x in v])
+        cells = (v >> shift[:, None]).astype(np.int8)
+        assert (cells == v >> shift[:, None]).all()
         q = np.arange(0, 300, 30)
-        a, b, s, read = vafile.search_block(ids[q], v[q], ids, v, 10)
-        at = 0
-        for i in q:
-            want = sorted((-int(v[i] @ v[j]), int(ids[j])) for j in range(300) if ids[j] != ids[i])[:10]
-            assert [(-int(x), int(y)) for x, y in zip(s[at : at + 10], b[at : at + 10])] == want
-            at += 10
-        assert read < 300 * len(q)
-    assert len(vafile.search_block(ids[:1], v[:1], ids[:3], v[:3], 10)[0]) == 2
+        low, up = vafile.bounds(v[q], cells, shift)
+        exact = v[q] @ v.T
+        assert (low <= exact).all() and (exact <= up).all()
+        i, j, lo, hi = vafile.survivors(ids[q], v[q], ids, cells, shift, 10)
+        for n, at in enumerate(q):
+            want = sorted((-int(exact[n, c]), int(ids[c])) for c in range(300) if c != at)[:10]
+            assert {x for _, x in want} <= set(ids[j[i == n]])
+        assert len(i) < 150 * len(q)
+    assert len(vafile.survivors(ids[:1], v[:1], ids[:3], cells[:3], shift[:3], 10)[0]) == 2
 
 
 def test_edit_search():

@@ -154,13 +154,32 @@ def test_chat_rotation(spark):
 
 def test_top_k_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [nan, 1.0]), (4, None), (5, [inf, 0.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (9, [-2.0, 0.0])]
-    got = [tuple(r) for r in vafile.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("c"))).orderBy("query_id", "rank").collect()]
-    one = 1024
-    assert got == [(0, 1, 1, one * one), (0, 2, 2, one * one), (0, 3, 100, one * one // 2), (0, 4, 9, -2 * one * one), (100, 1, 0, one * one // 2), (100, 2, 1, one * one // 2), (100, 3, 2, one * one // 2), (100, 4, 9, -one * one)]
+    rows = [(0, [1.0, 0.0]), (100, [0.5, 0.5]), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [nan, 1.0]), (4, None), (5, [inf, 0.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (9, [-2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("score", "id", "v", "d", "b", "qb", "rid", "shift"):
+        df = df.withColumn(name, F.lit("c"))
+    got = [tuple(r) for r in vafile.top_k(df).orderBy("query_id", "rank").collect()]
+    one = 1024 * 1024
+    assert got == [(0, 1, 1, one), (0, 2, 1, one), (0, 3, 2, one), (0, 4, 100, one // 2), (0, 5, 100, one // 2), (0, 6, 9, -2 * one), (100, 1, 0, one // 2), (100, 2, 1, one // 2), (100, 3, 1, one // 2), (100, 4, 2, one // 2), (100, 5, 9, -one)]
     assert vafile.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_against_brute_force(spark, monkeypatch):
+    """Several blocks of both sides, copies, ties, a huge vector, and more survivors than the first reads."""
+    monkeypatch.setattr(vafile, "QUERIES", 4)
+    rng = random.Random(6)
+    vecs = [(i, [rng.choice((-1, 0, 1)) * rng.random() for _ in range(6)]) for i in range(900)]
+    vecs = [(i, [0.5] * 6 if 300 <= i < 400 else [x * 1e6 for x in v] if i == 17 else v) for i, v in vecs]
+    ints = [(i, [math.floor(1024 * x) for x in v]) for i, v in vecs]
+    want = []
+    for i, q in ints:
+        if i % 100 == 0:
+            top = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in ints if j != i)[:10]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(top, 1)]
+    got = vafile.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_main_text_rows(spark):
     rows = [(1, "u", "<article><p>a b</p></article>"), (1, "u", "<article><p>a b</p></article>"), (None, None, "<nav>x</nav>"), (2, "v", None), (3, "w", "")]
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in htmlmain.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("c")).withColumn("h", F.lit(1))).collect()), key=str)
