@@ -256,8 +256,10 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     """id_col, n_tokens, ids_sha256, decoded_sha256 and, with keep, the ids themselves; decode_texts() turns those
     back into text.
 
-    Null texts count as empty: no tokens. Repeated rows and null ids are kept; an empty table
-    gives no rows; other columns are ignored. path is a file on every executor.
+    Null texts count as empty: no tokens. Long texts are encoded whole. A prefix has one last token only, so there are
+    no ties. Repeated rows and null ids are kept; an empty table
+    gives no rows; other columns are ignored. path is a file on every executor. Characters that only a newer
+    Unicode than the regex module's knows count as no letters.
     """
     session(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,8 +1,9 @@
 """Chat formatting by perspective rotation, in DataFrame functions only.
 
 For every participant a dialogue is rendered with that speaker as the assistant and all others as
-named users; a mask marks what the assistant says. Long dialogues come in parts of PART turns'
-numbers, so no dialogue has to fit into one row; parts in order are the whole rendering.
+named users; a mask marks what the assistant says. Long dialogues come in parts of PART turn
+numbers, so that a row doesn't grow with its dialogue (turns that share a number, or lack one, stand in one part);
+parts in order are the whole rendering, and joined() puts those of dialogues that fit a row together.
 """
 
 from __future__ import annotations
@@ -68,6 +69,22 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return heads.select("conv_id", "speaker", "part", F.size("turns").cast("long").alias("n_turns"), rendered.alias("rendered"), F.array_join(walked["spans"], ",").alias("masks"))
 
 
+def joined(parts: DataFrame) -> DataFrame:
+    """conv_id, speaker, n_turns, rendered, masks: the parts of each rendering in order as one text, with masks moved by
+    what stands before. Only for dialogues that fit a row; the parts of others are better written one by one."""
+    got = parts.groupBy("conv_id", "speaker").agg(F.sum("n_turns").alias("n_turns"), F.sort_array(F.collect_list(F.struct("part", "rendered", "masks"))).alias("p"))
+    ends = lambda m, at: F.array_join(F.transform(F.split(m, ":"), lambda x: (x.cast("long") + at).cast("string")), ":")
+    moved = F.aggregate(
+        "p",
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("m")),
+        lambda s, p: F.struct(
+            (s["at"] + F.length(p["rendered"])).cast("long").alias("at"),
+            F.when(p["masks"] == "", s["m"]).otherwise(F.concat(s["m"], F.transform(F.split(p["masks"], ","), lambda m: ends(m, s["at"])))).alias("m"),
+        ),
+    )
+    return got.select("conv_id", "speaker", "n_turns", F.array_join(F.transform("p", lambda p: p["rendered"]), "").alias("rendered"), F.array_join(moved["m"], ",").alias("masks"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations from every participant's side."""
     return rotate(table(spark, sf_dir, "conversations"))

@@ -21,8 +21,8 @@ from quillon.llm.runtime import session, steps, table, text_parts, turn_to
 
 DIMS = 4096
 CENTROIDS = 4
-#: Most labelled texts of a language that the centroids are fitted on, and most languages.
-SAMPLE, LANGUAGES = 300, 256
+#: Most labelled texts of a language that the centroids are fitted on.
+SAMPLE = 300
 #: A text is rejected below this share of the cosine that its language's texts reach at its length.
 SHARE = 0.2
 #: Letters count runs of other bytes (digits, punctuation) as one space.
@@ -125,9 +125,9 @@ class Model:
 
     def predict(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Centroid, cosine, and whether the text is too far from it, for rows of counts."""
-        near = weighted(c, self.idf) @ self.centres.T
+        near = weighted(c, self.idf).astype(np.float32) @ self.centres.T
         best = near.argmax(1)
-        cos = np.clip(near[np.arange(len(c)), best], 0, 1)
+        cos = np.clip(near[np.arange(len(c)), best].astype(np.float64), 0, 1)
         # a short text has few n-grams and so a smaller cosine: allow for it
         grams = c.sum(1)
         least = SHARE * self.mids[best] * np.minimum(1, np.sqrt(grams / 3000))
@@ -154,16 +154,17 @@ def _predict(model_b):
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Centroids from at most SAMPLE texts of each of at most LANGUAGES languages, among rows where
-    train is true and the language isn't null. The sample is chosen by a hash of the id."""
+    """Centroids from at most SAMPLE texts of each language, among rows where train is true and the language isn't
+    null: those whose ids' hashes come first. The model takes 64 KB a language in every worker."""
     spark = session(docs.sparkSession)
     ids = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.join(F.broadcast(common), "lang", "left_semi").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE).select("id").distinct()
+    # of a frequent language only rows below a hash come to its window: four times as many as asked for, on average
+    hashed = ids.withColumn("h", F.xxhash64("id"))
+    share = hashed.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.count("*")).alias("share"))
+    low = hashed.join(share, "lang").filter((F.col("h") / 2.0**64 + 0.5) < F.col("share"))
+    chosen = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= SAMPLE).select("id").distinct()
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    # at most SAMPLE * LANGUAGES ids
-    sample = rows.join(F.broadcast(chosen), "id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))).filter(F.col("k") <= SAMPLE).select("text", "lang")
+    sample = rows.join(chosen, "id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))).filter(F.col("k") <= SAMPLE).select("text", "lang")
     sample = sample.persist()
     try:
         parts = sample.select("text").mapInArrow(_frequencies, "df array<double>, n long").collect()
@@ -174,7 +175,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         got = sample.groupBy("lang").applyInArrow(_fit(idf_b), "lang string, centre array<float>, mid double").orderBy("lang").collect()
     finally:
         sample.unpersist()
-    return Model(idf, [r["lang"] for r in got], np.array([r["centre"] for r in got], np.float64).reshape(-1, DIMS), np.array([r["mid"] for r in got]))
+    return Model(idf, [r["lang"] for r in got], np.array([r["centre"] for r in got], np.float32).reshape(-1, DIMS), np.array([r["mid"] for r in got]))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -182,7 +183,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     lang_pred is 'und' with score 0, and the row is rejected, if the text is null or has no letter
     or the model knows no language. Repeated rows and null ids are kept; ties go to the first
-    centroid in order of language; an empty table gives no rows; other columns are ignored.
+    centroid in order of language; long texts are read whole; an empty table gives no rows; other columns are ignored.
     """
     spark = session(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

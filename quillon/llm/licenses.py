@@ -67,15 +67,19 @@ def family(identifier: str) -> str | None:
 
 
 def parse(expression: str) -> list[str] | None:
-    """Postfix of the longest leading expression, by shunting-yard; None if there is none."""
+    """Postfix of the longest leading expression, by shunting-yard; None if there is none. What follows it is prose,
+    an operator without what it asks for included; an identifier after an operator is part of it if its family is
+    known or no other word follows."""
+    tokens = _TOKEN.findall(expression)
     out: list[str] = []
     stack: list[str] = []
     operand = False
-    for token in _TOKEN.findall(expression):
+    done: list[str] | None = None  # the postfix of the longest expression so far
+    for i, token in enumerate(tokens):
         low = token.lower()
         if low in _PRECEDENCE:
             if not operand:
-                return None
+                break
             while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[low]:
                 out.append(stack.pop())
             stack.append(low)
@@ -93,11 +97,14 @@ def parse(expression: str) -> list[str] | None:
         else:
             if operand:
                 break  # prose after the expression
+            named = family(token) or stack and stack[-1] == "with"
+            if done is not None and not named and i + 1 < len(tokens) and tokens[i + 1] != ")" and tokens[i + 1].lower() not in _PRECEDENCE:
+                break  # 'MIT and more prose'
             out.append(token)
             operand = True
-    if not operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+        if operand and "(" not in stack:
+            done = out + stack[::-1]
+    return done
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float] | None:
@@ -164,7 +171,8 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, expression.
 
     score is the freedom of use that all notices and expressions of a text leave together (their
-    smallest), and 0 without any. Null texts count as empty: no words and no places. Repeated rows
+    smallest), and 0 without any. Null texts count as empty: no words and no places. Places of several phrases
+    count each; labels are sorted. Long texts are scanned whole. Repeated rows
     and null ids are kept; an empty table gives no rows; other columns are ignored.
     """
     session(docs.sparkSession)

@@ -82,6 +82,8 @@ def test_pii_is_what_the_patterns_say():
     assert [s[0] for s in pii.spans("iban DE89 3704 0044 0532 0130 00 ok")] == ["iban"]
     assert not pii.spans("iban DE89 3704 0044 0532 0130 01 ok")
     assert [s[0] for s in pii.spans("my ssn is 123-45-6789")] == ["ssn"] and not pii.spans("part 123-45-6789")
+    lower, raised = pii.scored("order 4111111111111111", "card", 6, 22), pii.scored("visa 4111111111111111", "card", 5, 21)
+    assert lower < pii.SCORES["card"] < raised
     t = "write a@b.co or +1 (555) 123-4567"
     assert pii.redacted(t, pii.spans(t)) == "write [EMAIL] or [PHONE]"
     assert pii.base_spans("1" * 200_000 + "@" * 1000 + "+" * 1000) == []
@@ -93,6 +95,8 @@ def test_licence_expressions():
     assert value("GPL-2.0-only WITH Classpath-exception-2.0")[1] == pytest.approx(0.7)
     assert value("MIT OR Apache-2.0 AND GPL-3.0")[1] == 1.0 and value("(MIT OR Apache-2.0) AND GPL-3.0")[1] == 0.4
     assert licenses.parse("AND MIT") is None and licenses.parse("(MIT") is None and licenses.parse("") is None
+    assert licenses.parse("MIT OR") == licenses.parse("MIT OR (see LICENSE") == licenses.parse("MIT and more prose") == ["MIT"]
+    assert licenses.parse("MIT OR Foo-1.0") == ["MIT", "Foo-1.0", "or"] and licenses.parse("(MIT OR X) AND Y") == ["MIT", "X", "or", "Y", "and"]
     assert licenses.scan("SPDX-License-Identifier: MIT OR Apache-2.0\n")[5] == "apache,mit"
     assert licenses.scan("MIT license, MIT-License cc  by")[:4] == (6, 3, 0, 4)
     assert licenses.scan("")[:4] == (0, 0, None, None) and licenses.scan("permit licensed")[1] == 0

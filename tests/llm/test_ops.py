@@ -149,6 +149,9 @@ def test_chat_rotation(spark):
     assert ann["rendered"][a:b] == "hi<|end|>"
     assert got[1, "bob", 0]["rendered"].count("<|assistant|>") == 1 and got[1, "unknown", -1]["masks"]
     assert (2, "system", 0) not in got and {p for c, _, p in got if c is None} == {0, 1}
+    whole = {(r["conv_id"], r["speaker"]): r for r in chat.joined(chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    r = whole[None, "ann"]
+    assert r["n_turns"] == 2 and [r["rendered"][slice(*map(int, m.split(":")))] for m in r["masks"].split(",")] == ["z<|end|>", "y<|end|>"]
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -193,6 +196,63 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held) and sum(r["rejected"] for r in rows) == 0
 
 
+def test_language_is_that_of_the_nearest_centroid(spark):
+    """Cosines of all texts with all centroids, from counts by plain Python; and gibberish is rejected."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = train(docs)
+    rng = random.Random(5)
+    noise = [(10_000 + i, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(400)), None) for i in range(20)] + [(20_000, "12 34 !?", None)]
+    some = docs.select("doc_id", "text", "lang").limit(60).union(spark.createDataFrame(noise, "doc_id long, text string, lang string"))
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+
+    def counted(text):
+        b = [int(langid._FOLD[x]) for x in text.encode()]
+        out = np.zeros(langid.DIMS)
+        for k in (1, 2, 3):
+            for i in range(len(b) - k + 1):
+                if any(x != 32 for x in b[i : i + k]):
+                    h = k * 0x9E3779B1 & 0xFFFFFFFF
+                    for x in b[i : i + k]:
+                        h = (h ^ x) * 0x85EBCA6B & 0xFFFFFFFF
+                        h ^= h >> 13
+                    out[h % langid.DIMS] += 1
+        return out
+
+    for r in langid.identify(some, model).collect():
+        v = np.log1p(counted(texts[r["doc_id"]])) * model.idf
+        cos = model.centres.astype(float) @ (v / max(np.linalg.norm(v), 1e-12))
+        if r["doc_id"] < 10_000:
+            assert r["lang_pred"] == model.langs[int(cos.argmax())] and r["score"] == pytest.approx(cos.max(), abs=1e-5) and not r["rejected"]
+        else:
+            assert r["rejected"]
+    assert langid.accepted(some, model).filter("doc_id >= 10000").count() == 0
+
+
+def test_licences_against_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = ["GNU", "general", "public", "license", "Apache", "cc", "by", "MIT", "x", "licensé", "CC-BY", "mit-license;", "the"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40))) for _ in range(400)] + [None, "", "license " * 40_000 + "mit license"]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    got = {r["doc_id"]: r for r in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ws = word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        places = [(at, label) for p, label in licenses.BASE.items() for at in range(len(ws)) if ws[at : at + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(ws), len(places), min((a for a, _ in places), default=None), max((a for a, _ in places), default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_very_long_texts(spark):
+    """Tens of megabytes in a few rows: batches end by bytes, texts are read whole."""
+    long = "the cat sat on the mat. " * 400_000  # 9.6 MB
+    df = spark.createDataFrame([(i, long + f"mail a{i}@b.org mit license") for i in range(3)], "doc_id long, text string").repartition(1)
+    assert {(r["n_email"], r["spans"].split(":")[1]) for r in pii.find_pii(df).collect()} == {(1, str(len(long) + 5))}
+    assert {(r["n_words"], r["n_base"]) for r in licenses.find_licenses(df).collect()} == {(400_000 * 6 + 6, 1)}
+    assert {r["component_id"] for r in ngramjoin.ngram_components(df).collect()} <= {0, 1, 2}
+
+
 def test_lm_prefers_what_it_has_seen(spark):
     text = "the cat sat on the mat and the dog sat on the rug " * 20
     df = spark.createDataFrame([(i, text) for i in range(5)] + [(90, text), (91, "".join(random.Random(3).choice("qzxjkvbw") for _ in range(len(text))))], "doc_id long, text string")
