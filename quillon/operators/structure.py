@@ -96,3 +96,20 @@ def expand_spans(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     two = one.withColumn("dc", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)))
     token = F.when((F.col("dr") == 0) & (F.col("dc") == 0), "anchor").when(F.col("dr") == 0, "left").when(F.col("dc") == 0, "up").otherwise("cross")
     return two.select(*keys, (F.col("a_row") + F.col("dr")).alias("row"), (F.col("a_col") + F.col("dc")).alias("col"), "a_row", "a_col", token.alias("token"), F.when(token == "anchor", F.col("text")).alias("text"))
+
+
+def export_tables(tables: DataFrame, cells: DataFrame, depth: int = 8) -> DataFrame:
+    """Anchor cells of tables and of the tables inside them, with each table's address and depth.
+
+    tables: table_id, parent_id (null at the top), rows, cols, section, paragraph; cells: table_id, row, col,
+    row_span, col_span, text. Spans of 0 count as 1 and end with the table; anchors outside of their table are dropped,
+    and so are tables deeper than depth. The grid is never spread out.
+    """
+    level = tables.filter("parent_id IS NULL").withColumn("depth", F.lit(0))
+    out = level
+    for d in range(1, depth):
+        level = tables.join(level.select(F.col("table_id").alias("parent_id")), "parent_id", "left_semi").withColumn("depth", F.lit(d))
+        out = out.unionByName(level)
+    j = cells.join(out, "table_id").filter((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < F.col("rows")) & (F.col("col") < F.col("cols")))
+    span = lambda s, at, n: F.least(F.greatest(F.col(s), F.lit(1)), F.col(n) - F.col(at))
+    return j.select("table_id", "section", "paragraph", "depth", "row", "col", span("row_span", "row", "rows").alias("row_span"), span("col_span", "col", "cols").alias("col_span"), "text")

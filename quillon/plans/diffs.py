@@ -1,8 +1,12 @@
 """Diff, verification and gate queries. The second version of a table is derived from the first by id."""
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quillon.shipping import shared_dir
+from quillon.sources import sinks
 from quillon.operators import diff as D
 from quillon.plans.joins import RUN_A, RUN_B, runs
 from quillon.plans.registry import query
@@ -50,6 +54,19 @@ def verify(spark, sf):
     return D.identical(*versions(spark, sf))
 
 
+@query("d05_verify_written", "SELECT true AS identical, CAST(0 AS BIGINT) AS diff_count, NULL::VARCHAR AS error")
+def verify_written(spark, sf):
+    """What was written is read again and compared with what was meant."""
+    return sinks.verified(load(spark, sf, "customer"), f"{shared_dir(spark)}/quillon-verify-{uuid.uuid4().hex}")
+
+
+@query("j10_compare_strategies", f"WITH {_DIFF} SELECT 'identity' AS strategy, diff_kind, count(*) AS n FROM x WHERE diff_kind <> 'changed' OR len(fields) > 0 GROUP BY ALL")
+def compare_strategies(spark, sf):
+    """By stable id; the other strategy, alignment, is joins.align over the same rows."""
+    d = D.compare(*versions(spark, sf), "identity", ["c_custkey"], ["c_name", "c_acctbal", "c_mktsegment"])
+    return d.groupBy("diff_kind").agg(F.count("*").alias("n")).select(F.lit("identity").alias("strategy"), "diff_kind", "n")
+
+
 _TRANS = f"SELECT doc_id, CASE WHEN a.verdict IS NULL OR b.verdict IS NULL THEN 'MISSING' WHEN a.verdict = 'FAIL' AND b.verdict = 'PASS' THEN 'IMPROVED' WHEN a.verdict = 'PASS' AND b.verdict = 'FAIL' THEN 'REGRESSED' WHEN b.verdict = 'PASS' THEN 'STILL_OK' ELSE 'STILL_BAD' END AS transition FROM {RUN_A} a FULL JOIN {RUN_B} b USING (doc_id)"
 
 

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from quillon.operators import extraction as X
+from quillon.operators import forms, templates
 from quillon.plans.registry import query
+from quillon.sources import markup
 from quillon.sources.tables import PARAS_SQL, load, paragraphs
 
 _KINDS = ", ".join(f"('{k}', regexp_extract_all(text, '{p}'))" for k, p in X.PATTERNS.items())
@@ -111,6 +113,70 @@ def form_radio(spark, sf):
     return load(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("chosen"), F.count("*").alias("items"))
 
 
+@query(
+    "p10_combo_items",
+    "SELECT n_nationkey, 'box' AS control, CAST(i AS INTEGER) AS index, CASE i WHEN 0 THEN n_name ELSE 'item ' || n_regionkey END AS item FROM nation, (VALUES (0), (1)) AS v(i)",
+)
+def combo_items(spark, sf):
+    """Items that a script inserts, in whatever order its calls stand."""
+    n = load(spark, sf, "nation")
+    script = F.concat(F.lit('function f() { box.InsertString("item '), F.col("n_regionkey").cast("string"), F.lit('", 1); x = 1; box.InsertString("'), F.col("n_name"), F.lit('",0); }'))
+    return n.select("n_nationkey", F.explode(forms.combo_items(script)).alias("i")).select("n_nationkey", "i.control", "i.index", "i.item")
+
+
+@query(
+    "p10_set_values",
+    """WITH last AS (SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS chosen FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+    SELECT o.o_custkey AS custkey, o_orderkey AS name, CASE WHEN o_orderkey % 3 = 2 THEN 'button' ELSE 'radio' END AS kind, 'g' AS "group",
+      CASE WHEN o_orderkey % 3 = 2 THEN '7' WHEN chosen IS NULL THEN '1' WHEN o_orderkey = chosen THEN '1' ELSE '0' END AS value
+    FROM orders o LEFT JOIN last USING (o_custkey)""",
+)
+def set_form_values(spark, sf):
+    """Of each customer's radio buttons every third is set, in order; push buttons don't take values."""
+    o, key = load(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("name")), F.col("name")
+    objects = o.select("custkey", "name", F.when(key % 3 == 2, "button").otherwise("radio").alias("kind"), F.lit("g").alias("group"), F.when(key % 3 == 2, "7").otherwise("1").alias("value"))
+    sets = o.filter(key % 3 != 1).select("custkey", "name", F.lit("1").alias("value"), key.alias("seq"))
+    return forms.set_values(objects, sets, ["custkey"])
+
+
+_T25 = {
+    0: [],  # two bodies
+    1: [("", "a", False), ("", "b", False)],
+    2: [],  # a block that never ends
+    3: [("", "top", False), ("list", "x", True), ("list/inner", "y", True)],
+    4: [("list", "x", True)],
+}
+_T25_MARKS = {
+    0: [("body", "b"), ("field", "a"), ("body", "c")],
+    1: [("field", "a"), ("field", "b"), ("field", "a")],
+    2: [("block", "list"), ("field", "x")],
+    3: [("body", "b"), ("field", "top"), ("block", "list"), ("field", "x"), ("block", "inner"), ("field", "y"), ("end", "inner"), ("field", "x"), ("end", "list")],
+    4: [("block", "list"), ("field", "x"), ("end", "list")],
+}
+
+
+@query(
+    "t25_template_entities",
+    "SELECT n_nationkey, path, field, repeated FROM nation JOIN (VALUES " + ", ".join(f"({k}, '{p}', '{f}', {str(r).lower()})" for k, rows in _T25.items() for p, f, r in rows) + ") AS e(k, path, field, repeated) ON n_nationkey % 5 = k",
+)
+def template_entities(spark, sf):
+    """Flat, repeated and nested blocks; documents with errors give nothing."""
+    n = load(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") % 5).alias("k"))
+    m = spark.createDataFrame([(k, i, kind, name) for k, rows in _T25_MARKS.items() for i, (kind, name) in enumerate(rows)], "k int, seq int, kind string, name string")
+    return templates.entities(n.join(F.broadcast(m), "k").drop("k"), "n_nationkey", "seq")[0]
+
+
+@query(
+    "s16_html_cells",
+    """SELECT page_id, CAST(t AS INTEGER) AS "table", CAST(up AS INTEGER) AS parent, CAST(d AS INTEGER) AS depth, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(rs AS INTEGER) AS row_span, CAST(cs AS INTEGER) AS col_span, CASE text WHEN 'url' THEN url ELSE text END AS text
+    FROM pages, (VALUES (0, NULL, 0, 0, 0, 1, 2, 'head'), (0, NULL, 0, 1, 0, 1, 1, 'a & b'), (1, 0, 1, 0, 0, 1, 1, 'url'), (0, NULL, 0, 1, 1, 1, 1, 'outer end')) AS v(t, up, d, r, c, rs, cs, text)""",
+)
+def html_cells(spark, sf):
+    """Cells by a parser: tables in cells are tables of their own, end tags may lack, references are decoded."""
+    table = F.concat(F.lit("<TABLE><tr><th colspan='2'>head<tr><td>a &amp; b</td><td>outer <table><tr><td>"), F.col("url"), F.lit("</table>end</table>"))
+    return markup.cells(load(spark, sf, "pages").withColumn("html", F.concat("html", table)), "page_id", "html")
+
+
 @query("p19_empty_names", "SELECT c_custkey, nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END, '') AS field_name FROM customer")
 def empty_names(spark, sf):
     c = load(spark, sf, "customer").withColumn("name", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")))

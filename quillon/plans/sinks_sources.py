@@ -1,11 +1,16 @@
 """Source and sink queries."""
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillon.operators import structure
 from quillon.plans.registry import query
+from quillon.shipping import shared_dir
 from quillon.sources import encoding as E
 from quillon.sources import files as S
+from quillon.sources import records
 from quillon.sources import sinks as K
 from quillon.sources.tables import PARAS_SQL, load, paragraphs
 
@@ -18,6 +23,34 @@ def decode_binary(spark, sf):
     return d.select("doc_id", F.length(E.decoded(F.col("content"))).alias("n_chars"), F.sha2(E.decoded(F.col("content")), 256).alias("sha"))
 
 
+@query("s01_format_sniff", "SELECT doc_id, ['hwp5', 'hwpx', 'hwp3', 'hml', 'unknown'][1 + doc_id % 5] AS format FROM documents")
+def format_sniff(spark, sf):
+    """Files by how they begin."""
+    heads = ("D0CF11E0A1B11AE1", "504B0304", "48575020446F63756D656E742046696C652056332E3030", "EFBBBF3C48575050".replace("5050", "504D4C3E"), "255044462D")
+    k = F.col("doc_id") % 5
+    mark = F.unhex(F.element_at(F.array(*[F.lit(h) for h in heads]), (k + 1).cast("int")))
+    return load(spark, sf, "documents").select("doc_id", E.file_format(F.concat(mark, F.encode("text", "UTF-8"))).alias("format"))
+
+
+@query("s10_metafiles", """SELECT n_nationkey, 'wmf' AS format, CAST(i AS INTEGER) AS ordinal, r AS record, CAST(b AS BIGINT) AS bytes, CASE WHEN n_nationkey % 2 = 1 AND i = 2 THEN 'no end' END AS error
+    FROM nation, (VALUES (0, 'SETMAPMODE', 8, 0), (1, 'LINETO', 10, 0), (2, 'EOF', 6, 0), (2, NULL, 0, 1)) AS v(i, r, b, k) WHERE i < 2 OR k = n_nationkey % 2""")
+def metafiles(spark, sf):
+    """Records of metafiles, with and without their end."""
+    header = "010009000003" + "00" * 12
+    body = "04000000" + "0301" + "0800" + "05000000" + "1302" + "00000000"
+    raw = F.unhex(F.concat(F.lit(header + body), F.when(F.col("n_nationkey") % 2 == 0, "030000000000").otherwise("")))
+    return records.metafiles(load(spark, sf, "nation").select("n_nationkey", raw.alias("blob")), "n_nationkey", "blob")
+
+
+@query("k04_atomic_replace", "SELECT 'nations ' || count(*) AS line FROM nation")
+def atomic_replace(spark, sf):
+    """A manifest that is replaced all at once, read back."""
+    path = os.path.join(shared_dir(spark).removeprefix("file:"), f"quillon-manifest-{uuid.uuid4().hex}")
+    for text in ("old", f"nations {load(spark, sf, 'nation').count()}"):
+        K.write_atomically(path, text.encode())
+    return spark.read.text("file:" + path).select(F.col("value").alias("line"))
+
+
 @query("s03_parse_xml", "SELECT n_nationkey, n_name AS name, n_regionkey AS region FROM nation")
 def parse_xml(spark, sf):
     n = load(spark, sf, "nation")

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.functions import scalars
 from quillon.operators import structure as S
 from quillon.plans.registry import query
 from quillon.sources.tables import PARAS_SQL, load, paragraphs
@@ -110,13 +111,15 @@ def chart_long(spark, sf):
 @query(
     "t28_anchor_candidates",
     f"""WITH {PARAS_SQL}, s AS (SELECT doc_id, para, text, length(text) AS n, len(list_distinct(string_split(text, ''))) AS u, length(text) - length(replace(text, ' ', '')) AS b FROM paras WHERE text <> '')
-    SELECT doc_id, para, sha256(text) AS signature, n >= 40 AND u >= 12 AND b * 100 <= 30 * n AS is_anchor FROM s""",
+    SELECT doc_id, para, sha256(text) AS signature, n >= 40 AND u >= 12 AND b * 100 <= 30 * n AND list_aggregate(string_split(text, ''), 'entropy') >= 3.3 AS is_anchor FROM s""",
 )
 def anchors(spark, sf):
     p = paragraphs(load(spark, sf, "documents")).filter("text <> ''")
-    n, u = F.length("text"), F.size(F.array_distinct(F.split("text", "")))
+    n, t = F.length("text"), F.col("text")
     blanks = n - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    return p.select("doc_id", "para", F.sha2("text", 256).alias("signature"), ((n >= 40) & (u >= 12) & (blanks * 100 <= n * 30)).alias("is_anchor"))
+    # short and blank lines never come to be taken apart
+    rich = F.when((n < 40) | (blanks * 100 > n * 30), False).otherwise((F.size(F.array_distinct(F.split(t, ""))) >= 12) & (scalars.entropy(t) >= 3.3))
+    return p.select("doc_id", "para", F.sha2("text", 256).alias("signature"), rich.alias("is_anchor"))
 
 
 @query("t29_default_numbering", "SELECT n_nationkey, (n_regionkey + 1) || '.' || row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) || '.' AS number FROM nation")
@@ -145,3 +148,19 @@ def control_gaps(spark, sf):
     gap = o - F.lag(o).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     x = load(spark, sf, "lineitem").select("l_orderkey", gap.alias("gap"))
     return x.groupBy("l_orderkey").agg(F.sum(F.when(F.col("gap") > 1, F.col("gap") - 1).otherwise(0)).cast("long").alias("hidden_controls"))
+
+
+@query(
+    "t19_nested_tables",
+    """WITH RECURSIVE t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 3 THEN o_orderkey // 3 END AS up FROM orders),
+    d AS (SELECT id, 0 AS depth FROM t WHERE up IS NULL UNION ALL SELECT t.id, d.depth + 1 FROM t JOIN d ON t.up = d.id WHERE d.depth < 7)
+    SELECT id AS table_id, CAST(id % 3 AS INTEGER) AS section, CAST(id % 50 AS INTEGER) AS paragraph, CAST(depth AS INTEGER) AS depth, l_linenumber AS row, CAST(l_suppkey % 4 AS INTEGER) AS col,
+      CAST(least(greatest(CAST(l_quantity AS INTEGER) % 3, 1), 6 - l_linenumber) AS INTEGER) AS row_span, CAST(least(2, 3 - l_suppkey % 4) AS INTEGER) AS col_span, l_returnflag AS text
+    FROM lineitem JOIN d ON id = l_orderkey WHERE l_linenumber < 6 AND l_suppkey % 4 < 3""",
+)
+def nested_tables(spark, sf):
+    """Orders stand in the order of a third of their number; lines are anchor cells, some outside of their grid."""
+    o, key = load(spark, sf, "orders"), F.col("o_orderkey")
+    t = o.select(key.alias("table_id"), F.when(key > 3, F.expr("o_orderkey div 3")).alias("parent_id"), F.lit(6).alias("rows"), F.lit(3).alias("cols"), (key % 3).cast("int").alias("section"), (key % 50).cast("int").alias("paragraph"))
+    c = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 4).cast("int").alias("col"), (F.col("l_quantity").cast("int") % 3).alias("row_span"), F.lit(2).alias("col_span"), F.col("l_returnflag").alias("text"))
+    return S.export_tables(t, c)

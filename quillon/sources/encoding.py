@@ -62,3 +62,17 @@ def warnings(content: Column) -> Column:
     """Codes of what is odd but not fatal."""
     text = decoded(content)
     return F.array_compact(F.array(F.when(F.length(content) == 0, "empty"), F.when(text.isNull(), "bad-encoding"), F.when(text.contains("\ufffd"), "replacement-character"), F.when(text.contains("\x00"), "nul"), F.when(sniff(content) != "utf-8", "not-utf-8")))
+
+
+#: How files of each format begin, as hexadecimal digits: fixed values.
+SIGNATURES = {"hwp5": "D0CF11E0A1B11AE1", "hwpx": "504B0304", "hwp3": "48575020446F63756D656E742046696C65"}
+
+
+def file_format(content):
+    """hwp5, hwpx, hwp3 or hml by how a file begins, else unknown."""
+    head = F.hex(F.substring(content, 1, 64))
+    out = None
+    for name, mark in SIGNATURES.items():
+        hit = head.startswith(mark)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.when(has_root(content, "HWPML"), "hml").otherwise("unknown")

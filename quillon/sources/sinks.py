@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +58,35 @@ def grid_box(x: Column, y: Column, w: Column, h: Column, page_w: Column, page_h:
     """Four numbers on a grid of so many steps."""
     at = lambda v, whole: F.least(F.lit(steps - 1), F.greatest(F.lit(0), F.floor(v * steps / whole))).cast("int")
     return F.array(at(x, page_w), at(y, page_h), at(x + w, page_w), at(y + h, page_h))
+
+
+def write_atomically(path: str, content: bytes) -> None:
+    """Replaces a file's bytes all at once: a sibling file is written and synced, then takes its place. If
+    anything fails the old bytes stay, and no sibling is left. For single files, such as manifests; tables are
+    committed by Spark's own writers."""
+    folder, name = os.path.split(os.path.abspath(path))
+    handle, temporary = tempfile.mkstemp(prefix=f".{name}.", dir=folder)
+    try:
+        with os.fdopen(handle, "wb") as f:
+            f.write(content)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(temporary, path)
+    except BaseException:
+        if os.path.exists(temporary):
+            os.remove(temporary)
+        raise
+
+
+def verified(rows: DataFrame, path: str) -> DataFrame:
+    """(identical, diff_count, error): writes rows as Parquet, reads them again and compares both as multisets. What can't
+    be read again has failed."""
+    from pyspark.errors import PySparkException
+
+    from quillon.operators.diff import identical
+
+    rows.write.mode("overwrite").parquet(path)
+    try:
+        return identical(rows, rows.sparkSession.read.parquet(path)).withColumn("error", F.lit(None).cast("string"))
+    except PySparkException as e:
+        return rows.sparkSession.createDataFrame([(False, None, type(e).__name__)], "identical boolean, diff_count long, error string")

@@ -175,3 +175,64 @@ def test_pluggable_sink(spark, tmp_path):
     spark.dataSource.register(LinesSource)
     spark.range(5).coalesce(2).write.format("quillon_lines").option("path", str(tmp_path)).mode("append").save()
     assert spark.read.json(str(tmp_path)).count() == 5
+
+
+def test_template_errors(spark):
+    from quillon.operators import templates
+
+    marks = {1: ["body", "field", "body"], 2: ["end"], 3: ["block"], 4: ["block"] * 9 + ["end"] * 9, 5: ["block", "field", "end"], 6: ["field"]}
+    rows = [(d, i, k, f"n{i}") for d, ks in marks.items() for i, k in enumerate(ks)]
+    fields, errors = templates.entities(spark.createDataFrame(rows, "d int, i int, kind string, name string"), "d", "i")
+    assert {r["d"]: r["error"] for r in errors.collect()} == {1: "more than one body", 2: "end without a block", 3: "block without an end", 4: "nested too deep"}
+    assert sorted(map(tuple, fields.collect())) == [(5, "n0", "n1", True), (6, "", "n0", False)]
+
+
+def test_tables_in_tables(spark):
+    t = spark.createDataFrame([(1, None, 2, 2, 0, 0)] + [(i, i - 1, 2, 2, 0, i) for i in range(2, 12)], "table_id int, parent_id int, rows int, cols int, section int, paragraph int")
+    c = spark.createDataFrame([(i, 0, 0, 0, 5, "x") for i in range(1, 12)] + [(1, 2, 0, 1, 1, "out"), (1, -1, 0, 1, 1, "out")], "table_id int, row int, col int, row_span int, col_span int, text string")
+    got = sorted(map(tuple, structure.export_tables(t, c).select("table_id", "depth", "row_span", "col_span", "text").collect()))
+    assert got == [(i, i - 1, 1, 2, "x") for i in range(1, 9)]
+
+
+def test_html_tables():
+    from quillon.sources.markup import Tables
+
+    p = Tables()
+    p.feed("<td>stray<table><td>a<td rowspan=2 colspan=x>b<tr><td><table><tr><td>in</table> out<table></table><p>x &lt; y")
+    p.close()
+    assert p.rows == [(0, None, 0, 0, 0, 1, 1, "a"), (0, None, 0, 0, 1, 2, 1, "b"), (1, 0, 1, 0, 0, 1, 1, "in"), (0, None, 0, 1, 0, 1, 1, "outx < y")]
+
+
+def test_metafile_records():
+    import struct
+
+    from quillon.sources import records
+
+    assert list(records.wmf_records(b"")) == [] and next(records.wmf_records(b"junk"))[3] == "bad header"
+    head = struct.pack("<HHHIHIH", 1, 9, 0x300, 0, 0, 0, 0)
+    assert list(records.wmf_records(head + struct.pack("<IH", 9, 0x0213)))[0][3] == "bad size"
+    placed = struct.pack("<IHhhhhHIH", 0x9AC6CDD7, 0, 0, 0, 1, 1, 96, 0, 0)
+    assert list(records.wmf_records(placed + head + struct.pack("<IH", 3, 0))) == [(0, "EOF", 6, None)]
+    assert list(records.emf_records(struct.pack("<II", 14, 8))) == [(0, "EOF", 8, None)]
+
+
+def test_atomic_replace(tmp_path, monkeypatch):
+    path = tmp_path / "m.json"
+    sinks.write_atomically(str(path), b"one")
+
+    def fail(*_):
+        raise OSError("full")
+
+    with monkeypatch.context() as m:
+        m.setattr("os.replace", fail)
+        with pytest.raises(OSError):
+            sinks.write_atomically(str(path), b"two")
+    assert path.read_bytes() == b"one" and [p.name for p in tmp_path.iterdir()] == ["m.json"]
+
+
+def test_compare_by_alignment(spark):
+    d = lambda ts: spark.createDataFrame([(1, i, t) for i, t in enumerate(ts)], "k int, o long, t string")
+    got = diff.compare(d("abcd"), d("acxd"), "alignment", ["k"], ["t"], "o")
+    assert {tuple(r) for r in got.collect()} == {(1, "extra", None, 2), (1, "missing", 1, None)}
+    with pytest.raises(ValueError):
+        diff.compare(d("a"), d("a"), "guess", ["k"], ["t"])
