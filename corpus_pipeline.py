@@ -16,10 +16,21 @@ from quillon.llm.runtime import materialize, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _text_key(docs: DataFrame) -> DataFrame:
-    """Adds _key: 128 bits of a row's text, for decisions that depend on the text alone. Null and empty texts differ."""
-    t = F.coalesce(F.col("text").cast("string"), F.lit("\x00null"))
-    return docs.withColumn("_key", F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b")))
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with lines below them where docs has columns called so in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def _hashes(*columns) -> tuple:
+    """128 bits of columns' values; null is a value of its own."""
+    told = [F.coalesce(c.cast("string"), F.lit("\x00null")) for c in columns]
+    return F.xxhash64(*told), F.xxhash64(F.lit(1), *told)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,16 +52,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     nothing and all stay. Columns other than those of documents take part in a row's identity and are passed on.
     An empty table stays empty.
     """
-    cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in docs.columns]
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b")))
-    found = ngramjoin.ngram_components(keyed, id_col="_key", k=5, percent=80)
-    hashes = lambda c: (F.col(f"{c}.a").alias("a"), F.col(f"{c}.b").alias("b"))
-    gone = found.filter("n_shingles > 0 AND component_id <> _key").select(*hashes("_key")).distinct()
-    wordless = found.filter("n_shingles = 0").select(*hashes("_key")).distinct().withColumn("wordless", F.lit(True))
-    rows = keyed.select(*docs.columns, *hashes("_key")).join(gone, ["a", "b"], "left_anti").join(wordless, ["a", "b"], "left")
+    key, low, high, wordless = _free(docs, "_key", "_a", "_b", "_wordless")
+    a, b = _hashes(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumns({low: a, high: b})
+    whole = keyed.withColumn(key, F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col(low), F.col(high)))
+    found = ngramjoin.ngram_components(whole, id_col=key, k=5, percent=80)
+    hashes = (F.col(f"{key}.{low}").alias(low), F.col(f"{key}.{high}").alias(high))
+    gone = found.filter(f"n_shingles > 0 AND component_id <> {key}").select(*hashes).distinct()
+    empty = found.filter("n_shingles = 0").select(*hashes).distinct().withColumn(wordless, F.lit(True))
+    rows = keyed.join(gone, [low, high], "left_anti").join(empty, [low, high], "left")
     # copies of a row that stays have its hashes, so they meet where the joins have brought them
-    once = rows.filter("wordless IS NULL").dropDuplicates(["a", "b"])
-    return once.select(docs.columns).union(rows.filter("wordless").select(docs.columns))
+    once = rows.filter(F.col(wordless).isNull()).dropDuplicates([low, high])
+    return once.select(docs.columns).union(rows.filter(wordless).select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +73,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     another row under its id goes. Repeated rows go or stay together; null and empty texts stay; other columns are passed on.
     An empty table, or an empty benchmark, changes nothing.
     """
-    keyed = _text_key(docs)
-    found = decontam.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
-    return keyed.join(found.select("_key").distinct(), "_key", "left_anti").select(docs.columns)
+    (key,) = _free(docs, "_key")
+    a, b = _hashes(F.col("text"))
+    keyed = docs.withColumn(key, F.struct(a.alias("a"), b.alias("b")))
+    found = decontam.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    return keyed.join(found.select(key).distinct(), key, "left_anti").select(docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
