@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textkernel as K
-from quillon.llm.runtime import session, steps, table, text_parts, turn_to
+from quillon.llm.runtime import materialize, session, steps, table, text_parts, turn_to
 
 #: Bytes in a row of an anchor; how far shifts of anchors of one passage may differ (a power of two); and
 #: bytes of an item for which one anchor is asked for, of at least two (one in short items) and MOST at most.
@@ -356,8 +356,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Items of fewer than three words and under GRAM bytes and null items match nothing; null and empty texts match
     nothing; equal items each match; repeated rows and null ids are kept; empty tables give no
-    rows; other columns are ignored. Items are read in blocks of bounded size, so a benchmark
-    of any size takes more passes, not more memory.
+    rows; other columns are ignored. Long texts are read whole, in steps. Items are read in blocks of bounded size, so a
+    benchmark of any size takes more passes over docs, not more memory.
     """
     spark = session(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -371,6 +371,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         rows = part.orderBy("i", "t").collect()
         held = spark.sparkContext.broadcast(Items([r["i"] for r in rows], [r["t"] for r in rows]))
         got = texts.mapInArrow(_match(held, percent), f"doc_id {kind}, item_id long, first_word long, distance long, similarity double")
+        if blocks > 1:  # one block at a time stands in memory, here and on the executors
+            got = materialize(got, "decontam-block")
+            held.unpersist()
         out = got if out is None else out.union(got)
     return out.withColumnRenamed("doc_id", id_col)
 

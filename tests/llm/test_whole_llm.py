@@ -135,7 +135,7 @@ def test_pipeline_stages_judge_rows_not_ids(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
-def test_decontamination_of_odd_rows(spark):
+def test_decontamination_of_odd_rows(spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog by the river bank today"
     docs = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (None, item.upper()), (2, None), (3, ""), (4, "x " * 200_000 + item)], "doc_id long, text string")
     for name in ("item_id", "first_word", "distance", "i", "t"):
@@ -143,6 +143,9 @@ def test_decontamination_of_odd_rows(spark):
     items = spark.createDataFrame([(1, item), (2, item), (3, None), (4, ""), (5, "ab")], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
     got = sorted(((r["doc_id"], r["item_id"], r["distance"], r["first_word"]) for r in decontam.contaminated(docs, items).collect()), key=str)
     assert got == sorted([(1, 1, 0, 1), (1, 1, 0, 1), (1, 2, 0, 1), (1, 2, 0, 1), (None, 1, 0, 0), (None, 2, 0, 0), (4, 1, 0, 200_000), (4, 2, 0, 200_000)], key=str)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)  # several passes
+    again = sorted(((r["doc_id"], r["item_id"], r["distance"], r["first_word"]) for r in decontam.contaminated(docs, items).collect()), key=str)
+    assert again == got
     assert decontam.contaminated(docs, items.limit(0)).count() == decontam.contaminated(docs.limit(0), items).count() == 0
 
 
