@@ -195,9 +195,11 @@ def _profile(buf: np.ndarray) -> np.ndarray:
 
 def _grams(buf: np.ndarray) -> np.ndarray:
     """Each GRAM bytes in a row, mixed."""
-    x = buf.astype(np.uint64)
-    for k in (1, 2, 4):
+    x, have = buf.astype(np.uint64), 1
+    while have < GRAM:
+        k = min(have, GRAM - have)  # bytes that both sides hold are the same bits
         x = x[:-k] << np.uint64(8 * k) | x[k:] if len(x) > k else x[:0]
+        have += k
     return K.mix(x)
 
 
