@@ -23,6 +23,8 @@ DIMS = 4096
 CENTROIDS = 4
 #: Most labelled texts of a language that the centroids are fitted on.
 SAMPLE = 300
+#: Labels up to which what is known of each is broadcast (8,192 times SAMPLE ids are 40 MB); more are joined by shuffles.
+LANGUAGES = 8192
 #: A text is rejected below this share of the cosine that its language's texts reach at its length.
 SHARE = 0.2
 #: Letters count runs of other bytes (digits, punctuation) as one space.
@@ -161,10 +163,12 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     # of a frequent language only rows below a hash come to its window: four times as many as asked for, on average
     hashed = ids.withColumn("h", F.xxhash64("id"))
     share = hashed.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.count("*")).alias("share"))
-    low = hashed.join(share, "lang").filter((F.col("h") / 2.0**64 + 0.5) < F.col("share"))
+    # a row for each language, and SAMPLE ids of each: broadcast if they are as few as languages are
+    told = F.broadcast if share.count() <= LANGUAGES else lambda d: d
+    low = hashed.join(told(share), "lang").filter((F.col("h") / 2.0**64 + 0.5) < F.col("share"))
     chosen = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= SAMPLE).select("id").distinct()
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    sample = rows.join(chosen, "id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))).filter(F.col("k") <= SAMPLE).select("text", "lang")
+    sample = rows.join(told(chosen), "id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))).filter(F.col("k") <= SAMPLE).select("text", "lang")
     sample = sample.persist()
     try:
         parts = sample.select("text").mapInArrow(_frequencies, "df array<double>, n long").collect()
