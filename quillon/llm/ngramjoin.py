@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import textkernel as K
@@ -27,16 +27,18 @@ from quillon.llm.graph import components
 from quillon.llm.runtime import discard, materialize, planned_bytes, salted, session, steps, table, text_parts, turn_to
 
 #: An n-gram that stands in FREQUENT texts or more is frequent; the KEPT most frequent are told to all
-#: executors (8 MB), by the upper 48 bits of their hash. Any choice gives the same links: it only moves
+#: executors (8 MB), by the upper bits of their hash. Any choice gives the same links: it only moves
 #: n-grams to the end of the global order.
 FREQUENT, KEPT = 10, 1 << 20
 #: Ranges of hashes by which texts per n-gram are counted, at least, and one for so many bytes of input, so
 #: that what comes together in a range doesn't grow; and n-grams that a task holds at a time.
 BUCKETS, BUCKET_BYTES, HELD = 1024, 64 << 20, 2_000_000
 #: Bits of the filters by which executors pick n-grams that stand in more prefixes than one, and
-#: texts that have candidates: 2 MB at least and 128 MB at most, by the size of the input. Beyond it more passes than
+#: texts that have candidates: 2 MB at least and 64 MB at most, by the size of the input. Beyond it more passes than
 #: need to.
-FILTER_BITS = (24, 30)
+FILTER_BITS = (24, 29)
+#: Texts whose copies a task recognises before it shuffles them.
+SEEN = 1 << 18
 #: Members of one n-gram that are compared by one task.
 CROWD = 2000
 FRAGMENTS = 8
@@ -68,22 +70,27 @@ def _ranges(size: int) -> int:
     return 1 << max(BUCKETS.bit_length() - 1, min(22, (size // BUCKET_BYTES).bit_length()))
 
 
-def _upper(s: np.ndarray) -> np.ndarray:
-    return s >> np.uint64(16)
+def _width(size: int) -> int:
+    """Bytes of a hash that n-grams are counted by: enough that few of those of so large an input agree in them."""
+    return min(6, max(4, -(-(size.bit_length() + 2) // 8)))
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Keys of 48 bits as six bytes each."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _upper(s: np.ndarray, width: int) -> np.ndarray:
+    return s >> np.uint64(64 - 8 * width)
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _packed(keys: np.ndarray, width: int) -> bytes:
+    """The lower bytes of keys."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 
-def _count_texts(k: int, ranges: int):
+def _count_texts(k: int, ranges: int, width: int):
     """(bucket, keys, counts): in how many of a task's texts each n-gram stands (255 at most), packed by range of hash."""
 
     def run(batches):
@@ -98,15 +105,15 @@ def _count_texts(k: int, ranges: int):
             return u, np.minimum(c, 255).astype(np.uint8)
 
         def rows():
-            cut = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(2**48 // ranges))
+            cut = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(2 ** (8 * width) // ranges))
             some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
             for lo in range(0, len(some), 4096):
                 part = some[lo : lo + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([_packed(keys[cut[b] : cut[b + 1]]) for b in part], pa.binary()), pa.array([counts[cut[b] : cut[b + 1]].tobytes() for b in part], pa.binary())], ["b", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([_packed(keys[cut[b] : cut[b + 1]], width) for b in part], pa.binary()), pa.array([counts[cut[b] : cut[b + 1]].tobytes() for b in part], pa.binary())], ["b", "keys", "counts"])
 
         for b in batches:
             for _, sets in _sets(b.column(0), k):
-                held += [_upper(s) for s in sets]
+                held += [_upper(s, width) for s in sets]
                 size += sum(map(len, sets))
                 if size > HELD // 4:
                     keys, counts = fold()
@@ -120,15 +127,19 @@ def _count_texts(k: int, ranges: int):
     return run
 
 
-def _frequent(group: pa.Table) -> pa.Table:
+def _frequent(width: int):
     """The frequent n-grams of one range of hashes."""
-    turn_to("ngramjoin")
-    keys, n = _summed(_unpacked(b"".join(group["keys"].to_pylist())), np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8))
-    hot = n >= FREQUENT
-    return pa.table({"g": pa.array(keys[hot].astype(np.int64)), "n": pa.array(n[hot].astype(np.int64))})
+
+    def run(group: pa.Table) -> pa.Table:
+        turn_to("ngramjoin")
+        keys, n = _summed(_unpacked(b"".join(group["keys"].to_pylist()), width), np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8))
+        hot = n >= FREQUENT
+        return pa.table({"g": pa.array(keys[hot].astype(np.int64)), "n": pa.array(n[hot].astype(np.int64))})
+
+    return run
 
 
-def _prefixes(k: int, percent: int, shared):
+def _prefixes(k: int, percent: int, shared, width: int):
     def run(batches):
         turn_to("ngramjoin")
         frequent = shared.value
@@ -143,7 +154,7 @@ def _prefixes(k: int, percent: int, shared):
                     if not len(s):
                         continue
                     sig[i] = xxhash.xxh3_128_digest(s.tobytes())
-                    upper = _upper(s)
+                    upper = _upper(s, width)
                     at = np.minimum(np.searchsorted(frequent, upper), max(len(frequent) - 1, 0))
                     hot = frequent[at] == upper if len(frequent) else np.zeros(len(s), bool)
                     cold[i] = len(s) - int(hot.sum())
@@ -170,15 +181,16 @@ def _has(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _bits(size: int) -> int:
     """Bits of a filter, as a power of two, for input of so many bytes."""
-    return min(max(FILTER_BITS[0], (size >> 10).bit_length()), FILTER_BITS[1])
+    return min(max(FILTER_BITS[0], (size >> 3).bit_length()), FILTER_BITS[1])
 
 
 def _gram_places(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return g & ((1 << bits) - 1), (g.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    # prefixes hold the lowest hashes of a set, so the uppermost bits tell little
+    return g & ((1 << bits) - 1), (g.view(np.uint64) >> np.uint64(26)).astype(np.int64) & ((1 << bits) - 1)
 
 
 def _gram_columns(g, bits: int):
-    return g.bitwiseAND((1 << bits) - 1), F.shiftrightunsigned(g, 64 - bits)
+    return g.bitwiseAND((1 << bits) - 1), F.shiftrightunsigned(g, 26).bitwiseAND((1 << bits) - 1)
 
 
 def _sig_places(sig: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,12 +213,23 @@ def _filter_of(keys: DataFrame, places, bits: int) -> np.ndarray:
 
 
 def _posts(shared):
-    """(sig, n, cold, pos, g): the places of prefix n-grams that may stand in other prefixes too."""
+    """(sig, n, cold, pos, g): the places of prefix n-grams that may stand in other prefixes too; of copies in a task
+    those of one, as far as SEEN of its texts are remembered."""
 
     def run(batches):
         turn_to("ngramjoin")
         bits = shared.value
+        seen: set[bytes] = set()
         for b in batches:
+            sigs = b.column(0).to_pylist()
+            new = []
+            for i, sig in enumerate(sigs):
+                if sig not in seen:
+                    seen.add(sig)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            b = b.take(pa.array(new, pa.int64()))
             lists = b.column(3)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             g = lists.flatten().to_numpy()
@@ -306,28 +329,29 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = session(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     size = planned_bytes(docs)
-    bits = _bits(size)
-    frequent = texts.mapInArrow(_count_texts(k, _ranges(size)), "b int, keys binary, counts binary").groupBy("b").applyInArrow(_frequent, "g long, n long")
+    bits, width = _bits(size), _width(size)
+    sig_bits = _bits(size >> 5)  # texts are far fewer than n-grams
+    frequent = texts.mapInArrow(_count_texts(k, _ranges(size), width), "b int, keys binary, counts binary").groupBy("b").applyInArrow(_frequent(width), "g long, n long")
     top = frequent.orderBy(F.desc("n"), "g").limit(KEPT).select("g").toArrow()["g"].to_numpy()
     shared = spark.sparkContext.broadcast(np.sort(top.astype(np.uint64)))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(rows.mapInArrow(_prefixes(k, percent, shared), f"doc_id {kind}, sig binary, n long, cold long, prefix array<long>, cuts array<int>"), "ngram-rows")
+    rows = materialize(rows.mapInArrow(_prefixes(k, percent, shared, width), f"doc_id {kind}, sig binary, n long, cold long, prefix array<long>, cuts array<int>"), "ngram-rows")
 
     # an n-gram of one prefix links nothing: only those of several are shuffled with their texts
     several = rows.select(F.explode("prefix").alias("g")).groupBy("g").count().filter("count > 1").select("g")
     shared = spark.sparkContext.broadcast(_filter_of(several, _gram_columns(F.col("g"), bits), bits))
-    posts = rows.filter("n > 0").select("sig", "n", "cold", "prefix").mapInArrow(_posts(shared), "sig binary, n long, cold long, pos int, g long").distinct()
-    posts = materialize(posts, "ngram-posts")
-    # rare n-grams of a set can't link it; the leader of an n-gram is its member with the fewest of them
-    leads = posts.groupBy("g").agg(F.count("*").alias("many"), F.min(F.struct("cold", "sig", "n", "pos")).alias("y")).filter("many > 1")
-    met = materialize(posts.join(leads, "g").select("g", "many", F.struct("sig", "n", "pos").alias("x"), "y"), "ngram-met")
-    discard(posts)
+    posts = rows.filter("n > 0").select("sig", "n", "cold", "prefix").mapInArrow(_posts(shared), "sig binary, n long, cold long, pos int, g long")
+    # one shuffle by n-gram serves to tell copies, to count members and to find the leader: rare n-grams of a set can't
+    # link it, so that is the member with the fewest of them
+    each = Window.partitionBy("g")
+    posts = posts.repartition("g").distinct().withColumn("many", F.count("*").over(each)).withColumn("y", F.min(F.struct("cold", "sig", "n", "pos")).over(each))
+    met = materialize(posts.filter("many > 1").select("g", "many", F.struct("sig", "n", "pos").alias("x"), "y"), "ngram-met")
     star = met.filter(F.col("x.sig") != F.col("y.sig")).filter(_fits(percent))
     pairs = star.select(*_pair()).distinct()
     bounds = rows.filter("n > 0").select("sig", "cuts")
     maybe = _bounded(pairs, bounds, percent)
-    links = _verified(spark, texts, maybe, k, percent, bits)
+    links = _verified(spark, texts, maybe, k, percent, sig_bits)
     discard(maybe)
     comp = components(links, "ngram-cc")
 
@@ -349,7 +373,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     more = _bounded(rest.select(*_pair()).distinct().join(links, ["a", "b"], "left_anti"), bounds, percent)
     discard(met, crowd)
     if more.limit(1).count():
-        first, links = links, materialize(links.union(_verified(spark, texts, more, k, percent, bits)), "ngram-links")
+        first, links = links, materialize(links.union(_verified(spark, texts, more, k, percent, sig_bits)), "ngram-links")
         old, comp = comp, components(links, "ngram-cc")
         discard(first, old)
     discard(more, links)
