@@ -178,3 +178,32 @@ def test_recall_of_decontamination_by_kind_and_share_of_edits(spark):
     assert len(cases) >= 10
     for case, ids in cases.items():
         assert sum((i, i) in found for i in ids) >= 0.9 * len(ids), case
+
+
+def test_salted_join_of_a_hot_key(spark):
+    """A key with most rows goes many ways; rows without a partner are left out, as in any inner join."""
+    from quillon.llm.runtime import salted
+
+    left = spark.createDataFrame([("hot", i) for i in range(1500)] + [(f"k{i}", i) for i in range(300)] + [(None, 1)], "k string, v int")
+    right = spark.createDataFrame([("hot", "H")] + [(f"k{i}", str(i)) for i in range(200)], "k string, w string")
+    got = sorted(map(tuple, salted(left, right, ["k"], F.col("v")).select("k", "v", "w").collect()))
+    assert got == sorted([("hot", i, "H") for i in range(1500)] + [(f"k{i}", i, str(i)) for i in range(200)])
+
+
+def test_hot_groups_of_copies_and_of_near_copies(spark, monkeypatch):
+    """A third of all rows are one text, another third near copies of one; n-grams crowd more than one task."""
+    from quillon.llm import ngramjoin
+
+    monkeypatch.setattr(ngramjoin, "CROWD", 10)
+    rng = random.Random(31)
+    prose = lambda n: [("w%d" % rng.randrange(4000)) for _ in range(n)]
+    copy, base = prose(50), prose(120)
+    texts = {i: " ".join(copy) for i in range(200)}
+    for i in range(200, 400):
+        w = list(base)
+        w[rng.randrange(120)] = f"new{i}"
+        texts[i] = " ".join(w)
+    texts |= {i: " ".join(prose(60)) for i in range(400, 600)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.ngram_components(df).collect()}
+    assert got == {i: 0 if i < 200 else 200 if i < 400 else i for i in texts}
