@@ -156,19 +156,19 @@ def _predict(model_b):
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Centroids from at most SAMPLE texts of each language, among rows where train is true and the language isn't
-    null: those whose ids' hashes come first. The model takes 64 KB a language in every worker."""
+    """Centroids from at most SAMPLE distinct texts of each language, among rows where train is true and neither text nor
+    language is null: those whose hashes come first. Ids play no part, so null, repeated and shared ones don't matter. The model takes 64 KB a language in every worker."""
     spark = session(docs.sparkSession)
-    ids = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    # of a frequent language only rows below a hash come to its window: four times as many as asked for, on average
-    hashed = ids.withColumn("h", F.xxhash64("id"))
-    share = hashed.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.count("*")).alias("share"))
-    # a row for each language, and SAMPLE ids of each: broadcast if they are as few as languages are
+    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # of a frequent language only texts below a hash come to its window: four times as many as asked for, on average
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    share = hashed.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.approx_count_distinct("h")).alias("share"))
+    # a row for each language: broadcast if they are few
     told = F.broadcast if share.count() <= LANGUAGES else lambda d: d
     low = hashed.join(told(share), "lang").filter((F.col("h") / 2.0**64 + 0.5) < F.col("share"))
-    chosen = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= SAMPLE).select("id").distinct()
-    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    sample = rows.join(told(chosen), "id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))).filter(F.col("k") <= SAMPLE).select("text", "lang")
+    # copies, however many and whatever their ids, count once
+    once = low.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= SAMPLE).select("text", "lang")
     sample = sample.persist()
     try:
         parts = sample.select("text").mapInArrow(_frequencies, "df array<double>, n long").collect()

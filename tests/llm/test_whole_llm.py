@@ -207,3 +207,19 @@ def test_hot_groups_of_copies_and_of_near_copies(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r["component_id"] for r in ngramjoin.ngram_components(df).collect()}
     assert got == {i: 0 if i < 200 else 200 if i < 400 else i for i in texts}
+
+
+def test_language_doesnt_depend_on_ids(spark):
+    """Null ids, one id for all, repeated rows: predictions are those of the texts."""
+    from conftest import SF
+
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    told = lambda d: sorted(((r["text"], r["lang"]) for r in C.language(spark, d, SF).collect()), key=str)
+    want = told(docs)
+    assert len(want) > 150
+    assert told(docs.withColumn("doc_id", F.lit(None).cast("long"))) == want == told(docs.withColumn("doc_id", F.lit(7).cast("long")))
+    english = F.when(F.col("lang") == "en", F.lit(None).cast("long")).otherwise(F.col("doc_id"))
+    assert told(docs.withColumn("doc_id", english)) == want
+    assert told(docs.union(docs)) == sorted(want + want, key=str)
