@@ -7,6 +7,8 @@ import difflib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.alignment import CELLS, align
+
 
 def field_diff(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """One row for each key that differs: diff_kind (missing, extra, changed) and the sorted changed fields."""
@@ -18,19 +20,17 @@ def field_diff(before: DataFrame, after: DataFrame, keys: list[str], fields: lis
     return j.filter((F.col("diff_kind") != "changed") | (F.size("fields") > 0))
 
 
-def compare(before: DataFrame, after: DataFrame, strategy: str, keys: list[str], fields: list[str], order: str | None = None) -> DataFrame:
+def compare(before: DataFrame, after: DataFrame, strategy: str, keys: list[str], fields: list[str], order: str | None = None, cells: int = CELLS) -> DataFrame:
     """Differences of two documents' rows by strategy. 'identity' matches rows by keys, their stable ids; 'alignment'
-    matches the sequences of fields within keys[0] in order, as a longest common subsequence, whose time is
-    linear enough in practice to need no budget: (keys[0], diff_kind, before and after order)."""
+    matches the sequences of fields within keys[0] in order, as a longest common subsequence where a gap's cells stay
+    within the budget, else by anchors or greedily: (keys[0], diff_kind, before and after order, how)."""
     if strategy == "identity":
         return field_diff(before, after, keys, fields)
     if strategy != "alignment" or order is None:
         raise ValueError("strategy is 'identity', or 'alignment' with an order")
-    from quillon.operators.joins import align
-
     token = lambda d: d.select(keys[0], order, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("token"))
-    got = align(token(before), token(after), keys[0], order, "token").filter("kind <> 'same'")
-    return got.select(keys[0], F.when(F.col("kind") == "removed", "missing").otherwise("extra").alias("diff_kind"), "l_order", "r_order")
+    got = align(token(before), token(after), keys[0], order, "token", cells).filter("kind <> 'same'")
+    return got.select(keys[0], F.when(F.col("kind") == "removed", "missing").otherwise("extra").alias("diff_kind"), "l_order", "r_order", "how")
 
 
 def transition(before: Column, after: Column) -> Column:

@@ -96,38 +96,6 @@ def common_pairs(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def align_lists(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
-    """(kind, place in a, place in b): same for a longest common subsequence, else removed or added."""
-    out: list[tuple[str, int | None, int | None]] = []
-    i = j = 0
-    for x, y in [*common_pairs(a, b), (len(a), len(b))]:
-        out += [("removed", k, None) for k in range(i, x)] + [("added", None, k) for k in range(j, y)]
-        if x < len(a) and y < len(b):
-            out.append(("same", x, y))
-        i, j = x + 1, y + 1
-    return out
-
-
-def align(left: DataFrame, right: DataFrame, by: str, order: str, token: str) -> DataFrame:
-    """LCS alignment of two sequences for each key: (by, kind, l_order, r_order, token). A key's two sequences
-    come together in one row."""
-    import pandas as pd
-
-    ship(left.sparkSession)
-    kind = left.schema[by].dataType.simpleString()
-    lists = lambda x: [] if x is None else list(x)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for key, lo, lt, ro, rt in pdf.itertuples(index=False):
-                lo, lt, ro, rt = map(lists, (lo, lt, ro, rt))
-                out += [(key, k, None if i is None else lo[i], None if j is None else ro[j], lt[i] if i is not None else rt[j]) for k, i, j in align_lists(lt, rt)]
-            yield pd.DataFrame(out, columns=[by, "kind", "l_order", "r_order", "token"]).astype({"l_order": "Int64", "r_order": "Int64"})
-
-    return _sequences(left, right, by, order, token, "full_outer").select(by, "lo", "lt", "ro", "rt").mapInPandas(run, f"{by} {kind}, kind string, l_order long, r_order long, token string")
-
-
 def fuzzy_forward(left: DataFrame, right: DataFrame, by: str, order: str, text: str, window: int = 6, ratio: float = 0.7) -> DataFrame:
     """For each left line in order, the first of the next window right lines that is alike enough; greedy."""
     import pandas as pd

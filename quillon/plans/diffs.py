@@ -10,7 +10,7 @@ from quillon.sources import sinks
 from quillon.operators import diff as D
 from quillon.plans.joins import RUN_A, RUN_B, runs
 from quillon.plans.registry import query
-from quillon.sources.tables import load
+from quillon.sources.tables import PARAS_SQL, load, paragraphs
 
 _AFTER = "(SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 11 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 13 <> 0 UNION ALL SELECT -c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 50 = 0)"
 
@@ -62,11 +62,24 @@ def verify_written(spark, sf):
 
 @query("j10_compare_strategies", f"WITH {_DIFF} SELECT 'identity' AS strategy, diff_kind, count(*) AS n FROM x WHERE diff_kind <> 'changed' OR len(fields) > 0 GROUP BY ALL")
 def compare_strategies(spark, sf):
-    """By stable id; the other strategy, alignment, is joins.align over the same rows."""
+    """By stable id; j10_alignment is the other strategy."""
     d = D.compare(*versions(spark, sf), "identity", ["c_custkey"], ["c_name", "c_acctbal", "c_mktsegment"])
     return d.groupBy("diff_kind").agg(F.count("*").alias("n")).select(F.lit("identity").alias("strategy"), "diff_kind", "n")
 
 
+@query(
+    "j10_alignment",
+    f"""WITH {PARAS_SQL} SELECT doc_id, 'alignment' AS strategy, count(*) FILTER (para % 7 = 3) AS missing, count(*) FILTER (para % 11 = 5) AS extra FROM paras GROUP BY doc_id HAVING missing + extra > 0""",
+)
+def compare_by_alignment(spark, sf):
+    """Documents against versions that lost every seventh line and got a new one before every eleventh: nothing else differs."""
+    p = paragraphs(load(spark, sf, "documents")).select("doc_id", F.col("para").cast("long").alias("para"), F.sha2("text", 256).alias("text"))
+    new = p.filter("para % 11 = 5").select("doc_id", (2 * F.col("para")).alias("para"), F.concat(F.lit("new "), F.col("para").cast("string")).alias("text"))
+    after = p.filter("para % 7 <> 3").select("doc_id", (2 * F.col("para") + 1).alias("para"), "text").union(new)
+    got = D.compare(p, after, "alignment", ["doc_id"], ["text"], "para")
+    return got.groupBy("doc_id").agg(F.lit("alignment").alias("strategy"), F.count_if(F.col("diff_kind") == "missing").alias("missing"), F.count_if(F.col("diff_kind") == "extra").alias("extra"))
+
+
 _TRANS = f"SELECT doc_id, CASE WHEN a.verdict IS NULL OR b.verdict IS NULL THEN 'MISSING' WHEN a.verdict = 'FAIL' AND b.verdict = 'PASS' THEN 'IMPROVED' WHEN a.verdict = 'PASS' AND b.verdict = 'FAIL' THEN 'REGRESSED' WHEN b.verdict = 'PASS' THEN 'STILL_OK' ELSE 'STILL_BAD' END AS transition FROM {RUN_A} a FULL JOIN {RUN_B} b USING (doc_id)"
 
 

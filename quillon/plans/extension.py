@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from quillon.operators import diff, joins, security
+from quillon.operators import diff, security
+from quillon.operators.alignment import align
 from quillon.plans.registry import ORACLES, QUERIES, query
 from quillon.sources import records, sinks
-from quillon.sources.tables import load, paragraphs
+from quillon.sources.tables import PARAS_SQL, load, paragraphs
 
 
 @query("p14_capabilities")
@@ -92,14 +93,18 @@ def wrapping_cursor(spark, sf):
     return load(spark, sf, "customer").groupBy("c_nationkey").agg(F.min(F.struct((k <= 700).alias("wrapped"), k.alias("k")))["k"].alias("next_key"))
 
 
-@query("d04_alignment_noise")
+@query(
+    "d04_alignment_noise",
+    f"""WITH {PARAS_SQL}, a AS (SELECT doc_id, para, text FROM paras), b AS (SELECT doc_id, para - 1 AS para, text FROM paras WHERE para > 0)
+    SELECT (SELECT count(*) FROM a FULL JOIN b USING (doc_id, para) WHERE a.text IS DISTINCT FROM b.text) AS by_place, (SELECT count(DISTINCT doc_id) FROM paras) AS by_alignment""",
+)
 def alignment_noise(spark, sf):
-    """No SQL: rows that differ by position, and by alignment, when each text loses its first line."""
+    """Rows that differ by position, and by alignment, when each text loses its first line: by alignment, that line alone."""
     # lines are only compared, so their digests are shuffled
     p = paragraphs(load(spark, sf, "documents")).select("doc_id", F.col("para").cast("long").alias("para"), F.base64(F.unhex(F.sha2("text", 256))).alias("text"))
     after = p.filter("para > 0").withColumn("para", F.col("para") - 1)
     by_place = diff.field_diff(p, after, ["doc_id", "para"], ["text"]).agg(F.count("*").alias("by_place"))
-    aligned = joins.align(p, after, "doc_id", "para", "text").filter("kind <> 'same'").agg(F.count("*").alias("by_alignment"))
+    aligned = align(p, after, "doc_id", "para", "text").filter("kind <> 'same'").agg(F.count("*").alias("by_alignment"))
     return by_place.crossJoin(F.broadcast(aligned))
 
 

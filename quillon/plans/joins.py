@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalars
 from quillon.operators import joins as J
+from quillon.operators.alignment import align
 from quillon.plans.registry import query
 from quillon.sources.tables import PARAS_SQL, load, paragraphs
 
@@ -80,11 +81,33 @@ def _lines(spark, sf, parity):
     return load(spark, sf, "lineitem").filter(f"l_orderkey % 2 = {parity}").select(F.floor(F.col("l_orderkey") / 2).alias("pair"), F.col("l_linenumber").cast("long").alias("line"), F.concat("l_returnflag", "l_linestatus").alias("token"))
 
 
+def _sides(spark, sf):
+    once = lambda d: d.groupBy("pair", "line").agg(F.min("token").alias("token"))
+    return once(_lines(spark, sf, 0)), once(_lines(spark, sf, 1))
+
+
 @query("j08_lcs_align")
 def lcs_align(spark, sf):
-    """No SQL: an LCS alignment for each pair of orders; tests compare its length with a dynamic programme."""
-    once = lambda d: d.groupBy("pair", "line").agg(F.min("token").alias("token"))
-    return J.align(once(_lines(spark, sf, 0)), once(_lines(spark, sf, 1)), "pair", "line", "token")
+    """No SQL: of several longest alignments SQL can't name the one; j08_lcs_length has SQL for their length."""
+    return align(*_sides(spark, sf), "pair", "line", "token").select("pair", "kind", "l_order", "r_order", "token")
+
+
+@query(
+    "j08_lcs_length",
+    """WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag || l_linestatus) AS t FROM lineitem GROUP BY 1, 2),
+    s AS (SELECT l_orderkey // 2 AS pair, l_orderkey % 2 AS side, list(t ORDER BY l_linenumber) AS s FROM l GROUP BY 1, 2),
+    b AS (SELECT a.pair, a.s AS a, b.s AS b FROM s a JOIN s b ON a.pair = b.pair AND a.side = 0 AND b.side = 1),
+    d AS (
+      SELECT pair, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS r FROM b
+      UNION ALL SELECT pair, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k: CASE WHEN k > 0 AND a[i + 1] = b[k] THEN greatest(r[k + 1], r[k] + 1) ELSE r[k + 1] END))) FROM d WHERE i < len(a))
+    SELECT pair, CAST(r[len(b) + 1] AS BIGINT) AS common, CAST(len(a) - r[len(b) + 1] AS BIGINT) AS removed, CAST(len(b) - r[len(b) + 1] AS BIGINT) AS added FROM d WHERE i = len(a)""",
+)
+def lcs_length(spark, sf):
+    """How much of both orders the longest alignment keeps, for pairs that have two sides."""
+    got = align(*_sides(spark, sf), "pair", "line", "token")
+    n = {k: F.count_if(F.col("kind") == v).alias(k) for k, v in (("common", "same"), ("removed", "removed"), ("added", "added"))}
+    both = (F.count("l_order") > 0) & (F.count("r_order") > 0)
+    return got.groupBy("pair").agg(*n.values(), both.alias("both")).filter("both").drop("both")
 
 
 @query("j09_fuzzy_forward")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -33,3 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="quillon-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+#: Written tables of this context that later steps may still read; they go when the driver ends.
+_written: list = []
+
+
+def _remove_written() -> None:
+    for sc, path in _written:
+        try:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001, S112 - the context is gone, and with it whoever reads the table
+            continue
+
+
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: plans stay short, and later readers survive lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark.sparkContext, path))
+    return spark.read.schema(df.schema).parquet(path)

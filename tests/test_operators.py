@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars
-from quillon.operators import diff, extraction, joins, ledger, search, security, structure
+from quillon.operators import alignment, diff, extraction, joins, ledger, search, security, structure
 from quillon.sources import encoding, files, sinks
 from quillon.sources.batch import isolated
 from quillon.sources.tables import paragraphs
@@ -62,7 +62,7 @@ def test_spans(spark):
 
 def test_alignment_rows(spark):
     df = lambda rows: spark.createDataFrame(rows, "k int, o long, t string")
-    out = joins.align(df([(1, 0, "a"), (1, 1, "b")]), df([(1, 0, "b"), (2, 0, "z")]), "k", "o", "t")
+    out = alignment.align(df([(1, 0, "a"), (1, 1, "b")]), df([(1, 0, "b"), (2, 0, "z")]), "k", "o", "t")
     assert {(r["k"], r["kind"], r["token"]) for r in out.collect()} == {(1, "removed", "a"), (1, "same", "b"), (2, "added", "z")}
 
 
@@ -233,6 +233,6 @@ def test_atomic_replace(tmp_path, monkeypatch):
 def test_compare_by_alignment(spark):
     d = lambda ts: spark.createDataFrame([(1, i, t) for i, t in enumerate(ts)], "k int, o long, t string")
     got = diff.compare(d("abcd"), d("acxd"), "alignment", ["k"], ["t"], "o")
-    assert {tuple(r) for r in got.collect()} == {(1, "extra", None, 2), (1, "missing", 1, None)}
+    assert {tuple(r) for r in got.collect()} == {(1, "extra", None, 2, None), (1, "missing", 1, None, None)}
     with pytest.raises(ValueError):
         diff.compare(d("a"), d("a"), "guess", ["k"], ["t"])
