@@ -29,7 +29,9 @@ def nested_tables(spark, sf):
     inner = lines.groupBy("o").agg(F.concat(F.lit("<table>"), F.array_join(row, ""), F.lit("</table>")).alias("t"))
     orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("o"), "o_orderstatus").join(inner, "o", "left")
     outer = F.transform(F.sort_array(F.collect_list(F.struct("o", "o_orderstatus", "t"))), lambda x: F.concat(F.lit("<tr><td>"), x["o"].cast("string"), F.lit("</td><td><p>"), x["o_orderstatus"], F.lit("</p>"), F.coalesce(x["t"], F.lit("")), F.lit("</td></tr>")))
-    return orders.groupBy("page_id").agg(F.concat(F.lit("<div><h2>Orders</h2><table>"), F.array_join(outer, ""), F.lit("</table></div>")).alias("html"))
+    html = F.concat(F.lit("<div><h2>Orders</h2><table>"), F.array_join(outer, ""), F.lit("</table></div>"))
+    # parsing takes longer than its bytes suggest, so the parts stay as many as a shuffle has
+    return orders.groupBy("page_id").agg(html.alias("html")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
 
 
 @query(

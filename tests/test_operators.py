@@ -63,7 +63,7 @@ def test_spans(spark):
 def test_alignment_rows(spark):
     df = lambda rows: spark.createDataFrame(rows, "k int, o long, t string")
     out = alignment.align(df([(1, 0, "a"), (1, 1, "b")]), df([(1, 0, "b"), (2, 0, "z")]), "k", "o", "t")
-    assert {(r["k"], r["kind"], r["token"]) for r in out.collect()} == {(1, "removed", "a"), (1, "same", "b"), (2, "added", "z")}
+    assert {(r["k"], r["kind"], r["t"]) for r in out.collect()} == {(1, "removed", "a"), (1, "same", "b"), (2, "added", "z")}
 
 
 def test_as_of(spark):
