@@ -5,7 +5,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quillon.shipping import shared_dir
+from quillon.shipping import discard_later, shared_dir
 from quillon.sources import sinks
 from quillon.operators import diff as D
 from quillon.plans.joins import RUN_A, RUN_B, runs
@@ -57,7 +57,7 @@ def verify(spark, sf):
 @query("d05_verify_written", "SELECT true AS identical, CAST(0 AS BIGINT) AS diff_count, NULL::VARCHAR AS error")
 def verify_written(spark, sf):
     """What was written is read again and compared with what was meant."""
-    return sinks.verified(load(spark, sf, "customer"), f"{shared_dir(spark)}/quillon-verify-{uuid.uuid4().hex}")
+    return sinks.verified(load(spark, sf, "customer"), discard_later(spark, f"{shared_dir(spark)}/quillon-verify-{uuid.uuid4().hex}"))
 
 
 @query("j10_compare_strategies", f"WITH {_DIFF} SELECT 'identity' AS strategy, diff_kind, count(*) AS n FROM x WHERE diff_kind <> 'changed' OR len(fields) > 0 GROUP BY ALL")

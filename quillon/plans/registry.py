@@ -25,5 +25,5 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-for _module in ("search", "extraction", "security", "structure", "formulas", "joins", "aggregation", "windows", "scalars", "diffs", "ledgers", "sinks_sources", "relational", "events", "extension", "trees", "containers"):
+for _module in ("search", "extraction", "security", "structure", "formulas", "joins", "aggregation", "windows", "scalars", "diffs", "ledgers", "sinks_sources", "relational", "events", "extension", "trees", "containers", "plugged"):
     import_module(f"quillon.plans.{_module}")

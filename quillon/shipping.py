@@ -50,12 +50,17 @@ def _remove_written() -> None:
             continue
 
 
+def discard_later(spark: SparkSession, path: str) -> str:
+    """path, which goes when the driver ends."""
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark.sparkContext, path))
+    return path
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: plans stay short, and later readers survive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    path = discard_later(spark, f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark.sparkContext, path))
     return spark.read.schema(df.schema).parquet(path)
