@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Keys sampled for each range whose bounds they give.
 SAMPLED = 64
+#: Distinct values of all groups together below which medians need no ranges.
+FEW = 200_000
 
 
 def _ranged(df: DataFrame, keys: list[str], ranges: int) -> DataFrame:
@@ -48,10 +50,20 @@ def medians(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """by and out, the exact median of value (nulls left out) for each group: values are counted first, then
     ordered by ranges, so neither a large group nor a frequent value comes to one task."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    if counts.limit(FEW + 1).count() <= FEW:  # few distinct values: their order fits one window for each group
+        w = Window.partitionBy(*by).orderBy(value)
+        below = F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.select(*by, F.col(value).cast("double").alias("_v"), below.alias("_lo"), "_c", F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
+        return _middle(placed, by, out)
     placed = running(counts, [*by, value], F.col("_c"), "_at")
     groups = placed.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min("_at").alias("_first"), F.sum("_c").alias("_n"))
     same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
     j = placed.join(groups, same).select(*by, F.col(value).cast("double").alias("_v"), (F.col("_at") - F.col("_first")).alias("_lo"), "_c", "_n")
+    return _middle(j, by, out)
+
+
+def _middle(placed: DataFrame, by: list[str], out: str) -> DataFrame:
+    """The medians from counted values (_v, _c) with their places in their groups (_lo) and the groups' sizes (_n)."""
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
     holds = lambda p: F.when((F.col("_lo") <= p) & (p < F.col("_lo") + F.col("_c")), F.col("_v"))
-    return j.groupBy(*by).agg(((F.max(holds(low)) + F.max(holds(high))) / 2).alias(out))
+    return placed.groupBy(*by).agg(((F.max(holds(low)) + F.max(holds(high))) / 2).alias(out))

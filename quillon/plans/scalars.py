@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
+from quillon.operators import edits
 from quillon.plans.registry import query
 from quillon.sources.tables import PARAS_SQL, load, paragraphs
 
@@ -113,6 +114,25 @@ def char_diff(spark, sf):
     return a.join(b, "n_regionkey").filter("ka < kb").select("a", "b", d.alias("d")).filter("d >= 0")
 
 
+#: DuckDB's distance counts bytes, so for it letters of two bytes become bytes that no text holds.
+_WIDE = "ñéÊÖÈÄÇÜßêíÑüèÓöçÍÉäóáúàâùûîïôëÁÚÀÂ"
+_BYTES = "".join(chr(i) for i in (*range(1, 9), *range(14, 32))) + "~`^|{}\\_<"
+
+
+@query(
+    "x16_edit_script",
+    f"""WITH t AS (SELECT conv_id, turn, text AS a, substr(text, 1, length(text) // 3) || '!' || substr(text, length(text) // 3 + 1, length(text) // 3) || substr(text, 2 * (length(text) // 3) + 2) AS b FROM conversations WHERE text IS NOT NULL)
+    SELECT conv_id, turn, CAST(levenshtein(translate(a, '{_WIDE}', '{_BYTES}'), translate(b, '{_WIDE}', '{_BYTES}')) AS BIGINT) AS edits, sha256(b) AS sha, true AS exact FROM t""",
+)
+def edit_script(spark, sf):
+    """Every turn against a version with a character more and one less: the fewest edits, and what applying them gives."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    after = F.concat(F.substr("text", F.lit(1), third), F.lit("!"), F.substr("text", third + 1, third), F.substr("text", 2 * third + 2))
+    c = load(spark, sf, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", "text", after.alias("after"))
+    got = edits.edit_scripts(c, "text", "after")
+    return got.select("conv_id", "turn", "edits", F.sha2(edits.applied(F.col("text"), F.col("ops")), 256).alias("sha"), "exact")
+
+
 @query("x17_decode", "SELECT n_nationkey, n_name AS decoded FROM nation")
 def decode(spark, sf):
     n = load(spark, sf, "nation")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillon.operators import security as S
+from quillon.operators.hidden import hidden_runs
 from quillon.plans.registry import query
 from quillon.sources.tables import load
 
@@ -21,6 +22,29 @@ def hidden_text(spark, sf):
     return p.select("page_id", S.hidden_text("html").alias("hidden"))
 
 
+#: Markup by page_id % 7: what is hidden, shown again inside, and can't be shown again.
+_STYLED = [
+    '<div style="color:#fff">a1<span style="color: #000">b</span>c1</div>',
+    '<div style="visibility:hidden">a2<p style="visibility:visible">b</p></div>',
+    '<div style="display:none">a3<p style="display:block;color:red">c3</p></div>',
+    '<div style="position:absolute; left:-9999px"><ul><li>a4<li style="left:0">c4</ul></div>',
+    '<section style="font-size:0">a5<b style="font-size:12px">b</b></section>',
+    '<div style="color:white;background:#000">seen<p style="background-color:white">a6</p></div>',
+    '<div>seen<p style="color:red">seen</p></div>',
+]
+
+
+@query(
+    "t11_inherited_hidden",
+    """SELECT page_id, reason, text FROM pages, (VALUES (0, 'colour', 'a1'), (0, 'colour', 'c1'), (1, 'visibility', 'a2'), (2, 'display', 'a3c3'), (3, 'off_page', 'a4c4'), (4, 'zero_size', 'a5'), (5, 'colour', 'a6')) AS v(k, reason, text) WHERE page_id % 7 = k AND html IS NOT NULL""",
+)
+def inherited_hidden(spark, sf):
+    """Stretches that the style in force hides, on all pages, each with a styled part set before its end."""
+    styled = F.element_at(F.array(*map(F.lit, _STYLED)), (F.col("page_id") % 7 + 1).cast("int"))
+    p = load(spark, sf, "pages").select("page_id", F.concat(F.coalesce(F.nullif(F.regexp_replace("html", "</body>.*$", ""), F.lit("")), F.lit("")), styled, F.lit("</body></html>")).alias("html"))
+    return hidden_runs(p).drop("ord")
+
+
 @query("t12_deceptive_unicode", f"SELECT doc_id FROM (SELECT doc_id, {_PLANTED_DOC} AS text FROM documents) WHERE regexp_matches(text, '{_DECEPTIVE}')")
 def deceptive(spark, sf):
     return planted(spark, sf).filter(S.deceptive("text")).select("doc_id")

@@ -117,9 +117,11 @@ def anchors(spark, sf):
     p = paragraphs(load(spark, sf, "documents")).filter("text <> ''")
     n, t = F.length("text"), F.col("text")
     blanks = n - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    # short and blank lines never come to be taken apart
-    rich = F.when((n < 40) | (blanks * 100 > n * 30), False).otherwise((F.size(F.array_distinct(F.split(t, ""))) >= 12) & (scalars.entropy(t) >= 3.3))
-    return p.select("doc_id", "para", F.sha2("text", 256).alias("signature"), rich.alias("is_anchor"))
+    # only lines that may be anchors are taken apart
+    may = (n >= 40) & (blanks * 100 <= n * 30)
+    told = p.withColumns({"may": may, "bits": scalars.entropy(F.when(may, t))})
+    rich = F.when(~F.col("may") | (F.col("bits") < 3.3), False).otherwise(F.size(F.array_distinct(F.split(t, ""))) >= 12)
+    return told.select("doc_id", "para", F.sha2("text", 256).alias("signature"), rich.alias("is_anchor"))
 
 
 @query("t29_default_numbering", "SELECT n_nationkey, (n_regionkey + 1) || '.' || row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) || '.' AS number FROM nation")

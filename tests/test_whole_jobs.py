@@ -69,7 +69,10 @@ def test_numbers_of_ties_nulls_and_nothing(spark):
     assert order.numbered(rows.limit(0), ["k"], "i").count() == 0
 
 
-def test_medians(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_medians(spark, monkeypatch, few):
+    """By a window where values are few, by ranges where they aren't."""
+    monkeypatch.setattr(order, "FEW", few)
     rng = random.Random(8)
     rows = [(rng.choice("ab"), rng.choice([None, 1.0, 2.5, float(rng.randrange(50))])) for _ in range(501)] + [(None, 3.0), ("c", None)]
     got = {r["g"]: r["m"] for r in order.medians(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", "m").collect()}
