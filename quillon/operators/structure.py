@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,6 +100,19 @@ def expand_spans(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return two.select(*keys, (F.col("a_row") + F.col("dr")).alias("row"), (F.col("a_col") + F.col("dc")).alias("col"), "a_row", "a_col", token.alias("token"), F.when(token == "anchor", F.col("text")).alias("text"))
 
 
+def nesting(tables: DataFrame, depth: int = 8) -> DataFrame:
+    """(table_id, depth) of tables (table_id, parent_id), from 0 at the top; those deeper than depth levels, and what hangs below
+    nothing, are left out. A recursive query: a level is one join of the tables with the level above."""
+    spark = tables.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # all of a level, however many; the levels are bounded
+    view = f"quillon_tables_{uuid.uuid4().hex}"
+    tables.select("table_id", "parent_id").createTempView(view)
+    return spark.sql(f"""WITH RECURSIVE d(table_id, depth) AS (
+      SELECT table_id, 0 FROM {view} WHERE parent_id IS NULL
+      UNION ALL SELECT t.table_id, d.depth + 1 FROM {view} t JOIN d ON t.parent_id = d.table_id WHERE d.depth < {int(depth) - 1})
+    SELECT table_id, depth FROM d""")
+
+
 def export_tables(tables: DataFrame, cells: DataFrame, depth: int = 8) -> DataFrame:
     """Anchor cells of tables and of the tables inside them, with each table's address and depth.
 
@@ -105,11 +120,7 @@ def export_tables(tables: DataFrame, cells: DataFrame, depth: int = 8) -> DataFr
     row_span, col_span, text. Spans of 0 count as 1 and end with the table; anchors outside of their table are dropped,
     and so are tables deeper than depth. The grid is never spread out.
     """
-    level = tables.filter("parent_id IS NULL").withColumn("depth", F.lit(0))
-    out = level
-    for d in range(1, depth):
-        level = tables.join(level.select(F.col("table_id").alias("parent_id")), "parent_id", "left_semi").withColumn("depth", F.lit(d))
-        out = out.unionByName(level)
+    out = tables.join(nesting(tables, depth), "table_id")
     j = cells.join(out, "table_id").filter((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < F.col("rows")) & (F.col("col") < F.col("cols")))
     span = lambda s, at, n: F.least(F.greatest(F.col(s), F.lit(1)), F.col(n) - F.col(at))
     return j.select("table_id", "section", "paragraph", "depth", "row", "col", span("row_span", "row", "rows").alias("row_span"), span("col_span", "col", "cols").alias("col_span"), "text")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillon.functions import tables
 from quillon.operators import diff, security
 from quillon.operators.alignment import align
 from quillon.plans.registry import ORACLES, QUERIES, query
@@ -36,6 +37,30 @@ def table_function(spark, sf):
     return spark.sql("SELECT n_nationkey, word FROM quillon_nation, LATERAL explode(split(n_name, ' ')) AS t(word)")
 
 
+@query("e02_search_function", f"WITH {PARAS_SQL}, h AS (SELECT doc_id, para, text, unnest(range(1, length(text) - 1)) AS i FROM paras) SELECT doc_id, para, CAST(i - 1 AS INTEGER) AS char FROM h WHERE substr(text, i, 3) = 'the'")
+def search_function(spark, sf):
+    """A search that SQL users call on a table."""
+    tables.register(spark)
+    load(spark, sf, "documents").select("doc_id", "text").createOrReplaceTempView("quillon_documents")
+    return spark.sql("SELECT doc_id, para, char FROM quillon_search(TABLE(quillon_documents), 'the')")
+
+
+@query("e02_extract_function", f"WITH {PARAS_SQL} SELECT doc_id, lang, para, unnest(regexp_extract_all(p.text, '[0-9]+')) AS match FROM paras p JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)")
+def extract_function(spark, sf):
+    """Numbers by a table function, with the other columns of the table."""
+    tables.register(spark)
+    load(spark, sf, "documents").select("doc_id", "lang", "text").createOrReplaceTempView("quillon_documents")
+    return spark.sql("SELECT doc_id, lang, para, match FROM quillon_extract(TABLE(quillon_documents), '[0-9]+')")
+
+
+@query("e02_partitioned_function", "SELECT conv_id, turn, CAST(row_number() OVER w - 1 AS INTEGER) AS place, CAST(coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def partitioned_function(spark, sf):
+    """A table function with state, over the turns of each conversation in order."""
+    tables.register(spark)
+    load(spark, sf, "conversations").select("conv_id", "turn", "text").createOrReplaceTempView("quillon_conversations")
+    return spark.sql("SELECT conv_id, turn, place, before FROM quillon_numbered(TABLE(quillon_conversations) PARTITION BY conv_id ORDER BY turn)")
+
+
 @query("e03_configured_filter", "SELECT doc_id FROM documents WHERE lang IN ('de', 'fr') AND length(text) >= 500")
 def configured_filter(spark, sf):
     """Filters from a configuration as plain data."""

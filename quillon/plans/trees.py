@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillon.plans.registry import query
 from quillon.sources import nodes as N
+from quillon.sources import sinks as K
 from quillon.sources.tables import load
 
 #: Containers that a match is addressed by.
@@ -60,3 +61,20 @@ def nested_grid(spark, sf):
     up = N.ancestors(tree, text, ["cell"])
     own = up.groupBy("page_id", "pre", "text").agg(F.max(F.struct("up_depth", "up_row", "up_col")).alias("i"), F.min(F.struct("up_depth", "up_row")).alias("o"), F.count("*").alias("n"))
     return own.filter("n = 2 AND i.up_col = 0").select("page_id", F.col("o.up_row").alias("outer_row"), F.col("i.up_row").alias("inner_row"), "text")
+
+
+@query("k16_page_html")
+def page_html(spark, sf):
+    """All pages written again from their nodes. No SQL: the tests read what is written and get the same nodes."""
+    return K.nested_html(N.nodes(load(spark, sf, "pages")))
+
+
+@query(
+    "k16_nested_html",
+    """WITH l AS (SELECT l_orderkey AS o, string_agg('<tr><td>' || l_partkey || '</td><td>' || l_returnflag || ' ' || l_linestatus || '</td></tr>', '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS t FROM lineitem GROUP BY 1)
+    SELECT o_custkey AS page_id, '<div><h2>Orders</h2><table>' || string_agg('<tr><td>' || o_orderkey || '</td><td><p>' || o_orderstatus || '</p>' || coalesce('<table>' || t || '</table>', '') || '</td></tr>', '' ORDER BY o_orderkey, o_orderstatus) || '</table></div>' AS html
+    FROM orders LEFT JOIN l ON o = o_orderkey GROUP BY 1""",
+)
+def nested_html(spark, sf):
+    """Tables in tables from their nodes: the markup they were read from, with the ends that it had left out."""
+    return K.nested_html(N.nodes(nested_tables(spark, sf)))

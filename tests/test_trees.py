@@ -150,3 +150,33 @@ def test_whole_pages(spark):
     for r in N.nodes(pages).filter("kind = 'text'").collect():
         got.setdefault(r["page_id"], []).extend(r["text"].split())
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_written_again(spark, pages):
+    """What is written from nodes reads as the same nodes."""
+    from quillon.sources import sinks as K
+
+    trees, got = pages
+    again = N.nodes(K.nested_html(got))
+    row = lambda r: (r["page_id"], r["pre"], r["post"], r["depth"], r["kind"], r["path"], r["row"] if r["kind"] == "cell" else None, r["text"])
+    assert sorted(map(row, again.collect()), key=str) == sorted(map(row, got.collect()), key=str)
+
+
+def test_what_is_left_out_is_said(spark):
+    from quillon.sources import sinks as K
+
+    deep = "<table><tr><td>x" * 4 + "<details>secret</details>&lt;b&gt;" + "</table>" * 4
+    tree = N.nodes(spark.createDataFrame([(1, deep), (2, None), (3, "<details>a<p>b</p></details><p>c")], "page_id long, html string"))
+    got = {r["page_id"]: r["html"] for r in K.nested_html(tree, cap=2).collect()}
+    assert got == {1: "<table><tr><td>x<table><tr><td>x<!-- table nested deeper than 2 --></td></tr></table></td></tr></table>", 3: "<!-- note --><p>c</p>"}
+    whole = {r["page_id"]: r["html"] for r in K.nested_html(tree).collect()}
+    assert "<td>x<!-- note -->&lt;b&gt;</td>" in whole[1] and whole[1].count("<table>") == 4
+
+
+def test_nesting(spark):
+    from quillon.operators import structure
+
+    t = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 9), (6, 6), (7, None)], "table_id long, parent_id long")
+    depths = lambda n: sorted(map(tuple, structure.nesting(t, n).collect()))
+    assert depths(8) == [(1, 0), (2, 1), (3, 2), (4, 3), (7, 0)] and depths(2) == [(1, 0), (2, 1), (7, 0)] and depths(1) == [(1, 0), (7, 0)]
+    assert structure.nesting(t.limit(0)).count() == 0
