@@ -131,6 +131,48 @@ def _greedy(lines: DataFrame) -> DataFrame:
     return both.withColumn("b", before).filter("b IS NULL OR r > b").select("key", "gap", "l", "r")
 
 
+def _small(left: DataFrame, right: DataFrame, by: str, cells: int) -> bool:
+    """Whether the largest key of one side and the largest of the other would be one gap within the budget."""
+    n, m = (d.groupBy(by).count().agg(F.max("count")).first()[0] or 0 for d in (left, right))
+    return n * m <= cells and n + m <= LINES
+
+
+def _whole(rows: DataFrame, by: str, kind: str, token: str) -> DataFrame:
+    """Keys that all are gaps within the budget, aligned as they come by: one shuffle, and a task holds one key."""
+
+    def run(batches):
+        def aligned(key, lines):
+            a, b = ([(o, t) for side, o, t in lines if side == s] for s in (0, 1))
+            out, i, j = [], 0, 0
+            for x, y in [*common_pairs([t for _, t in a], [t for _, t in b]), (len(a), len(b))]:
+                out += [(key, "removed", o, None, t, None) for o, t in a[i:x]] + [(key, "added", None, o, t, None) for o, t in b[j:y]]
+                if x < len(a) and y < len(b):
+                    out.append((key, "same", a[x][0], b[y][0], a[x][1], "exact"))
+                i, j = x + 1, y + 1
+            return out
+
+        def made(out, schema):
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (schema.field("k").type, pa.string(), pa.int64(), pa.int64(), schema.field("t").type, pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [by, "kind", "l_order", "r_order", token, "how"])
+
+        now, lines, schema = object(), [], None  # no key equals it, null doesn't either
+        for batch in batches:
+            out, schema = [], batch.schema
+            for key, *line in zip(*(batch.column(n).to_pylist() for n in ("k", "side", "o", "t")), strict=True):
+                if key != now:
+                    out += aligned(now, lines) if lines else []
+                    now, lines = key, []
+                lines.append(line)
+            yield made(out, schema)
+        if lines:
+            yield made(aligned(now, lines), schema)
+
+    order = ["k", "side", F.asc_nulls_first("o")]
+    token_kind = rows.schema["t"].dataType.simpleString()
+    return rows.repartition("k").sortWithinPartitions(*order).mapInArrow(run, f"`{by}` {kind}, kind string, l_order long, r_order long, `{token}` {token_kind}, how string")
+
+
 def align(left: DataFrame, right: DataFrame, by: str, order: str, token: str, cells: int = CELLS, fit: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(by, kind, l_order, r_order, token, how): kind is same for pairs, else removed (left only) or added; how is exact,
     anchored or greedy for a pair, as its gap was aligned (safe anchors count as exact), and null for other rows.
@@ -141,6 +183,9 @@ def align(left: DataFrame, right: DataFrame, by: str, order: str, token: str, ce
     """
     ship(left.sparkSession)
     kind = left.schema[by].dataType.simpleString()
+    if _small(left, right, by, cells):
+        plain = lambda d, s: d.select(F.col(by).alias("k"), F.lit(s).alias("side"), F.col(order).cast("long").alias("o"), F.col(token).alias("t"))
+        return _whole(plain(left, 0).union(plain(right, 1)), by, kind, token)
     hashed = F.sha2(F.concat(F.when(F.col(token).isNull(), "n").otherwise("t"), F.coalesce(F.col(token).cast("string"), F.lit(""))), 256)
     fine = fit if fit is not None else F.lit(True)
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_first(order))) - 1

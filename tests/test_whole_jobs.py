@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 from statistics import median
 
+import pytest
 from conftest import SF
 from pyspark.sql import Window
 from pyspark.sql import functions as F
