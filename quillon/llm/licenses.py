@@ -35,9 +35,31 @@ MORE = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 TAG = "spdx license identifier"
-#: Families of identifiers in tags by their start, and how free use is under each (0 to 1).
-FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("isc", "isc"), ("bsl", "bsl"), ("zlib", "zlib"), ("cc0", "cc0"), ("cc-by", "cc-by"), ("unlicense", "unlicense"))
-FREE = {"gpl": 0.4, "agpl": 0.2, "lgpl": 0.6, "mpl": 0.7, "epl": 0.7, "cc-by": 0.9, "apache": 1.0, "mit": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "zlib": 1.0, "cc0": 1.0, "unlicense": 1.0}
+#: Whole identifiers of tags, by family. Families with versions take one (GPL-2.0, GPLv2), and how later ones count.
+_VERSION = r"(-?v?[0-9]+(\.[0-9]+)*)?(\+|-only|-or-later)?"
+IDENTIFIERS = {
+    "agpl": f"agpl{_VERSION}",
+    "lgpl": f"lgpl{_VERSION}",
+    "gpl": f"gpl{_VERSION}",
+    "apache": f"apache{_VERSION}",
+    "mpl": f"mpl{_VERSION}(-no-copyleft-exception)?",
+    "epl": f"epl{_VERSION}",
+    "mit": "mit(-0)?",
+    "bsd": "0bsd|bsd(-[1-4]-clause)?",
+    "isc": "isc",
+    "bsl": "bsl-1\\.0",
+    "zlib": "zlib",
+    "unlicense": "unlicense",
+    "cc0": "cc0(-1\\.0)?",
+    "cc-by": "cc-by(-[0-9]\\.[0-9])?",
+    "cc-by-sa": "cc-by-sa(-[0-9]\\.[0-9])?",
+    "cc-by-nd": "cc-by-nd(-[0-9]\\.[0-9])?",
+    "cc-by-nc": "cc-by-nc(-[0-9]\\.[0-9])?",
+    "cc-by-nc-sa": "cc-by-nc-sa(-[0-9]\\.[0-9])?",
+    "cc-by-nc-nd": "cc-by-nc-nd(-[0-9]\\.[0-9])?",
+}
+#: How free use is under each family, from 0 to 1.
+FREE = {"gpl": 0.4, "agpl": 0.2, "lgpl": 0.6, "mpl": 0.7, "epl": 0.7, "cc-by": 0.9, "cc-by-sa": 0.6, "cc-by-nd": 0.3, "cc-by-nc": 0.3, "cc-by-nc-sa": 0.2, "cc-by-nc-nd": 0.1, "apache": 1.0, "mit": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "zlib": 1.0, "cc0": 1.0, "unlicense": 1.0}
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58] = np.arange(48, 58)
@@ -45,7 +67,8 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD_BYTES = _FOLD.tobytes()
-_TAG_AT = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+#: A tag's expression goes on to the next line where a line ends with an operator; comment signs there are no part of it.
+_TAG_AT = re.compile(r"spdx-license-identifier:[ \t]*((?:[^\r\n]*[ \t)](?:or|and|with)[ \t]*\r?\n[ \t/*#;-]*)*[^\r\n]*)", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -61,9 +84,14 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+_IDENTIFIER = re.compile("|".join(f"(?P<{label.replace('-', '_')}>{pattern})" for label, pattern in IDENTIFIERS.items()))
+
+
+@functools.lru_cache(maxsize=4096)
 def family(identifier: str) -> str | None:
-    low = identifier.lower()
-    return next((label for start, label in FAMILIES if low.startswith(start)), None)
+    """The family of a whole identifier; what only begins like one (MITRE, EPLUS) has none."""
+    m = _IDENTIFIER.fullmatch(identifier.lower())
+    return m.lastgroup.replace("_", "-") if m else None
 
 
 def parse(expression: str) -> list[str] | None:

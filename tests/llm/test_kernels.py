@@ -98,6 +98,11 @@ def test_licence_expressions():
     assert licenses.parse("MIT OR") == licenses.parse("MIT OR (see LICENSE") == licenses.parse("MIT and more prose") == ["MIT"]
     assert licenses.parse("MIT OR Foo-1.0") == ["MIT", "Foo-1.0", "or"] and licenses.parse("(MIT OR X) AND Y") == ["MIT", "X", "or", "Y", "and"]
     assert licenses.scan("SPDX-License-Identifier: MIT OR Apache-2.0\n")[5] == "apache,mit"
+    assert licenses.scan("// SPDX-License-Identifier: (MIT OR\n//   Apache-2.0) AND\n// BSD-3-Clause\n// more prose")[5:] == ("apache,bsd,mit", 1.0, "MIT Apache-2.0 or BSD-3-Clause and")
+    assert licenses.scan("SPDX-License-Identifier: MIT\nApache-2.0")[5] == "mit"
+    same = {"mit": ["MIT", "mit-0"], "gpl": ["GPL", "GPL-2.0-only", "GPLv3+", "gpl-3.0-or-later"], "bsd": ["BSD", "0BSD", "BSD-3-Clause"], "cc-by": ["CC-BY-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"], "cc-by-nc-nd": ["cc-by-nc-nd-3.0"], "epl": ["EPL-2.0"], "cc0": ["CC0-1.0"], "mpl": ["MPL-2.0-no-copyleft-exception"]}
+    assert all(licenses.family(i) == label for label, ids in same.items() for i in ids) and set(licenses.FREE) == set(licenses.IDENTIFIERS)
+    assert not any(map(licenses.family, ["MITRE-internal", "mitigation", "EPLUS", "MPLAB-EULA", "ISCAS", "GPL-compatible", "CC-BY-ish", "BSD-5-Clause", ""]))
     assert licenses.scan("MIT license, MIT-License cc  by")[:4] == (6, 3, 0, 4)
     assert licenses.scan("")[:4] == (0, 0, None, None) and licenses.scan("permit licensed")[1] == 0
 
