@@ -1,17 +1,19 @@
 """Source and sink queries."""
 
-import os
+import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
 from quillon.operators import structure
 from quillon.plans.registry import query
-from quillon.shipping import shared_dir
+from quillon.shipping import discard_later, shared_dir
 from quillon.sources import encoding as E
 from quillon.sources import files as S
 from quillon.sources import records
 from quillon.sources import sinks as K
+from quillon.sources.manifests import Manifest
 from quillon.sources.tables import PARAS_SQL, load, paragraphs
 
 
@@ -45,10 +47,27 @@ def metafiles(spark, sf):
 @query("k04_atomic_replace", "SELECT 'nations ' || count(*) AS line FROM nation")
 def atomic_replace(spark, sf):
     """A manifest that is replaced all at once, read back."""
-    path = os.path.join(shared_dir(spark).removeprefix("file:"), f"quillon-manifest-{uuid.uuid4().hex}")
+    m = Manifest(spark, discard_later(spark, f"{shared_dir(spark)}/quillon-manifest-{uuid.uuid4().hex}"))
     for text in ("old", f"nations {load(spark, sf, 'nation').count()}"):
-        K.write_atomically(path, text.encode())
-    return spark.read.text("file:" + path).select(F.col("value").alias("line"))
+        m.change(lambda _, text=text: text.encode())
+    return spark.createDataFrame([(m.read()[1].decode(),)], "line string")
+
+
+@query("k04_compare_and_set", "SELECT lang, count(*) AS n, CAST(8 AS BIGINT) AS version FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def compare_and_set(spark, sf):
+    """Eight writers at once, each adding the counts of its part of the documents to one manifest; who comes second tries again."""
+    m = Manifest(spark, discard_later(spark, f"{shared_dir(spark)}/quillon-manifest-{uuid.uuid4().hex}"))
+    parts = load(spark, sf, "documents").filter("lang IS NOT NULL").groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int").alias("p"), "lang").count().collect()  # a count for each part and language
+
+    def add(part: int) -> int:
+        own = {r["lang"]: r["count"] for r in parts if r["p"] == part}
+        sums = lambda old: {k: old.get(k, 0) + own.get(k, 0) for k in {*old, *own}}
+        return m.change(lambda b: json.dumps(sums(json.loads(b or b"{}")), sort_keys=True).encode())
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(add, range(8)))
+    version, content = m.read()
+    return spark.createDataFrame([(k, n, version) for k, n in json.loads(content).items()], "lang string, n long, version long")
 
 
 @query("s03_parse_xml", "SELECT n_nationkey, n_name AS name, n_regionkey AS region FROM nation")
