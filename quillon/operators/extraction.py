@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillon.shipping import ship
+from quillon.shipping import cut_lineage, ship
 
 #: Kinds of values. The patterns are ours, and use only what both regex dialects share.
 PATTERNS = {
@@ -73,17 +72,42 @@ def dedup_names(names: list[str], taken: list[str]) -> list[str]:
 
 
 def dedup_field_names(fields: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """dedup_names() for each group of rows in order; a generated name may collide with a later given one, so this is a fold."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf["unique_name"] = dedup_names(pdf[name].tolist(), [])
-        return pdf
-
-    schema = T.StructType([*fields.schema.fields, T.StructField("unique_name", T.StringType())])
+    """fields with unique_name: dedup_names() for each group of rows in order (ties: by name), without gathering a group.
+
+    The j-th row of a name takes its j-th free number (1 is the bare name). A number is not free if a given name is spelt like
+    it and comes before the row that would take it; and a bare name is not free if such a number was taken before. Names can only meet in
+    that way, so both are decided together, by windows over the rows of a name, until nothing changes. Null names stay null; null groups
+    are a group.
+    """
+    g = F.struct(F.col(group).alias("g"))
+    whole = fields.withColumns({"_g": g, "_at": F.row_number().over(Window.partitionBy(group).orderBy(order, name))})
+    whole = cut_lineage(whole, "names")
     ship(fields.sparkSession)
-    return fields.groupBy(group).applyInPandas(fold, schema)
+    rows = whole.filter(F.col(name).isNotNull()).select("_g", "_at", F.col(name).cast("string").alias("base"))
+    rows = cut_lineage(rows.withColumn("j", F.row_number().over(Window.partitionBy("_g", "base").orderBy("_at")).cast("long")), "names-ranked")
+    first = rows.filter("j = 1").select("_g", F.col("base").alias("spelt"), F.col("_at").alias("f"))
+    parts = "^(?s)(.*)_([2-9]|[1-9][0-9]{1,17})$"
+    like = first.filter(F.col("spelt").rlike(parts)).select("_g", F.regexp_extract("spelt", parts, 1).alias("base"), F.regexp_extract("spelt", parts, 2).cast("long").alias("k"), "spelt", "f")
+    met = cut_lineage(like.join(rows.select("_g", "base").distinct(), ["_g", "base"]).withColumn("taken", F.lit(True)), "names-met")
+    by = Window.partitionBy("_g", "base")
+
+    def blocked(met: DataFrame) -> DataFrame:
+        """(_g, base, k) of numbers that aren't free: those that given names took, and the bare ones of names that came too late."""
+        return met.filter("taken").select("_g", "base", "k").union(met.filter("NOT taken").select("_g", F.col("spelt").alias("base"), F.lit(1).cast("long")))
+
+    while True:
+        every = met.select("_g", "base", "k", "spelt", "f", "taken", F.col("taken").cast("long").alias("n")).unionByName(met.filter("NOT taken").select("_g", F.col("spelt").alias("base"), F.lit(1).cast("long").alias("k"), F.lit(None).cast("string").alias("spelt"), F.lit(None).cast("int").alias("f"), "taken", F.lit(1).cast("long").alias("n")))
+        below = F.coalesce(F.sum("n").over(by.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        asks = every.withColumn("j", F.col("k") - below).filter("spelt IS NOT NULL").join(rows.withColumnRenamed("_at", "q"), ["_g", "base", "j"], "left")
+        new = cut_lineage(asks.select("_g", "base", "k", "spelt", "f", (F.col("q").isNull() | (F.col("f") < F.col("q"))).alias("taken"), F.col("taken").alias("was")), "names-met")
+        met = new.drop("was")
+        if new.filter("taken <> was").isEmpty():
+            break
+    taken = blocked(met).withColumn("free", F.col("k") - F.row_number().over(by.orderBy("k")))
+    both = rows.select("_g", "base", "_at", "j", F.col("j").alias("v"), F.lit(0).alias("block")).unionByName(taken.select("_g", "base", F.lit(None).cast("int").alias("_at"), F.lit(None).cast("long").alias("j"), F.col("free").alias("v"), F.lit(1).alias("block")))
+    skipped = F.sum("block").over(by.orderBy("v", "block").rowsBetween(Window.unboundedPreceding, 0))
+    numbers = both.withColumn("k", F.col("j") + skipped).filter("block = 0").select("_g", "_at", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("k").cast("string"))).alias("unique_name"))
+    return whole.join(numbers, ["_g", "_at"], "left").select(*fields.columns, "unique_name")
 
 
 def template_schema(marks: DataFrame, by: str = "doc_id") -> DataFrame:

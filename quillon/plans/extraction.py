@@ -107,6 +107,15 @@ def unique_names(spark, sf):
     return X.dedup_field_names(n, "n_regionkey", "n_nationkey", "name").drop("name")
 
 
+@query(
+    "t26_document_names",
+    """SELECT doc_id, lang, source || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS k FROM documents)""",
+)
+def document_names(spark, sf):
+    """Sources as names that are made unique within a language: few groups, each a large part of all rows."""
+    return X.dedup_field_names(load(spark, sf, "documents").select("doc_id", "lang", "source"), "lang", "doc_id", "source").drop("source")
+
+
 @query("p10_form_radio", "SELECT o_custkey, max(o_orderkey) AS chosen, count(*) AS items FROM orders GROUP BY 1")
 def form_radio(spark, sf):
     """Radio exclusivity: the last set member of a group is the chosen one."""

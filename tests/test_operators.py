@@ -36,6 +36,27 @@ def test_extraction_finds_signals(spark):
     assert {("date", "2024-01-31"), ("amount", "$1,200.50"), ("quantity", "3 kg")} <= got
 
 
+def test_dedup_frames(spark):
+    """Names by windows are those of the fold, with names that are spelt like suffixed ones before and after them."""
+    import random
+
+    rnd = random.Random(9)
+    names = ["a", "a_2", "a_3", "a_2_2", "a_02", "a_1", "b", "_2", "", "a_2_3", "b_2", "b_12"]
+    groups = {g: [rnd.choice(names[: rnd.choice([3, 6, 12])]) for _ in range(rnd.randrange(60))] for g in range(25)}
+    groups[99] = ["x"] * 400 + ["x_300", "x_7"] + ["x"] * 200 + [f"x_{k}" for k in range(2, 700, 3)]
+    rows = [(g, i, n, "clash") for g, own in groups.items() for i, n in enumerate(own)] + [(None, 1, "a", "c"), (None, 2, "a", "c"), (0, 1000, None, "c")]
+    df = spark.createDataFrame(rows, "g long, o long, name string, j string").repartition(3)
+    got = extraction.dedup_field_names(df, "g", "o", "name")
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["g"], []).append((r["o"], r["unique_name"]))
+    assert by[None] == [(1, "a"), (2, "a_2")] or sorted(by[None]) == [(1, "a"), (2, "a_2")]
+    for g, own in groups.items():
+        assert [n for o, n in sorted(by.get(g, [])) if o < 1000] == extraction.dedup_names(own, []), (g, own)
+    assert extraction.dedup_field_names(df.limit(0), "g", "o", "name").count() == 0
+
+
 def test_dedup_names():
     assert extraction.dedup_names(["a", "a", "a_2", "a"], ["b"]) == ["a", "a_2", "a_2_2", "a_3"]
     assert extraction.dedup_names(["b"], ["b", "b_2"]) == ["b_3"]
