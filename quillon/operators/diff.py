@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.alignment import CELLS, align
@@ -33,6 +33,19 @@ def compare(before: DataFrame, after: DataFrame, strategy: str, keys: list[str],
     return got.select(keys[0], F.when(F.col("kind") == "removed", "missing").otherwise("extra").alias("diff_kind"), "l_order", "r_order", "how")
 
 
+def page_changes(before: DataFrame, after: DataFrame, by: str, order: str, token: str, page: int = 20) -> DataFrame:
+    """(by, page, kind, removed, added) for each page of page lines that differs: lines that the alignment removes count on the page
+    where they stood, those it adds on the page where they stand. kind is changed, or removed or added for pages that one side lacks."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_first(order))) - 1
+    a, b = (d.select(by, place.alias("o"), token) for d in (before, after))
+    pages = lambda d, name: d.groupBy(by).agg(F.ceil(F.count("*") / page).alias(name))
+    off = align(a, b, by, "o", token).filter("kind <> 'same'").withColumn("page", F.floor(F.coalesce("l_order", "r_order") / page).cast("int"))
+    each = off.groupBy(by, "page").agg(F.count_if(F.col("kind") == "removed").alias("removed"), F.count_if(F.col("kind") == "added").alias("added"))
+    sized = each.join(pages(a, "m"), by, "left").join(pages(b, "n"), by, "left")
+    kind = F.when(F.col("page") >= F.coalesce("n", F.lit(0)), "removed").when(F.col("page") >= F.coalesce("m", F.lit(0)), "added").otherwise("changed")
+    return sized.select(by, "page", kind.alias("kind"), "removed", "added")
+
+
 def transition(before: Column, after: Column) -> Column:
     """Verdict of a case over two runs (PASS, FAIL, ERROR; null is missing)."""
     return (
@@ -48,8 +61,6 @@ def transition(before: Column, after: Column) -> Column:
 
 def sweep(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str], examples: int = 3) -> DataFrame:
     """Divergences by field path: full counts and the first few keys as examples (a bounded heap for each, no long lists)."""
-    from pyspark.sql import Window
-
     long = lambda d: d.select(*keys, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(keys, fields, "path", "value")
     j = long(before).withColumnRenamed("value", "x").join(long(after).withColumnRenamed("value", "y"), [*keys, "path"]).filter(~F.col("x").eqNullSafe(F.col("y")))
     # by hash parts of each path first, so a frequent path isn't one task's; each part keeps its first keys

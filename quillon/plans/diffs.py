@@ -67,6 +67,21 @@ def compare_strategies(spark, sf):
     return d.groupBy("diff_kind").agg(F.count("*").alias("n")).select(F.lit("identity").alias("strategy"), "diff_kind", "n")
 
 
+@query(
+    "d02_page_changes",
+    f"""WITH {PARAS_SQL}, b AS (SELECT doc_id, o, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS i, o % 2 = 0 AS new FROM (SELECT doc_id, 2 * para + 1 AS o FROM paras WHERE para % 7 <> 3 UNION ALL SELECT doc_id, 2 * para FROM paras WHERE para % 11 = 5)),
+    x AS (SELECT doc_id, page, 1 AS r, 0 AS a FROM paras WHERE para % 7 = 3 UNION ALL SELECT doc_id, CAST(i // 20 AS INTEGER), 0, 1 FROM b WHERE new),
+    m AS (SELECT doc_id, ceil(count(*) / 20) AS m FROM paras GROUP BY 1), n AS (SELECT doc_id, ceil(count(*) / 20) AS n FROM b GROUP BY 1)
+    SELECT doc_id, page, CASE WHEN page >= coalesce(any_value(n), 0) THEN 'removed' WHEN page >= any_value(m) THEN 'added' ELSE 'changed' END AS kind, CAST(sum(r) AS BIGINT) AS removed, CAST(sum(a) AS BIGINT) AS added FROM x JOIN m USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY doc_id, page""",
+)
+def page_changes(spark, sf):
+    """Page by page, documents against versions with lines lost and new; lines carry their number, so none is like another."""
+    p = paragraphs(load(spark, sf, "documents")).select("doc_id", F.col("para").cast("long").alias("para"), F.sha2(F.concat("text", F.lit(":"), F.col("para").cast("string")), 256).alias("text"))
+    new = p.filter("para % 11 = 5").select("doc_id", (2 * F.col("para")).alias("para"), F.concat(F.lit("new "), F.col("para").cast("string")).alias("text"))
+    after = p.filter("para % 7 <> 3").select("doc_id", (2 * F.col("para") + 1).alias("para"), "text").union(new)
+    return D.page_changes(p, after, "doc_id", "para", "text")
+
+
 @query(
     "j10_alignment",
     f"""WITH {PARAS_SQL} SELECT doc_id, 'alignment' AS strategy, count(*) FILTER (para % 7 = 3) AS missing, count(*) FILTER (para % 11 = 5) AS extra FROM paras GROUP BY doc_id HAVING missing + extra > 0""",
