@@ -46,6 +46,25 @@ def int_or(text: Column, pattern: str, default: int = -1) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int"), F.lit(default))
 
 
+#: What named character references stand for.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "deg": "°", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»", "euro": "€", "sect": "§", "times": "×"}
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references, named (ENTITIES), decimal and hexadecimal, as characters, each once: '&amp;lt;' gives '&lt;'. Unknown names, and
+    numbers that are no character, stay as they stand."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def one(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);", 1)
+        code = F.when(name.rlike("^#[0-9]"), F.substr(name, F.lit(2))).when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).try_cast("int")
+        fine = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code)), 8, "0")), "UTF-32")).otherwise(F.try_element_at(names, name))
+        return F.when((i > 0) & char.isNotNull(), F.concat(char, F.substr(part, F.length(name) + 2))).when(i > 0, F.concat(F.lit("&"), part)).otherwise(part)
+
+    return F.array_join(F.transform(F.split(text, "&"), one), "")
+
+
 def entropies(texts: pd.Series) -> pd.Series:
     """Bits of each text's characters: one histogram over (text, character) for all of them. Null stays null, nothing has 0."""
     some = texts.fillna("")

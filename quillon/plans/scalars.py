@@ -117,6 +117,16 @@ def char_diff(spark, sf):
     return a.join(b, "n_regionkey").filter("ka < kb").select("a", "b", d.alias("d")).filter("d >= 0")
 
 
+@query(
+    "x17_entities",
+    "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') || ' éé😀<&lt;&unknown;&#0;&' AS decoded FROM pages",
+)
+def entities(spark, sf):
+    """Whole pages with their character references decoded, and some more at the end of each."""
+    p = load(spark, sf, "pages").select("page_id", F.concat("html", F.lit(" &#233;&#xE9;&#x1F600;&lt;&amp;lt;&unknown;&#0;&")).alias("html"))
+    return p.select("page_id", S.decode_entities(F.col("html")).alias("decoded"))
+
+
 #: DuckDB's distance counts bytes, so for it letters of two bytes become bytes that no text holds.
 _WIDE = "ñéÊÖÈÄÇÜßêíÑüèÓöçÍÉäóáúàâùûîïôëÁÚÀÂ"
 _BYTES = "".join(chr(i) for i in (*range(1, 9), *range(14, 32))) + "~`^|{}\\_<"
