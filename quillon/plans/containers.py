@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from quillon.plans.registry import query
+from quillon.shipping import cut_lineage
 from quillon.sources import containers as C
-from quillon.sources import sinks as K
-from quillon.sources.tables import PARAS_SQL, load, paragraphs
+from quillon.sources.tables import PAGE, PARAS_SQL, load
 
 
 def _contained(spark, sf):
@@ -52,14 +52,17 @@ def damaged_containers(spark, sf):
     SELECT doc_id, entry, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY entry <> 'mimetype', entry) - 1 AS INTEGER) AS place, sha256(t) AS sha, true AS same_bytes FROM e""",
 )
 def archive(spark, sf):
-    """An archive for each document, an entry for each page, written twice from rows that were dealt differently: the bytes
+    """An archive for each document, an entry for each page, written twice from rows that come in another order: the bytes
     are the same, and reading one gives the pages in a fixed order."""
-    pages = K.page_texts(paragraphs(load(spark, sf, "documents"))).select("doc_id", F.concat(F.lit("pages/"), F.lpad(F.col("page").cast("string"), 6, "0"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("data"))
-    kinds = pages.select("doc_id").distinct().select("doc_id", F.lit(C.TYPE_ENTRY).alias("name"), F.lit(b"application/x-quillon").alias("data"))
-    parts = pages.union(kinds)
-    made = C.archives(parts, "doc_id", "name", "data")
-    again = C.archives(parts.repartition(7, "name"), "doc_id", "name", "data").select("doc_id", F.sha2("archive", 256).alias("other"))
-    both = made.join(again, "doc_id").select(F.struct("doc_id", (F.sha2("archive", 256) == F.col("other")).alias("same_bytes")).alias("k"), "archive")
-    read = C.entries(both, "k", "archive").select("k.doc_id", "k.same_bytes", "entry", F.sha2("content", 256).alias("sha"))
+    lines = F.split("text", "\n")
+    text = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / PAGE).cast("int")), lambda p: F.array_join(F.slice(lines, p * PAGE + 1, PAGE), "\n"))
+    docs = load(spark, sf, "documents").filter("text IS NOT NULL")
+    pages = docs.select("doc_id", F.posexplode(text).alias("page", "t")).select("doc_id", F.concat(F.lit("pages/"), F.lpad(F.col("page").cast("string"), 6, "0"), F.lit(".txt")).alias("name"), F.encode("t", "UTF-8").alias("data"))
+    kinds = docs.select("doc_id", F.lit(C.TYPE_ENTRY).alias("name"), F.lit(b"application/x-quillon").alias("data"))
+    digest = lambda made: made.select("doc_id", F.sha2("archive", 256).alias("sha"))
+    made = cut_lineage(C.archives(pages.union(kinds), "doc_id", "name", "data"), "archives")
+    again = cut_lineage(digest(C.archives(kinds.union(pages), "doc_id", "name", "data")), "digests")
+    same = digest(made).join(again.withColumnRenamed("sha", "other"), "doc_id").select("doc_id", (F.col("sha") == F.col("other")).alias("same_bytes"))
+    read = C.entries(made, "doc_id", "archive").select("doc_id", "entry", F.sha2("content", 256).alias("sha")).join(same, "doc_id")
     place = F.when(F.col("entry") == C.TYPE_ENTRY, 0).otherwise(F.regexp_extract("entry", "([0-9]+)", 1).cast("int") + 1)
     return read.select("doc_id", "entry", place.cast("int").alias("place"), "sha", "same_bytes")
