@@ -170,7 +170,9 @@ def _whole(rows: DataFrame, by: str, kind: str, token: str) -> DataFrame:
 
     order = ["k", "side", F.asc_nulls_first("o")]
     token_kind = rows.schema["t"].dataType.simpleString()
-    return rows.repartition("k").sortWithinPartitions(*order).mapInArrow(run, f"`{by}` {kind}, kind string, l_order long, r_order long, `{token}` {token_kind}, how string")
+    # by a digest of the key: where both sides of a union come shuffled by the key itself, Spark drops a repartition by it,
+    # and adaptive execution then coalesces the sides apart
+    return rows.repartition(F.xxhash64("k")).sortWithinPartitions(*order).mapInArrow(run, f"`{by}` {kind}, kind string, l_order long, r_order long, `{token}` {token_kind}, how string")
 
 
 def align(left: DataFrame, right: DataFrame, by: str, order: str, token: str, cells: int = CELLS, fit: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
