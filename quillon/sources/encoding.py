@@ -33,7 +33,9 @@ def oversize(length: Column, most: int = MOST_BYTES) -> Column:
 
 def has_root(content: Column, name: str) -> Column:
     """Whether the first bytes hold this root element."""
-    return F.coalesce(decoded(F.substring(content, 1, PROBE)), F.lit("")).rlike(rf"^\s*(<\?xml[^>]*>\s*)?(<!--.*?-->\s*)*<{name}[\s>/]")
+    # where the probe ends within a character, its first bytes are left out
+    cut = [F.when(F.length(content) > PROBE, decoded(F.substring(content, 1, PROBE - n))) for n in (1, 2, 3)]
+    return F.coalesce(decoded(F.substring(content, 1, PROBE)), *cut, F.lit("")).rlike(rf"^\s*(<\?xml[^>]*>\s*)?(<!--.*?-->\s*)*<{name}[\s>/]")
 
 
 def legacy_text(raw: bytes) -> str:
