@@ -15,11 +15,12 @@ def corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def listing(files: DataFrame, root: str, path: str = "path") -> DataFrame:
-    """docid (five digits) by the case-folded relative path, and the path. Listings are names only, far
+    """docid (five digits, more from 100,000 on) by the case-folded relative path, and the path. Listings are names only, far
     smaller than the corpus; still they are numbered by range partitions, not in one task."""
     rel = F.substring_index(F.col(path), root.rstrip("/") + "/", -1)
     rows = files.select(rel.alias("rel"), F.lower(rel).alias("_k"))
-    return numbered(rows, ["_k", "rel"], "n").select(F.lpad(F.col("n").cast("string"), 5, "0").alias("docid"), "rel")
+    n = F.col("n").cast("string")
+    return numbered(rows, ["_k", "rel"], "n").select(F.lpad(n, F.greatest(F.length(n), F.lit(5)), F.lit("0")).alias("docid"), "rel")
 
 
 def strict(text: Column, fields: tuple[str, ...]) -> Column:
