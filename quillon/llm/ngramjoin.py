@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import textkernel as K
 from quillon.llm.graph import components
-from quillon.llm.runtime import discard, materialize, planned_bytes, salted, session, steps, table, text_parts, turn_to
+from quillon.llm.runtime import discard, materialize, planned_bytes, release, salted, session, steps, table, text_parts, turn_to
 
 #: An n-gram that stands in FREQUENT texts or more is frequent; the KEPT most frequent are told to all
 #: executors (8 MB), by the upper bits of their hash. Any choice gives the same links: it only moves
@@ -34,9 +34,10 @@ FREQUENT, KEPT = 10, 1 << 20
 #: that what comes together in a range doesn't grow; and n-grams that a task holds at a time.
 BUCKETS, BUCKET_BYTES, HELD = 1024, 64 << 20, 2_000_000
 #: Bits of the filters by which executors pick n-grams that stand in more prefixes than one, and
-#: texts that have candidates: 2 MB at least and 64 MB at most, by the size of the input. Beyond it more passes than
-#: need to.
-FILTER_BITS = (24, 29)
+#: texts that have candidates: 2 MB at least and 32 MB at most, by the size of the input. Beyond it more passes than
+#: need to. Words of a block, in which they come to the driver.
+FILTER_BITS = (24, 28)
+BLOCK_WORDS = 1 << 12
 #: Texts whose copies a task recognises before it shuffles them.
 SEEN = 1 << 18
 #: Members of one n-gram that are compared by one task.
@@ -80,14 +81,15 @@ def _upper(s: np.ndarray, width: int) -> np.ndarray:
 
 
 def _packed(keys: np.ndarray, width: int) -> bytes:
-    """The lower bytes of keys."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Sorted keys by their steps, all lowest bytes first: steps are small, so the upper bytes are zeros, which compress."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _unpacked(raw: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _count_texts(k: int, ranges: int, width: int):
@@ -132,7 +134,7 @@ def _frequent(width: int):
 
     def run(group: pa.Table) -> pa.Table:
         turn_to("ngramjoin")
-        keys, n = _summed(_unpacked(b"".join(group["keys"].to_pylist()), width), np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8))
+        keys, n = _summed(np.concatenate([_unpacked(raw, width) for raw in group["keys"].to_pylist()]), np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8))
         hot = n >= FREQUENT
         return pa.table({"g": pa.array(keys[hot].astype(np.int64)), "n": pa.array(n[hot].astype(np.int64))})
 
@@ -202,13 +204,29 @@ def _sig_columns(sig, bits: int):
     return tuple(F.conv(F.hex(F.substring(sig, at, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1) for at in (1, 5))
 
 
-def _filter_of(keys: DataFrame, places, bits: int) -> np.ndarray:
-    """The filter of the keys with these two places: words are or-ed in a groupBy, and come to the
-    driver as at most 2 ** bits / 64 rows."""
+def _block(group: pa.Table) -> pa.Table:
+    """One block of a filter as bytes."""
+    out = np.zeros(BLOCK_WORDS, np.uint64)
+    out[group["w"].to_numpy() & (BLOCK_WORDS - 1)] = group["bits"].to_numpy().view(np.uint64)
+    return pa.table({"block": group["block"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+
+def _filter_blocks(keys: DataFrame, places, bits: int) -> DataFrame:
+    """(block, bits): the filter of the keys with these two places, in blocks of BLOCK_WORDS words; one shuffle."""
     at = keys.select(F.explode(F.array(*places)).alias("p"))
-    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
+    at = at.select("p", F.shiftright("p", 6 + BLOCK_WORDS.bit_length() - 1).alias("block")).repartition("block")
+    words = at.groupBy("block", F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
+    return words.groupBy("block").applyInArrow(_block, "block long, bits binary")
+
+
+def _filter_of(keys: DataFrame, places, bits: int) -> np.ndarray:
+    """The filter of the keys with these two places. Its words are put together on the executors, so that what comes to
+    the driver is no more than the filter itself."""
     out = np.zeros(1 << bits >> 6, np.uint64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    for batch in _filter_blocks(keys, places, bits).toArrow().to_batches():
+        for block, raw in zip(batch["block"].to_pylist(), batch["bits"], strict=True):
+            out[block * BLOCK_WORDS : (block + 1) * BLOCK_WORDS] = np.frombuffer(raw.as_buffer(), np.uint64)
+    release(keys.sparkSession)
     return out
 
 
@@ -313,6 +331,7 @@ def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, k: int, p
     total = part.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     out = materialize(total.filter(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b"), "ngram-links")
     discard(once)
+    known.destroy()
     return out
 
 
@@ -337,6 +356,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(rows.mapInArrow(_prefixes(k, percent, shared, width), f"doc_id {kind}, sig binary, n long, cold long, prefix array<long>, cuts array<int>"), "ngram-rows")
+    shared.destroy()
 
     # an n-gram of one prefix links nothing: only those of several are shuffled with their texts
     several = rows.select(F.explode("prefix").alias("g")).groupBy("g").count().filter("count > 1").select("g")
@@ -347,6 +367,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     each = Window.partitionBy("g")
     posts = posts.repartition("g").distinct().withColumn("many", F.count("*").over(each)).withColumn("y", F.min(F.struct("cold", "sig", "n", "pos")).over(each))
     met = materialize(posts.filter("many > 1").select("g", "many", F.struct("sig", "n", "pos").alias("x"), "y"), "ngram-met")
+    shared.destroy()
     star = met.filter(F.col("x.sig") != F.col("y.sig")).filter(_fits(percent))
     pairs = star.select(*_pair()).distinct()
     bounds = rows.filter("n > 0").select("sig", "cuts")

@@ -226,3 +226,30 @@ def test_main_text():
     for odd in ("", "<", "<p", "<nav>only", "<article></article>", "<script>x", "<!-- x", "<!-->", "<a href='", "<p class=\"a"):
         assert "\n\n" not in htmlmain.extract(odd, w)
     assert htmlmain.extract("<p>a<!-- c -->b</p>", w) == "ab" and htmlmain.extract("<p>x &amp y &#65;&nbsp;z</p>", w) == "x & y A z"
+
+
+def test_ngram_filter_comes_in_blocks(spark):
+    """What the driver takes is the filter's own bytes, and its words are those of a filter made plainly."""
+    from pyspark.sql import functions as F
+
+    from quillon.llm import ngramjoin as N
+
+    bits = 24
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("g"))
+    g = np.array([r[0] for r in keys.collect()], np.int64)
+    want = np.zeros(1 << bits >> 6, np.uint64)
+    for p in N._gram_places(g, bits):
+        np.bitwise_or.at(want, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
+    places = N._gram_columns(F.col("g"), bits)
+    assert (N._filter_of(keys, places, bits) == want).all()
+    blocks = N._filter_blocks(keys, places, bits).toArrow()
+    assert blocks.num_rows == (1 << bits >> 6) // N.BLOCK_WORDS and max(map(len, blocks["bits"].to_pylist())) == 8 * N.BLOCK_WORDS
+
+
+def test_ngram_keys_packed():
+    from quillon.llm import ngramjoin as N
+
+    for width in (4, 5, 6):
+        keys = np.unique(np.random.default_rng(width).integers(0, 1 << (8 * width), 5000, np.uint64))
+        assert (N._unpacked(N._packed(keys, width), width) == keys).all()
+    assert len(N._unpacked(b"", 4)) == 0
