@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.shipping import ship
+from quillon.shipping import bounded
 
 #: Marker patterns by level: chapter, section, article, paragraph number, item letter or digit.
 ARTICLE, NUMBER, LETTER = r"^제([0-9]+)조(의[0-9]+)?", r"^([0-9]+)[.)] ", r"^([a-z])[.)] "
@@ -82,7 +82,7 @@ def clauses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             para, level, parent, what = zip(*out) if out else ([],) * 4
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(para, pa.int32()), pa.array(level, pa.int32()), pa.array(parent, pa.int32()), pa.array(what, pa.string())], [id_col, "para", "level", "parent", "kind"])
 
-    ship(docs.sparkSession)
+    bounded(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, para int, level int, parent int, kind string")
 
 
