@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from quillon.plans.registry import query
-from quillon.shipping import cut_lineage
 from quillon.sources import nodes as N
 from quillon.sources import sinks as K
 from quillon.sources.tables import load
@@ -12,21 +11,16 @@ from quillon.sources.tables import load
 HOLDERS = ["section", "heading", "paragraph", "item", "cell", "box", "note"]
 
 
-def parsed(pages):
-    """The nodes as a written table: joins of nodes with nodes read it, so pages are parsed once."""
-    return cut_lineage(N.nodes(pages), "nodes")
-
-
 @query("s03_node_table")
 def node_table(spark, sf):
     """All nodes of all pages. No SQL: it needs a parser with implied ends; the tests compare with trees that are known."""
-    return N.nodes(load(spark, sf, "pages")).drop("tag")
+    return N.nodes(load(spark, sf, "pages")).drop("tag", "grid")
 
 
 @query("t01_addressed_search")
 def addressed_search(spark, sf):
     """Every 'the' of all pages with its address; the search reads the page's text nodes, menus and notes included."""
-    return N.search(parsed(load(spark, sf, "pages")), "the", HOLDERS).drop("pre")
+    return N.search(N.nodes(load(spark, sf, "pages")), "the", HOLDERS).drop("pre")
 
 
 def nested_tables(spark, sf):
@@ -50,7 +44,7 @@ def nested_tables(spark, sf):
 )
 def nested_cells(spark, sf):
     """Returned lines, found in cells of tables in cells, with the whole path."""
-    tree = parsed(nested_tables(spark, sf))
+    tree = N.nodes(nested_tables(spark, sf))
     return N.search(tree, "R", ["cell", "box"]).filter("up_kind = 'cell'").select("page_id", "up_path", "up_row", "up_col", "n_up", "char")
 
 
@@ -62,17 +56,16 @@ def nested_cells(spark, sf):
 )
 def nested_grid(spark, sf):
     """First cells of inner tables, each with the row of the outer table that it stands in."""
-    tree = parsed(nested_tables(spark, sf))
-    text = tree.filter("kind = 'text'").select("page_id", "pre", "text")
-    up = N.ancestors(tree, text, ["cell"])
-    own = up.groupBy("page_id", "pre", "text").agg(F.max(F.struct("up_depth", "up_row", "up_col")).alias("i"), F.min(F.struct("up_depth", "up_row")).alias("o"), F.count("*").alias("n"))
-    return own.filter("n = 2 AND i.up_col = 0").select("page_id", F.col("o.up_row").alias("outer_row"), F.col("i.up_row").alias("inner_row"), "text")
+    tree = N.nodes(nested_tables(spark, sf))
+    cells = tree.filter("kind = 'text'").select("page_id", "text", N.above(F.col("path"), lambda k: k == "cell").alias("up")).filter(F.size("up") == 2)
+    (outer, _), (inner, col) = (N.cell_place(F.get("up", F.lit(i))["part"]) for i in (0, 1))
+    return cells.filter(col == 0).select("page_id", outer.alias("outer_row"), inner.alias("inner_row"), "text")
 
 
 @query("k16_page_html")
 def page_html(spark, sf):
     """All pages written again from their nodes. No SQL: the tests read what is written and get the same nodes."""
-    return K.nested_html(parsed(load(spark, sf, "pages")))
+    return K.nested_html(N.nodes(load(spark, sf, "pages")))
 
 
 @query(
@@ -83,4 +76,4 @@ def page_html(spark, sf):
 )
 def nested_html(spark, sf):
     """Tables in tables from their nodes: the markup they were read from, with the ends that it had left out."""
-    return K.nested_html(parsed(nested_tables(spark, sf)))
+    return K.nested_html(N.nodes(nested_tables(spark, sf)))

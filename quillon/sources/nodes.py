@@ -12,7 +12,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.joins import contained
@@ -36,7 +36,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
 #: Width of an ordinal in a path, and nodes of one Arrow batch.
 DIGITS, BATCH = 7, 50_000
 BLOCKS = {"section", "heading", "paragraph", "list", "table", "box", "note"}
-SCHEMA = "pre int, post int, depth int, parent int, kind string, tag string, path string, row int, col int, text string"
+SCHEMA = "pre int, post int, depth int, parent int, kind string, tag string, path string, row int, col int, text string, grid boolean"
 
 
 class Tree(HTMLParser):
@@ -47,7 +47,7 @@ class Tree(HTMLParser):
         self.rows: list[tuple] = []
         self.pre = self.post = 0
         self.hidden = 0
-        # each: tag, pre or None if it's passed through, path, children so far, kind, (row, col), [row, col] of a table
+        # each: tag, pre or None if it's passed through, path, children so far, kind, (row, col), [row, col] of a table, whether it has cells
         self.open: list[list] = []
         self.tops = 0
         self.text: list[str] = []
@@ -71,17 +71,17 @@ class Tree(HTMLParser):
         self.text = []
         if t:
             path, parent = self._place()
-            self.rows.append((self.pre, self.post, self._depth(), parent, "text", None, path + ":text", None, None, t))
+            self.rows.append((self.pre, self.post, self._depth(), parent, "text", None, path + ":text", None, None, t, False))
             self.pre += 1
             self.post += 1
 
     def _close(self) -> None:
         if self.open[-1][1] is not None:
             self._flush()
-        tag, pre, path, _, kind, at, _ = self.open.pop()
+        tag, pre, path, _, kind, at, _, grid = self.open.pop()
         if pre is not None:
             up = self._holder()
-            self.rows.append((pre, self.post, self._depth(), up[1] if up else None, kind, tag, path, *(at or (None, None)), None))
+            self.rows.append((pre, self.post, self._depth(), up[1] if up else None, kind, tag, path, *(at or (None, None)), None, grid))
             self.post += 1
 
     def _end_until(self, tags: set, stop: set) -> None:
@@ -120,12 +120,15 @@ class Tree(HTMLParser):
             grid[1] += 1
             at = tuple(grid)
         if kind is None:
-            self.open.append([tag, None, None, 0, None, None, None])
+            self.open.append([tag, None, None, 0, None, None, None, False])
             return
         self._flush()
         path, _ = self._place()
+        up = self._holder()
+        if up is not None and kind == "cell":
+            up[7] = True
         where = f"{kind}({at[0]},{at[1]})" if at else kind
-        self.open.append([tag, self.pre, f"{path}:{where}", 0, kind, at, [-1, -1] if kind == "table" else None])
+        self.open.append([tag, self.pre, f"{path}:{where}", 0, kind, at, [-1, -1] if kind == "table" else None, False])
         self.pre += 1
 
     def handle_endtag(self, tag):
@@ -149,14 +152,15 @@ class Tree(HTMLParser):
 
 
 def nodes(pages: DataFrame, id_col: str = "page_id", markup: str = "html") -> DataFrame:
-    """id_col, pre, post, depth, parent (its pre), kind, tag, path, row, col, text for each node of each page, parsed whole.
+    """id_col, pre, post, depth, parent (its pre), kind, tag, path, row, col, text, grid (whether it has cells of its own) for each
+    node of each page, parsed whole.
 
     text stands in nodes of kind text alone, with white space as one space; row and col in cells. End tags that may be left out are
     understood; elements still open close at the end. Null and empty pages have no nodes; repeated ids give the nodes of each.
     """
     ship(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
-    types = [pa.int32()] * 4 + [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string()]
+    types = [pa.int32()] * 4 + [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string(), pa.bool_()]
     names = [id_col, *(c.split()[0] for c in SCHEMA.split(", "))]
 
     def run(batches):
@@ -191,12 +195,28 @@ def ancestors(tree: DataFrame, of: DataFrame, kinds: list[str], id_col: str = "p
     return contained(of, spans, [id_col], "pre", "up_lo", "up_hi", width).drop("up_lo", "up_hi")
 
 
-def nearest(tree: DataFrame, of: DataFrame, kinds: list[str], id_col: str = "page_id") -> DataFrame:
-    """Each node of `of` with its innermost ancestor of these kinds (nulls if none), and how many it has."""
-    cols = ["kind", "depth", "path", "row", "col"]
-    best = ancestors(tree, of.select(id_col, "pre").distinct(), kinds, id_col).groupBy(id_col, "pre").agg(F.count("*").alias("n_up"), F.max(F.struct(F.col("up_depth"), *[F.col(f"up_{c}").alias(f"u_{c}") for c in cols])).alias("u"))
-    joined = of.join(best, [id_col, "pre"], "left")
-    return joined.select(*of.columns, F.coalesce("n_up", F.lit(0).cast("long")).alias("n_up"), *[F.col(f"u.u_{c}").alias(f"up_{c}") for c in cols])
+def above(path: Column, kind) -> Column:
+    """The ancestors whose kind fits, outermost first, from a node's path alone: (depth, part), part as it stands in the path."""
+    parts = F.split(path, "/")
+    up = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda part, i: F.struct(i.alias("depth"), part.alias("part")))
+    return F.filter(up, lambda x: kind(F.substring_index(F.substring_index(x["part"], ":", -1), "(", 1)))
+
+
+def cell_place(part: Column) -> tuple[Column, Column]:
+    """Row and column of a cell from its part of a path; null for others."""
+    return tuple(F.regexp_extract(part, r"\((\d+),(\d+)\)", n).try_cast("int") for n in (1, 2))
+
+
+def nearest(of: DataFrame, kinds: list[str]) -> DataFrame:
+    """Each node of `of` with its innermost ancestor of these kinds (nulls if none), and how many it has. A path names
+    all ancestors, so nothing is joined."""
+    got = of.withColumn("_up", above(F.col("path"), lambda k: k.isin(kinds)))
+    got = got.withColumn("_n", F.size("_up").cast("long")).withColumn("_up", F.get("_up", F.size("_up") - 1))
+    part = F.col("_up.part")
+    row, col = cell_place(part)
+    kind = F.substring_index(F.substring_index(part, ":", -1), "(", 1)
+    path = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("_up.depth") + 1), "/")
+    return got.select(*of.columns, F.col("_n").alias("n_up"), kind.alias("up_kind"), F.col("_up.depth").alias("up_depth"), path.alias("up_path"), row.alias("up_row"), col.alias("up_col"))
 
 
 def search(tree: DataFrame, word: str, kinds: list[str], id_col: str = "page_id") -> DataFrame:
@@ -208,4 +228,4 @@ def search(tree: DataFrame, word: str, kinds: list[str], id_col: str = "page_id"
     ends = hit.select(id_col, "pre", "path", F.posexplode(parts).alias("k", "part"), F.size(parts).alias("n")).withColumn("w", F.length("part"))
     before = F.sum("w").over(Window.partitionBy(id_col, "pre", "path").orderBy("k"))
     at = ends.withColumn("char", (before + F.col("k") * len(word)).cast("int")).filter("k < n - 1").select(id_col, "pre", "path", "char")
-    return nearest(tree, at, kinds, id_col)
+    return nearest(at, kinds)

@@ -100,22 +100,17 @@ def nested_html(tree: DataFrame, id_col: str = "page_id", cap: int = NESTED, hel
     """(id_col, html) from the node table: every node's start and end as pieces in the order of the page, put together in one
     sort, with no walk. In place of a table inside cap others, and of a node of another kind, stands a comment that says what is
     left out; what is inside them is left out with them. A page is a value, so it fits a row; pages without nodes have none."""
-    from quillon.sources.nodes import ancestors
+    from quillon.sources.nodes import above
 
     end = F.col("post") + F.col("depth")
-    tables = ancestors(tree, tree.select(id_col, "pre"), ["table"], id_col).groupBy(id_col, "pre").agg(F.count("*").alias("n"))
-    other = tree.filter(~F.col("kind").isin(*held)).select("kind").distinct()
-    known = tree.join(tables, [id_col, "pre"], "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") <= cap)
-    kinds = sorted(r[0] for r in other.collect())  # a handful: kinds are fixed values
-    if kinds:
-        known = known.join(ancestors(tree, tree.select(id_col, "pre"), kinds, id_col).select(id_col, "pre").distinct(), [id_col, "pre"], "left_anti")
+    path = F.col("path")
+    known = tree.withColumn("n", F.size(above(path, lambda k: k == "table"))).filter((F.col("n") <= cap) & (F.size(above(path, lambda k: ~k.isin(*held))) == 0))
     out = F.when(~F.col("kind").isin(*held), F.col("kind")).when((F.col("kind") == "table") & (F.col("n") == cap), F.lit(f"table nested deeper than {cap}"))
     # a row of cells begins with its first one, and ends before the next row or with its table
-    rows = known.filter("kind = 'cell'").select(id_col, F.col("parent").alias("pre")).distinct().withColumn("grid", F.lit(True))
-    told = known.join(rows, [id_col, "pre"], "left").withColumn("out", out)
+    told = known.withColumn("out", out)
     first = F.when((F.col("kind") == "cell") & (F.col("col") == 0), F.when(F.col("row") > 0, "</tr><tr>").otherwise("<tr>")).otherwise("")
     start = F.when(F.col("out").isNotNull(), F.concat(F.lit("<!-- "), F.col("out"), F.lit(" -->"))).when(F.col("kind") == "text", xml_text(F.col("text"))).otherwise(F.concat(first, F.lit("<"), F.col("tag"), F.lit(">")))
     close = F.when(F.col("out").isNotNull() | (F.col("kind") == "text"), "").otherwise(F.concat(F.when(F.col("grid"), "</tr>").otherwise(""), F.lit("</"), F.col("tag"), F.lit(">")))
     piece = lambda at, k, turn, text: F.struct(at.alias("at"), F.lit(k).alias("k"), turn.alias("turn"), text.alias("text"))
-    pieces = told.select(id_col, F.explode(F.array(piece(F.col("pre"), 0, F.lit(0), start), piece(end, 1, -F.col("pre"), close))).alias("p"))
+    pieces = told.select(id_col, F.explode(F.array(piece(F.col("pre"), 0, F.lit(0), start), piece(end, 1, -F.col("pre"), close))).alias("p")).filter("p.text <> '' OR p.k = 0")
     return pieces.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["text"]), "").alias("html"))

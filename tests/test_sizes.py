@@ -36,3 +36,37 @@ def test_listing_beyond_five_digits(spark):
     names = spark.range(100_002).select(F.format_string("r/%07d", "id").alias("path"))
     got = files.listing(names, "r").filter("rel IN ('0000007', '0099999', '0100000', '0100001')")
     assert {(r["docid"], r["rel"]) for r in got.collect()} == {("00007", "0000007"), ("99999", "0099999"), ("100000", "0100000"), ("100001", "0100001")}
+
+
+def test_estimate_keeps_one_sketch_a_group(spark):
+    """No sketch is kept for each value: the plan has no aggregate that groups by the part and estimates."""
+    from conftest import SF
+
+    from quillon.plans.registry import QUERIES
+
+    plan = QUERIES["rel_distinct_estimate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.splitlines() if "Aggregate(keys=[l_returnflag" in line and "l_partkey" in line.split("functions=")[0]]
+    assert keyed and not any("approx_count_distinct" in line for line in keyed)
+
+
+def test_whole_texts_come_in_small_batches(spark):
+    """Clauses and containers take few texts at a time, however many rows a task has."""
+    from quillon.operators import structure
+    from quillon.sources import containers
+
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    for made in (lambda: structure.clauses(docs), lambda: containers.packed(docs, "doc_id", "text", "true"), lambda: containers.entries(docs.select("doc_id", F.encode("text", "UTF-8").alias("b")), "doc_id", "b")):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        made()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+
+
+def test_trees_are_read_without_joins(spark):
+    """Ancestors come from paths: nothing is joined with the nodes, and a page is parsed once."""
+    from conftest import SF
+
+    from quillon.plans.registry import QUERIES
+
+    for name in ("t01_nested_cells", "t19_nested_grid", "k16_nested_html"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1, name  # the join puts lines to orders
