@@ -57,9 +57,10 @@ def nested_cells(spark, sf):
 def nested_grid(spark, sf):
     """First cells of inner tables, each with the row of the outer table that it stands in."""
     tree = N.nodes(nested_tables(spark, sf))
-    cells = tree.filter("kind = 'text'").select("page_id", "text", N.above(F.col("path"), lambda k: k == "cell").alias("up")).filter(F.size("up") == 2)
-    (outer, _), (inner, col) = (N.cell_place(F.get("up", F.lit(i))["part"]) for i in (0, 1))
-    return cells.filter(col == 0).select("page_id", outer.alias("outer_row"), inner.alias("inner_row"), "text")
+    rows, cols = (F.regexp_extract_all("path", F.lit(r":cell\((\d+),(\d+)\)"), F.lit(n)) for n in (1, 2))
+    cells = tree.filter("kind = 'text'").filter((F.size(cols) == 2) & (F.get(cols, F.lit(1)) == "0"))
+    outer, inner = (F.get(rows, F.lit(i)).cast("int") for i in (0, 1))
+    return cells.select("page_id", outer.alias("outer_row"), inner.alias("inner_row"), "text")
 
 
 @query("k16_page_html")
