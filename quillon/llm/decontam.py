@@ -37,6 +37,8 @@ REACH = 0.6
 #: Bytes of benchmark text that are told to the executors at once; a larger benchmark takes more passes.
 BLOCK_BYTES = 4 << 20
 _SEED_BITS = 22
+#: Bytes of embeddings that stand in memory at once, of a text and stretches that one step works on, and bits of the sums that anchors are first counted in.
+WALKED, SLICE, STRETCHES, _COUNT_BITS = 4 << 20, 1 << 16, 1 << 18, 18
 
 
 def squeeze(text: str | None) -> str:
@@ -44,45 +46,47 @@ def squeeze(text: str | None) -> str:
     return b" ".join(bytes(K.LOWER[np.frombuffer((text or "").encode(), np.uint8)]).split()).decode()
 
 
-@functools.lru_cache(maxsize=64)
+@functools.lru_cache(maxsize=8)
 def _random(steps_: int) -> np.ndarray:
-    """Fixed pseudo-random bits by walk, step and byte."""
+    """Fixed pseudo-random bits by step, walk and byte; more steps go on from fewer."""
     with np.errstate(over="ignore"):
-        x = np.arange(WALKS, dtype=np.uint64)[:, None, None] * np.uint64(1 << 40) + np.arange(steps_, dtype=np.uint64)[None, :, None] * np.uint64(1 << 8) + np.arange(256, dtype=np.uint64)
+        x = np.arange(WALKS, dtype=np.uint64)[None, :, None] * np.uint64(1 << 40) + np.arange(steps_, dtype=np.uint64)[:, None, None] * np.uint64(1 << 8) + np.arange(256, dtype=np.uint64)
         return (K.mix(x + np.uint64(K.MULT)) >> np.uint64(17)).astype(np.uint8) & 1
 
 
 def embed(strings: np.ndarray, lengths: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
-    """Bucket keys (rows x WALKS * KEYS) of byte strings in rows, padded with zeros."""
-    n, width = strings.shape
+    """Bucket keys (rows x WALKS * KEYS) of byte strings in rows, padded with zeros: a key is the bytes at its places, which
+    says as much as a hash of them. Rows of a length should stand together."""
+    n, width = len(strings), max(strings.shape[1], int(lengths.max(initial=0)))
     steps_ = int(3 * width * REACH) + 1
-    padded = np.concatenate([strings, np.zeros((n, 1), np.uint8)], axis=1)
-    out = np.zeros((n, WALKS * KEYS), np.uint64)
-    row = np.arange(n)
-    bits = _random(steps_)
-    with np.errstate(over="ignore"):
-        for w in range(WALKS):
-            wanted = places[w]  # KEYS x PLACES, as shares of the embedding
-            at = np.zeros(n, np.int64)
+    bits = _random(-(-steps_ // 256) * 256).reshape(-1, WALKS * 256)
+    padded = np.zeros((n, width + 1), np.uint8)
+    padded[:, : strings.shape[1]] = strings
+    wanted = np.stack(places).reshape(WALKS, -1)  # as shares of the embedding
+    walk = np.arange(WALKS)[:, None]
+    out = np.zeros((n, WALKS * KEYS), np.uint32)
+    many = max(1, WALKED // (steps_ * WALKS))
+    for a in range(0, n, many):
+        part, size = padded[a : a + many].ravel(), lengths[a : a + many]
+        m = len(size)
+        at = np.tile(np.arange(m) * (width + 1), WALKS)
+        end = at + np.tile(size, WALKS)
+        own = np.repeat(np.arange(WALKS) * 256, m)
+        seen = np.empty((steps_, WALKS * m), np.uint8)
+        for j in range(steps_):
+            c = part.take(at)
+            seen[j] = c
+            at += bits[j].take(own + c)
+            np.minimum(at, end, out=at)
+        seen = seen.reshape(steps_, WALKS, m)
+        cut = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True])))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
             # each string's own embedding is three times its length, so shares meet for strings of near lengths
-            where = (wanted[None, :, :] * (3 * lengths[:, None, None])).astype(np.int64).reshape(n, -1)
-            picked = np.zeros(where.shape, np.uint8)
-            slots = where.shape[1]
-            # all picks by the step that makes them; 16 bits sort by radix
-            order = np.argsort(where.astype(np.uint16) if steps_ < 1 << 16 else where, axis=None, kind="stable")
-            cut = np.searchsorted(where.ravel()[order], np.arange(steps_ + 1))
-            flat = picked.ravel()
-            for j in range(steps_):
-                c = padded[row, at]
-                if cut[j] < cut[j + 1]:
-                    due = order[cut[j] : cut[j + 1]]
-                    flat[due] = c[due // slots]
-                at += (bits[w, j][c] == 1) & (at < lengths)
-            got = picked.reshape(n, KEYS, PLACES).astype(np.uint64)
-            key = np.zeros((n, KEYS), np.uint64)
+            got = seen[(wanted * (3 * int(size[lo]))).astype(np.int64), walk, lo:hi].reshape(WALKS * KEYS, PLACES, hi - lo)
+            key = np.zeros((WALKS * KEYS, hi - lo), np.uint32)
             for p in range(PLACES):
-                key = key * np.uint64(257) + got[:, :, p]
-            out[:, w * KEYS : (w + 1) * KEYS] = K.mix(key + np.arange(KEYS, dtype=np.uint64) * np.uint64(0x1000003D))
+                key = key << np.uint32(8) | got[:, p]
+            out[a + lo : a + hi] = key.T
     return out
 
 
@@ -179,18 +183,45 @@ class Items:
         self.least = np.clip((self.lengths - GRAM + 1) // EVERY, np.where(self.lengths < SHORT, 1, 2), MOST)
 
 
-    def profile(self, i: int) -> np.ndarray:
+    def profile(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """By the code of three bytes in a row the place (from 1) of what the item has, and how often it has that."""
         if i not in self.profiles:
             if len(self.profiles) >= 1024:
                 self.profiles.clear()
-            self.profiles[i] = _profile(np.frombuffer(self.bytes[i], np.uint8))
+            have, many = np.unique(_codes(np.frombuffer(self.bytes[i], np.uint8)), return_counts=True)
+            slots = np.zeros(4096, np.int32)
+            slots[have] = np.arange(1, len(have) + 1)
+            self.profiles[i] = slots, many
         return self.profiles[i]
 
 
-def _profile(buf: np.ndarray) -> np.ndarray:
-    """Runs of three bytes by hash; what two share counts as many or more here."""
-    x = buf.astype(np.int64)
-    return np.bincount((x[:-2] * 961 + x[1:-1] * 31 + x[2:]) & 4095, minlength=4096)
+def _codes(buf: np.ndarray) -> np.ndarray:
+    """Each three bytes in a row, by hash."""
+    x = buf.astype(np.int32)
+    return (x[:-2] * 961 + x[1:-1] * 31 + x[2:]) & 4095
+
+
+def _shared(codes: np.ndarray, begin: np.ndarray, stop: np.ndarray, own: np.ndarray, items: Items) -> np.ndarray:
+    """How many runs of three bytes (or more: they are counted by hash) each stretch has of its item's."""
+    out = np.zeros(len(own), np.int64)
+    size = np.maximum(stop - begin - 2, 0)
+    order = np.argsort(own, kind="stable")
+    step = (np.cumsum(size[order]) // STRETCHES) * len(order) + np.arange(len(order)) // 256
+    cut = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1], [True])))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        rows = order[lo:hi]
+        some, which = np.unique(own[rows], return_inverse=True)
+        profiles = [items.profile(i) for i in some.tolist()]
+        most = max(len(many) for _, many in profiles) + 1
+        slots, limit = np.stack([p for p, _ in profiles]), np.zeros((len(some), most), np.int64)
+        for k, (_, many) in enumerate(profiles):
+            limit[k, 1 : len(many) + 1] = many
+        n = size[rows]
+        place = np.arange(int(n.sum())) + np.repeat(begin[rows] - np.cumsum(n) + n, n)
+        slot = slots.ravel().take(codes.take(place) + np.repeat(which * 4096, n))
+        have = np.bincount(slot + np.repeat(np.arange(len(rows)) * most, n), minlength=len(rows) * most).reshape(-1, most)
+        out[rows] = np.minimum(have, limit[which]).sum(1)
+    return out
 
 
 def _grams(buf: np.ndarray) -> np.ndarray:
@@ -213,41 +244,72 @@ class _Index:
         self.many = np.diff(np.append(self.first, len(keys)))
         self.bits = np.zeros(1 << _SEED_BITS, bool)
         self.bits[(self.keys & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)] = True
+        # hashes are even, so about one key begins with the same bits
+        self.top = np.uint64(64 - max(8, len(self.keys).bit_length()))
+        self.begin = np.searchsorted(self.keys >> self.top, np.arange(1 << (64 - int(self.top)), dtype=np.uint64))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in h, refs) of all agreements."""
-        maybe = np.flatnonzero(self.bits[(h & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)])
+        maybe = np.flatnonzero(self.bits.take((h & np.uint64((1 << _SEED_BITS) - 1)).view(np.int64)))
         if not len(maybe):
             return maybe, np.zeros((0, 2), np.int64)
-        k = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-        same = self.keys[k] == h[maybe]
+        h = h[maybe]
+        k = self.begin.take((h >> self.top).view(np.int64))
+        last = len(self.keys) - 1
+        np.minimum(k, last, out=k)
+        behind = np.flatnonzero((self.keys.take(k) < h) & (k < last))
+        while len(behind):
+            k[behind] += 1
+            at = k[behind]
+            behind = behind[(self.keys[at] < h[behind]) & (at < last)]
+        same = self.keys.take(k) == h
         maybe, k = maybe[same], k[same]
         many = self.many[k]
         begin = np.repeat(self.first[k] - np.cumsum(many) + many, many)
-        return np.repeat(maybe, many), self.refs[begin + np.arange(len(begin))]
+        return np.repeat(maybe, many), self.refs.take(begin + np.arange(len(begin)), axis=0)
+
+
+def _crowded(key: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which hits may stand in two neighbouring bands with least hits or more: counted by hash, so never too few."""
+    mask = (1 << _COUNT_BITS) - 1
+    at = ((key >> 32) * 0x9E3779B1 + (key & 0xFFFFFFFF)) & mask
+    have = np.bincount(at, minlength=mask + 1)
+    return have.take(at) + np.maximum(have.take((at + 1) & mask), have.take((at - 1) & mask)) >= least
 
 
-def _anchors(doc: np.ndarray, place: np.ndarray, ref: np.ndarray, items: Items) -> set[tuple[int, int, int, int]]:
-    """(text, item, place in the text, place in the item): up to three for each item and band of shifts with enough
-    shared bytes, the first in the item and those past a quarter and a half of it."""
+def _anchors(doc: np.ndarray, place: np.ndarray, ref: np.ndarray, items: Items) -> np.ndarray:
+    """Rows of text, item, place in the text and place in the item: up to three for each item and band of shifts with enough
+    shared bytes, the first in the item and those past a quarter and a half of it (ties: the last in the text)."""
     shift = place - ref[:, 1] + (int(items.lengths.max()) // BAND + 2) * BAND
     key = (doc * len(items.ids) + ref[:, 0]) << 32 | shift // BAND
-    both = np.concatenate([key, key - 1])  # bands overlap by half
-    order = np.argsort(both)
-    both = both[order]
-    cut = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-    size = np.diff(np.append(cut, len(both)))
-    enough = size >= items.least[(both[cut] >> 32) % len(items.ids)]
-    out = set()
-    for lo, n in zip(cut[enough].tolist(), size[enough].tolist()):
-        hits = order[lo : lo + n] % len(key)
-        hits = hits[np.argsort(ref[hits, 1], kind="stable")]
-        at = ref[hits, 1]
-        m = int(items.lengths[ref[hits[0], 0]])
-        for j in {0, *np.searchsorted(at, (m // 4, m // 2)).tolist()} - {n}:
-            h = hits[j]
-            out.add((int(doc[h]), int(ref[h, 0]), int(place[h]), int(at[j])))
-    return out
+    some = np.flatnonzero(_crowded(key, items.least.take(ref[:, 0])))
+    key, at = key[some], ref[some, 1]
+    order = np.lexsort((-place[some], at, key))
+    some, key, at = some[order], key[order], at[order]
+    if not len(some):
+        return np.zeros((0, 4), np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(cut, len(key)))
+    band = key[cut]
+    after = np.append(band[1:] == band[:-1] + 1, False)
+    before = np.concatenate(([False], after[:-1]))
+    # bands overlap by half: a run with the next one, and one that has none before it alone
+    low = np.concatenate([np.arange(len(cut)), np.flatnonzero(~before)])
+    high = np.concatenate([np.arange(len(cut)) + after, np.flatnonzero(~before)])
+    many = np.where(low == high, size[low], size[low] + size[high])
+    own = (band[low] >> 32) % len(items.ids)
+    enough = many >= items.least[own]
+    low, high, length = low[enough], high[enough], items.lengths[own[enough]]
+    run = np.repeat(np.arange(len(cut)), size) << 32 | at
+    found = []
+    for least in (np.zeros(len(low), np.int64), length // 4, length // 2):
+        a, b = (np.searchsorted(run, r << 32 | least) for r in (low, high))
+        has_a, has_b = a < cut[low] + size[low], b < cut[high] + size[high]
+        a, b = np.minimum(a, len(at) - 1), np.minimum(b, len(at) - 1)
+        use = has_a & (~has_b | (at[a] < at[b]))
+        found.append(np.where(use, a, b)[has_a | has_b])
+    hits = some[np.unique(np.concatenate(found))]
+    return np.stack([doc[hits], ref[hits, 0], place[hits], ref[hits, 1]], 1)
 
 
 def _windows(col: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int, int, bytes]]:
@@ -264,34 +326,45 @@ def _windows(col: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int,
         buf = np.where(space, np.uint8(32), K.LOWER[buf])[keep]
         offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
         starts, ends, first = K.word_spans(buf, offsets)
-        found = set()
-        pos, ref = items.grams.find(_grams(buf))
+        found = []
+        for s in range(0, len(buf) - GRAM + 1, SLICE):
+            pos, ref = items.grams.find(_grams(buf[s : s + SLICE + GRAM - 1]))
+            found.append((pos + s, ref))
+        pos, ref = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros((0, 2), np.int64)), *found, strict=True))
         doc = np.searchsorted(offsets, pos, "right") - 1
         within = pos + GRAM <= offsets[doc + 1]
         pos, ref, doc = pos[within], ref[within], doc[within]
-        if len(pos):
-            found |= _anchors(doc, pos - offsets[doc], ref, items)
+        found = [_anchors(doc, pos - offsets[doc], ref, items)] if len(pos) else []
         words = K.word_hashes(buf, starts, ends)
         for k, _ in SEEDS:
             h, sf = K.shingles(words, first, k, short=False)
             hit, ref = items.words.find(h)
-            doc = np.searchsorted(sf, hit, "right") - 1
-            at = starts[first[doc] + hit - sf[doc]] - offsets[doc] if len(hit) else hit
             if len(hit):
+                doc = np.searchsorted(sf, hit, "right") - 1
+                at = starts[first[doc] + hit - sf[doc]] - offsets[doc]
                 # one for each start of a window
-                _, one = np.unique(np.stack([doc, ref[:, 0], at - ref[:, 1]], 1), axis=0, return_index=True)
-                found.update(zip(doc[one].tolist(), ref[one, 0].tolist(), at[one].tolist(), ref[one, 1].tolist()))
-        for d, i, p, q in sorted(found):
-            size = int(items.lengths[i])
-            slack = size // 5
-            a, z = int(offsets[d]), int(offsets[d + 1])
-            begin = max(a, a + p - q - slack)
-            stretch = buf[begin : min(z, a + p - q + size + slack)]
-            # an edit spoils three of the item's runs of three bytes at most; the others stand in the stretch
-            if np.minimum(_profile(stretch), items.profile(i)).sum() < size - 2 - 3 * slack:
-                continue
-            w = int(np.searchsorted(starts, max(a, a + p - q), "right")) - 1 - int(first[d])
-            yield lo + d, i, max(0, w), a + p - begin, q, bytes(stretch)
+                order = np.lexsort((at - ref[:, 1], ref[:, 0], doc))
+                rows = np.stack([doc, ref[:, 0], at, ref[:, 1]], 1)[order]
+                start = np.stack([rows[:, 0], rows[:, 1], rows[:, 2] - rows[:, 3]])
+                found.append(rows[np.concatenate(([True], (start[:, 1:] != start[:, :-1]).any(0)))])
+        if not any(map(len, found)):
+            continue
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        d, i, p, q = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))].T
+        size = items.lengths[i]
+        slack = size // 5
+        a = offsets[d]
+        begin, stop = np.maximum(a, a + p - q - slack), np.minimum(offsets[d + 1], a + p - q + size + slack)
+        # an edit spoils three of the item's runs of three bytes at most; the others stand in the stretch
+        order = np.lexsort((p - q, i, d))
+        one = np.concatenate(([True], (np.diff(np.stack([d, i, p - q])[:, order]) != 0).any(0)))
+        have = np.zeros(len(d), np.int64)
+        have[order] = _shared(_codes(buf), *(x[order[one]] for x in (begin, stop, i)), items)[np.cumsum(one) - 1]
+        left = np.flatnonzero(have >= size - 2 - 3 * slack)
+        w = np.maximum(np.searchsorted(starts, np.maximum(a, a + p - q)[left], "right") - 1 - first[d[left]], 0)
+        for x in zip((lo + d[left]).tolist(), i[left].tolist(), w.tolist(), (a + p - begin)[left].tolist(), q[left].tolist(), begin[left].tolist(), stop[left].tolist(), strict=True):
+            yield *x[:5], bytes(buf[x[5] : x[6]])
 
 
 def _match(items_b, percent: int, embed_rows: int = 16384):
@@ -301,24 +374,29 @@ def _match(items_b, percent: int, embed_rows: int = 16384):
         ids: list = []
         held: list[tuple[int, int, int, int, int, bytes]] = []
 
-        def keys_of(strings, lengths):
-            rows = np.zeros((len(strings), max(1, *map(len, strings), 1)), np.uint8)
-            for r, t in enumerate(strings):
-                rows[r, : len(t)] = np.frombuffer(t, np.uint8)
-            return embed(rows, np.array(lengths, np.int64), items.places)
-
         def flush(kind):
             found: dict[tuple[int, int], tuple[int, int]] = {}
             near: list[tuple[int, int, int, int, int, bytes]] = []
-            held.sort(key=lambda x: int(items.lengths[x[1]]) - x[4])  # strings of a length are embedded together
+            held.sort(key=lambda x: (int(items.lengths[x[1]]) - x[4], x[1], x[4]))  # strings of a length are embedded together, items once
             for a in range(0, len(held), 1024):
                 part = held[a : a + 1024]
-                own = sorted({(i, q) for _, i, _, _, q, _ in part})
-                at = {x: j for j, x in enumerate(own)}
-                mine = keys_of([items.bytes[i][q:] for i, q in own], [int(items.lengths[i]) - q for i, q in own])
-                sizes = [int(items.lengths[i]) - q for _, i, _, _, q, _ in part]
-                keys = keys_of([t[p : p + n] for (*_, p, _, t), n in zip(part, sizes, strict=True)], sizes)
-                meet = (keys == mine[[at[i, q] for _, i, _, _, q, _ in part]]).any(1)
+                sizes, own, strings = [], [], []
+                for _, i, _, p, q, t in part:
+                    n = int(items.lengths[i]) - q
+                    if not own or (i, q) != part[len(own) - 1][1:5:3]:
+                        item = len(strings)
+                        strings.append(items.bytes[i][q:])
+                        sizes.append(n)
+                    own.append(item)
+                    strings.append(t[p : p + n])
+                    sizes.append(n)
+                rows = np.zeros((len(strings), max(1, *sizes)), np.uint8)
+                for r, t in enumerate(strings):
+                    rows[r, : len(t)] = np.frombuffer(t, np.uint8)
+                keys = embed(rows, np.array(sizes, np.int64), items.places)
+                texts = np.ones(len(strings), bool)
+                texts[own] = False
+                meet = (keys[texts] == keys[own]).any(1)
                 near += [x for x, ok in zip(part, meet.tolist(), strict=True) if ok]
             some, which = np.unique(np.array([i for _, i, *_ in near], np.int64), return_inverse=True)
             dist, _ = best_places([items.bytes[i] for i in some], which, [t for *_, t in near])

@@ -180,6 +180,37 @@ def test_recall_of_decontamination_by_kind_and_share_of_edits(spark):
         assert sum((i, i) in found for i in ids) >= 0.9 * len(ids), case
 
 
+def test_decontamination_does_not_go_through_candidates_in_python():
+    """Texts of the items' words share many runs of bytes with items that they don't hold: no calls for each of those."""
+    import cProfile
+    import pstats
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinsh") for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = decontam.Items(list(range(60)), [prose(50) for _ in range(60)])
+    texts = pa.array([prose(400) for _ in range(60)] + ["x " + items.bytes[7].decode()])
+    calls = cProfile.Profile()
+    calls.enable()
+    found = list(decontam._windows(texts, items))
+    calls.disable()
+    assert (60, 7) in {x[:2] for x in found}
+    assert pstats.Stats(calls).total_calls < 2 * len(found) + 20_000
+
+
+def test_anchors_among_repeats_do_not_depend_on_the_order_of_hits():
+    """Of two places in the text that share a run of bytes of the item, the last one is the anchor."""
+    import numpy as np
+
+    items = decontam.Items([1], ["abcdefgh"])
+    for doc, place in ((0, 5), (0, 9)), ((0, 9), (0, 5)):
+        hits = np.array([doc, place])
+        got = decontam._anchors(hits[:, 0], hits[:, 1], np.zeros((2, 2), np.int64), items)
+        assert [tuple(map(int, x)) for x in got] == [(0, 0, 9, 0)]
+
+
 def test_salted_join_of_a_hot_key(spark):
     """A key with most rows goes many ways; rows without a partner are left out, as in any inner join."""
     from quillon.llm.runtime import salted
