@@ -10,8 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillon.shipping import ship
@@ -30,21 +29,23 @@ class Chain(StatefulProcessor):
         self.head = handle.getValueState("head", "n long, last long, hash string")
         self.claims = handle.getMapState("claims", "claim string", "seq long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["order", "line"], kind="stable", na_position="first")
-        n, last, before = self.head.get() if self.head.exists() else (0, None, None)
-        out = []
-        for order, line, claim in zip(new["order"], new["line"], new["claim"], strict=True):
-            order = int(order)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = sorted(((r.order, r.line, r.claim) for r in rows), key=lambda r: r[:2])
+        # every look at the state is a round trip to Spark: one for the head, and one for each claim that an earlier batch may have made
+        head = self.head.get()
+        n, last, before = head if head is not None else (0, None, None)
+        earlier, made = n > 0, set()
+        for order, line, claim in new:
             if last is not None and order < last:
-                out.append((order, "late", None, line, None, None))
+                yield self._row(key, order, "late", line=line)
                 continue
             first = None
-            if isinstance(claim, str):
-                first = not self.claims.containsKey((claim,))
+            if claim is not None:
+                first = claim not in made and not (earlier and self.claims.containsKey((claim,)))
+                made.add(claim)
                 if first:
                     self.claims.updateValue((claim,), (n,))
-            out.append((order, "chained", n, line, before, first))
+            yield self._row(key, order, "chained", n, line, before, first)
             n, last, before = n + 1, order, hashlib.sha256(line.encode()).hexdigest()
         if n:
             self.head.update((n, last, before))
@@ -52,17 +53,15 @@ class Chain(StatefulProcessor):
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.head.exists():
-            n, last, before = self.head.get()
-            yield self._rows(key, [(last, "sealed", n, None, before, None)])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        head = self.head.get()
+        if head is not None:
+            n, last, before = head
+            yield self._row(key, last, "sealed", n, None, before)
 
-    def _rows(self, key, out) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["order", "status", "seq", "line", "prev_hash", "first_claim"])
-        frame.insert(0, "key", key[0])
-        return frame.astype({"order": "Int64", "seq": "Int64", "first_claim": "boolean"})
+    def _row(self, key, order, status, seq=None, line=None, prev_hash=None, first=None) -> Row:
+        return Row(key=key[0], order=order, status=status, seq=seq, line=line, prev_hash=prev_hash, first_claim=first)
 
     def close(self) -> None:
         pass
@@ -81,5 +80,5 @@ def chained(entries: DataFrame, by: str, order: str, line: Column, claim: Column
     kind = entries.schema[by].dataType.simpleString()
     rows = entries.filter(F.col(by).isNotNull()).select(F.col(by).alias("key"), F.coalesce(F.col(order).cast("long"), F.lit(-1)).alias("order"), F.coalesce(line, F.lit("")).alias("line"), claim.cast("string").alias("claim"))
     mode = "None" if idle_ms is None else "ProcessingTime"
-    got = rows.groupBy("key").transformWithStateInPandas(Chain(idle_ms), f"key {kind}, {SCHEMA}", "Append", mode)
+    got = rows.groupBy("key").transformWithState(Chain(idle_ms), f"key {kind}, {SCHEMA}", "Append", mode)
     return got.withColumnRenamed("key", by)

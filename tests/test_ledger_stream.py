@@ -29,3 +29,33 @@ def test_late_entries_seals_and_odd_rows(spark):
     rows = {(r["k"], r["order"], r["status"], r["seq"], r["line"], r["first_claim"]) for r in got.collect()}
     assert {r for r in rows if r[2] != "sealed"} == {("a", 2, "chained", 0, "w", None), ("a", 5, "chained", 1, "x", True), ("b", -1, "chained", 0, "", True), ("a", 3, "late", None, "late", None), ("a", 5, "chained", 2, "y", False), ("a", 6, "chained", 3, "z", True), ("c", 1, "chained", 0, "", None)}
     assert ("b", -1, "sealed", 1, None, None) in rows and got.filter("status = 'sealed' AND prev_hash IS NULL").count() == 0
+
+
+def test_a_key_looks_at_its_state_once_for_the_head_and_once_for_each_earlier_claim():
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        def __init__(self, name, value=None):
+            self.name, self.value = name, value
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(f"{self.name}.{name}")
+                return self.value if name == "get" else self.value is not None
+
+            return call
+
+    def run(head, rows):
+        calls.clear()
+        c = S.Chain()
+        c.head, c.claims = State("head", head), State("claims")
+        return list(c.handleInputRows((1,), iter(Row(order=o, line=line, claim=k) for o, line, k in rows), None))
+
+    got = run(None, [(2, "b", "p"), (1, "a", "p"), (3, "c", None)])
+    assert [(r.order, r.seq, r.first_claim) for r in got] == [(1, 0, True), (2, 1, False), (3, 2, None)]
+    assert calls == ["head.get", "claims.updateValue", "head.update"]
+    got = run((3, 3, "00"), [(2, "late", "p"), (4, "d", "q"), (5, "e", "q")])
+    assert [(r.status, r.seq, r.first_claim) for r in got] == [("late", None, None), ("chained", 3, True), ("chained", 4, False)]
+    assert calls == ["head.get", "claims.containsKey", "claims.updateValue", "head.update"]
