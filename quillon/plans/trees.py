@@ -20,7 +20,7 @@ def node_table(spark, sf):
 @query("t01_addressed_search")
 def addressed_search(spark, sf):
     """Every 'the' of all pages with its address; the search reads the page's text nodes, menus and notes included."""
-    return N.search(N.nodes(load(spark, sf, "pages")), "the", HOLDERS).drop("pre")
+    return N.search(N.nodes(load(spark, sf, "pages"), kinds={"text"}, columns=["pre", "kind", "path", "text"]), "the", HOLDERS).drop("pre")
 
 
 def nested_tables(spark, sf):
@@ -28,11 +28,11 @@ def nested_tables(spark, sf):
     lines = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").alias("l"))
     row = F.transform(F.sort_array(F.collect_list("l")), lambda x: F.concat(F.lit("<tr><td>"), x["l_partkey"].cast("string"), F.lit("<td>"), x["l_returnflag"], F.lit(" "), x["l_linestatus"], F.lit("</td></tr>")))
     inner = lines.groupBy("o").agg(F.concat(F.lit("<table>"), F.array_join(row, ""), F.lit("</table>")).alias("t"))
-    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("o"), "o_orderstatus").join(inner, "o", "left")
+    # parsing takes longer than its bytes suggest, so the parts stay as many as a shuffle has
+    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("o"), "o_orderstatus").join(inner, "o", "left").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
     outer = F.transform(F.sort_array(F.collect_list(F.struct("o", "o_orderstatus", "t"))), lambda x: F.concat(F.lit("<tr><td>"), x["o"].cast("string"), F.lit("</td><td><p>"), x["o_orderstatus"], F.lit("</p>"), F.coalesce(x["t"], F.lit("")), F.lit("</td></tr>")))
     html = F.concat(F.lit("<div><h2>Orders</h2><table>"), F.array_join(outer, ""), F.lit("</table></div>"))
-    # parsing takes longer than its bytes suggest, so the parts stay as many as a shuffle has
-    return orders.groupBy("page_id").agg(html.alias("html")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    return orders.groupBy("page_id").agg(html.alias("html"))
 
 
 @query(
@@ -44,7 +44,7 @@ def nested_tables(spark, sf):
 )
 def nested_cells(spark, sf):
     """Returned lines, found in cells of tables in cells, with the whole path."""
-    tree = N.nodes(nested_tables(spark, sf))
+    tree = N.nodes(nested_tables(spark, sf), kinds={"text"}, columns=["pre", "kind", "path", "text"])
     return N.search(tree, "R", ["cell", "box"]).filter("up_kind = 'cell'").select("page_id", "up_path", "up_row", "up_col", "n_up", "char")
 
 
@@ -56,7 +56,7 @@ def nested_cells(spark, sf):
 )
 def nested_grid(spark, sf):
     """First cells of inner tables, each with the row of the outer table that it stands in."""
-    tree = N.nodes(nested_tables(spark, sf))
+    tree = N.nodes(nested_tables(spark, sf), kinds={"text"}, columns=["kind", "path", "text"])
     rows, cols = (F.regexp_extract_all("path", F.lit(r":cell\((\d+),(\d+)\)"), F.lit(n)) for n in (1, 2))
     cells = tree.filter("kind = 'text'").filter((F.size(cols) == 2) & (F.get(cols, F.lit(1)) == "0"))
     outer, inner = (F.get(rows, F.lit(i)).cast("int") for i in (0, 1))

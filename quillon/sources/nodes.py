@@ -9,10 +9,12 @@ every level and sorts like the document.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.joins import contained
@@ -36,7 +38,12 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
 #: Width of an ordinal in a path, and nodes of one Arrow batch.
 DIGITS, BATCH = 7, 50_000
 BLOCKS = {"section", "heading", "paragraph", "list", "table", "box", "note"}
+#: A block's start ends paragraphs up to one of those; the end of what isn't a part of the grid leaves the cell that it's in open.
+PARAGRAPH, AROUND = {"p"}, {"td", "th", "table", "li", "div", "section", "article"}
+CELLS, GRID, NOWHERE = {"td", "th"}, {"table", "tr", "tbody", "thead", "tfoot"}, (None, None)
 SCHEMA = "pre int, post int, depth int, parent int, kind string, tag string, path string, row int, col int, text string, grid boolean"
+NAMES, TYPES = [c.split()[0] for c in SCHEMA.split(", ")], [{"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in SCHEMA.split(", ")]
+KIND = NAMES.index("kind")
 
 
 class Tree(HTMLParser):
@@ -49,48 +56,51 @@ class Tree(HTMLParser):
         self.hidden = 0
         # each: tag, pre or None if it's passed through, path, children so far, kind, (row, col), [row, col] of a table, whether it has cells
         self.open: list[list] = []
+        # of those, the nodes and the tables
+        self.held: list[list] = []
+        self.tables: list[list] = []
         self.tops = 0
         self.text: list[str] = []
 
-    def _holder(self):
-        return next((e for e in reversed(self.open) if e[1] is not None), None)
-
-    def _depth(self) -> int:
-        return sum(e[1] is not None for e in self.open)
-
     def _place(self) -> tuple[str, int | None]:
-        up = self._holder()
-        if up is None:
+        if not self.held:
             n, self.tops = self.tops, self.tops + 1
             return f"{n:0{DIGITS}}", None
-        up[3] += 1
-        return f"{up[2]}/{up[3] - 1:0{DIGITS}}", up[1]
+        up = self.held[-1]
+        n = up[3]
+        up[3] = n + 1
+        return f"{up[2]}/{n:0{DIGITS}}", up[1]
 
     def _flush(self) -> None:
         t = " ".join("".join(self.text).split())
         self.text = []
         if t:
             path, parent = self._place()
-            self.rows.append((self.pre, self.post, self._depth(), parent, "text", None, path + ":text", None, None, t, False))
+            self.rows.append((self.pre, self.post, len(self.held), parent, "text", None, path + ":text", None, None, t, False))
             self.pre += 1
             self.post += 1
 
     def _close(self) -> None:
-        if self.open[-1][1] is not None:
+        if self.text and self.open[-1][1] is not None:
             self._flush()
         tag, pre, path, _, kind, at, _, grid = self.open.pop()
         if pre is not None:
-            up = self._holder()
-            self.rows.append((pre, self.post, self._depth(), up[1] if up else None, kind, tag, path, *(at or (None, None)), None, grid))
+            held = self.held
+            held.pop()
+            if kind == "table":
+                self.tables.pop()
+            row, col = at or NOWHERE
+            self.rows.append((pre, self.post, len(held), held[-1][1] if held else None, kind, tag, path, row, col, None, grid))
             self.post += 1
 
     def _end_until(self, tags: set, stop: set) -> None:
         """Closes up to the outermost open element of tags above the nearest one of stop."""
-        at = len(self.open)
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in stop:
+        at = i = len(self.open)
+        for e in reversed(self.open):
+            i -= 1
+            if e[0] in stop:
                 break
-            if self.open[i][0] in tags:
+            if e[0] in tags:
                 at = i
         while len(self.open) > at:
             self._close()
@@ -108,37 +118,49 @@ class Tree(HTMLParser):
         if tag in ENDS:
             self._end_until(*ENDS[tag])
         elif kind in BLOCKS:
-            self._end_until({"p"}, {"td", "th", "table", "li", "div", "section", "article"})
+            self._end_until(PARAGRAPH, AROUND)
         at = None
-        table = next((e for e in reversed(self.open) if e[0] == "table"), None)
-        if tag == "tr" and table:
-            table[6][0] += 1
-            table[6][1] = -1
+        if tag == "tr" and self.tables:
+            grid = self.tables[-1][6]
+            grid[0] += 1
+            grid[1] = -1
         elif kind == "cell":
-            grid = table[6] if table else [0, -1]
+            grid = self.tables[-1][6] if self.tables else [0, -1]
             grid[0] = max(0, grid[0])
             grid[1] += 1
             at = tuple(grid)
         if kind is None:
             self.open.append([tag, None, None, 0, None, None, None, False])
             return
-        self._flush()
+        if self.text:
+            self._flush()
         path, _ = self._place()
-        up = self._holder()
-        if up is not None and kind == "cell":
-            up[7] = True
-        where = f"{kind}({at[0]},{at[1]})" if at else kind
-        self.open.append([tag, self.pre, f"{path}:{where}", 0, kind, at, [-1, -1] if kind == "table" else None, False])
+        if at:
+            path = f"{path}:{kind}({at[0]},{at[1]})"
+            if self.held:
+                self.held[-1][7] = True
+        else:
+            path = f"{path}:{kind}"
+        e = [tag, self.pre, path, 0, kind, at, [-1, -1] if kind == "table" else None, False]
+        self.open.append(e)
+        self.held.append(e)
+        if kind == "table":
+            self.tables.append(e)
         self.pre += 1
 
     def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif not self.hidden and tag not in VOID:
-            inside = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag or self.open[i][0] in ("td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot")), None)
-            if inside is not None and self.open[inside][0] == tag:
-                while len(self.open) > inside:
-                    self._close()
+            i = len(self.open)
+            for e in reversed(self.open):
+                i -= 1
+                if e[0] == tag:
+                    while len(self.open) > i:
+                        self._close()
+                    break
+                if e[0] in CELLS and tag not in GRID:
+                    break
 
     def handle_data(self, data):
         if not self.hidden:
@@ -151,40 +173,69 @@ class Tree(HTMLParser):
         self._flush()
 
 
-def nodes(pages: DataFrame, id_col: str = "page_id", markup: str = "html") -> DataFrame:
+def _arrays(rows: list[tuple], columns: list[str]) -> list[pa.Array]:
+    cols = list(zip(*rows, strict=True))
+    return [pa.array(cols[NAMES.index(c)], TYPES[NAMES.index(c)]) for c in columns]
+
+
+def _batches(batches, kinds: set[str] | None, columns: list[str], whole: bool):
+    """(ids, places of pages among them, how many nodes each has, columns of the nodes), with about BATCH nodes at a time. Where pages
+    needn't stay whole, those of more nodes are cut. Plain pages are read together, the others by Tree."""
+    from quillon.sources import plainpages
+
+    for b in batches:
+        ids = b.column(0)
+        at, rows, sizes = [], [], []
+        plain, read, held = [], [], 0
+        for i, text in enumerate(b.column(1)):
+            text = text.as_py() or ""
+            got = plainpages.happenings(text)
+            # a long page goes through Tree, which is cut
+            if got is not None and (whole or len(got[0]) <= BATCH):
+                if got[0]:
+                    plain.append(i)
+                    read.append(got)
+                    held += len(got[0])
+                if held >= BATCH:
+                    yield ids, plain, *plainpages.nodes(read, kinds, columns)
+                    plain, read, held = [], [], 0
+                continue
+            tree = Tree()
+            tree.feed(text)
+            tree.close()
+            found = tree.rows if kinds is None else [r for r in tree.rows if r[KIND] in kinds]
+            step = max(1, len(found)) if whole else BATCH
+            for lo in range(0, len(found), step):
+                part = found[lo : lo + step]
+                at.append(i)
+                sizes.append(len(part))
+                rows += part
+                if len(rows) >= BATCH:
+                    yield ids, at, sizes, _arrays(rows, columns)
+                    at, rows, sizes = [], [], []
+        if rows:
+            yield ids, at, sizes, _arrays(rows, columns)
+        if plain:
+            yield ids, plain, *plainpages.nodes(read, kinds, columns)
+
+
+def nodes(pages: DataFrame, id_col: str = "page_id", markup: str = "html", kinds: set[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """id_col, pre, post, depth, parent (its pre), kind, tag, path, row, col, text, grid (whether it has cells of its own) for each
-    node of each page, parsed whole.
+    node of each page, parsed whole; of kinds and columns alone, where they are given, which numbers and paths don't depend on.
 
     text stands in nodes of kind text alone, with white space as one space; row and col in cells. End tags that may be left out are
     understood; elements still open close at the end. Null and empty pages have no nodes; repeated ids give the nodes of each.
     """
     ship(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
-    types = [pa.int32()] * 4 + [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string(), pa.bool_()]
-    names = [id_col, *(c.split()[0] for c in SCHEMA.split(", "))]
+    names = NAMES if columns is None else columns
+    schema = ", ".join(SCHEMA.split(", ")[NAMES.index(c)] for c in names)
 
     def run(batches):
-        def out(ids, at, rows):
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
-
-        for b in batches:
-            at, rows = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                tree = Tree()
-                tree.feed(text or "")
-                tree.close()
-                for lo in range(0, len(tree.rows), BATCH):
-                    part = tree.rows[lo : lo + BATCH]
-                    rows += part
-                    at += [i] * len(part)
-                    if len(rows) >= BATCH:
-                        yield out(b.column(0), at, rows)
-                        at, rows = [], []
-            if rows:
-                yield out(b.column(0), at, rows)
-
-    return pages.select(id_col, markup).mapInArrow(run, f"{id_col} {kind}, {SCHEMA}")
+        for ids, at, sizes, cols in _batches(batches, kinds, names, False):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(at, sizes), pa.int64())), *cols], [id_col, *names])
+
+    return pages.select(id_col, markup).mapInArrow(run, f"{id_col} {kind}, {schema}")
 
 
 def ancestors(tree: DataFrame, of: DataFrame, kinds: list[str], id_col: str = "page_id", width: int = 64) -> DataFrame:
@@ -195,13 +246,6 @@ def ancestors(tree: DataFrame, of: DataFrame, kinds: list[str], id_col: str = "p
     return contained(of, spans, [id_col], "pre", "up_lo", "up_hi", width).drop("up_lo", "up_hi")
 
 
-def above(path: Column, kind) -> Column:
-    """The ancestors whose kind fits, outermost first, from a node's path alone: (depth, part), part as it stands in the path."""
-    parts = F.split(path, "/")
-    up = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda part, i: F.struct(i.alias("depth"), part.alias("part")))
-    return F.filter(up, lambda x: kind(F.substring_index(F.substring_index(x["part"], ":", -1), "(", 1)))
-
-
 def cell_place(part: Column) -> tuple[Column, Column]:
     """Row and column of a cell from its part of a path; null for others."""
     return tuple(F.regexp_extract(part, r"\((\d+),(\d+)\)", n).try_cast("int") for n in (1, 2))
@@ -209,23 +253,30 @@ def cell_place(part: Column) -> tuple[Column, Column]:
 
 def nearest(of: DataFrame, kinds: list[str]) -> DataFrame:
     """Each node of `of` with its innermost ancestor of these kinds (nulls if none), and how many it has. A path names
-    all ancestors, so nothing is joined."""
-    got = of.withColumn("_up", above(F.col("path"), lambda k: k.isin(kinds)))
-    got = got.withColumn("_n", F.size("_up").cast("long")).withColumn("_up", F.get("_up", F.size("_up") - 1))
-    part = F.col("_up.part")
+    all ancestors, so nothing is joined; and two patterns find them in it, so none is taken apart."""
+    fits = rf":(?:{'|'.join(map(re.escape, kinds))})(?:\([0-9]+,[0-9]+\))?" if kinds else "(?!)"
+    up = F.nullif(F.regexp_extract("path", rf"^(.*{fits})/", 1), F.lit(""))
+    part = F.substring_index(up, "/", -1)
     row, col = cell_place(part)
     kind = F.substring_index(F.substring_index(part, ":", -1), "(", 1)
-    path = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("_up.depth") + 1), "/")
-    return got.select(*of.columns, F.col("_n").alias("n_up"), kind.alias("up_kind"), F.col("_up.depth").alias("up_depth"), path.alias("up_path"), row.alias("up_row"), col.alias("up_col"))
+    depth = F.length(up) - F.length(F.replace(up, F.lit("/"), F.lit("")))
+    return of.select("*", F.regexp_count("path", F.lit(fits + "/")).cast("long").alias("n_up"), kind.alias("up_kind"), depth.alias("up_depth"), up.alias("up_path"), row.alias("up_row"), col.alias("up_col"))
 
 
 def search(tree: DataFrame, word: str, kinds: list[str], id_col: str = "page_id") -> DataFrame:
     """A row for each place (char, from 0) where word stands in a text node: its path, the innermost container of these kinds
     with its path and cell, and how many such containers enclose it. Matches don't overlap."""
-    hit = tree.filter((F.col("kind") == "text") & F.col("text").contains(word)).select(id_col, "pre", "path", "text")
-    parts = F.split("text", F.lit("\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"))
-    # the k-th match stands behind the k-1 stretches before it and as many words
-    ends = hit.select(id_col, "pre", "path", F.posexplode(parts).alias("k", "part"), F.size(parts).alias("n")).withColumn("w", F.length("part"))
-    before = F.sum("w").over(Window.partitionBy(id_col, "pre", "path").orderBy("k"))
-    at = ends.withColumn("char", (before + F.col("k") * len(word)).cast("int")).filter("k < n - 1").select(id_col, "pre", "path", "char")
+    hit = tree.filter((F.col("kind") == "text") & F.col("text").contains(word)).select(id_col, "pre", "path", F.split("text", F.lit("\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E")).alias("parts"))
+    at = hit.select(id_col, "pre", "path", F.explode(F.when(F.size("parts") == 2, F.array(F.length(F.get("parts", F.lit(0))))).otherwise(_places(F.col("parts"), len(word)))).alias("char"))
     return nearest(at, kinds)
+
+
+def _places(parts: Column, width: int, block: int = 256) -> Column:
+    """Where words of this width stand between the parts: the k-th behind the parts before it and as many words. Lengths are summed by
+    blocks, so that a text with many words takes no time by their square, and no window."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    size, blocks = F.size(parts), F.lit(block)
+    lengths = F.transform(parts, lambda p: F.length(p))
+    sums = F.transform(F.sequence(F.lit(0), ((size - 1) / block).cast("int")), lambda b: total(F.slice(lengths, b * blocks + 1, blocks)))
+    before = F.transform(sums, lambda _, b: F.when(b > 0, total(F.slice(sums, F.lit(1), b))).otherwise(0))
+    return F.transform(F.sequence(F.lit(0), size - 2), lambda k: F.get(before, (k / block).cast("int")) + total(F.slice(lengths, (k / block).cast("int") * blocks + 1, k % blocks + 1)) + k * width)

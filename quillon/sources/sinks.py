@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -96,21 +97,35 @@ def verified(rows: DataFrame, path: str) -> DataFrame:
 NESTED, HELD = 8, ("section", "heading", "paragraph", "list", "item", "table", "cell", "box", "link", "text")
 
 
+def _written(get, cap: int, held: tuple[str, ...]) -> tuple[Column, Column]:
+    """Of a node whose columns get gives: whether it is written, and its start and end as (at, start, until, close), by their places among
+    all starts and ends of the page: before a node's start stand as many starts as its pre and the ends of those that aren't its ancestors."""
+    path, kind = get("path"), get("kind")
+    tables = F.when(get("depth") < cap, 0).otherwise(((F.length(path) - F.length(F.replace(path, F.lit(":table/"), F.lit("")))) / len(":table/")).cast("int"))
+    keep = (get("depth") < cap) | (tables <= cap)
+    # an ancestor of another kind: a part of the path, but its last, that doesn't go on as one of these
+    keep &= ~path.rlike(rf":(?!(?:{'|'.join(map(re.escape, held))})[(/])[^/]*/")
+    out = F.when(~kind.isin(*held), kind).when((kind == "table") & (tables == cap), F.lit(f"table nested deeper than {cap}"))
+    # a row of cells begins with its first one, and ends before the next row or with its table
+    first = F.when((kind == "cell") & (get("col") == 0), F.when(get("row") > 0, "</tr><tr>").otherwise("<tr>")).otherwise("")
+    start = F.when(kind == "text", xml_text(get("text"))).otherwise(F.concat(first, F.lit("<"), get("tag"), F.lit(">")))
+    close = F.when(kind == "text", "").otherwise(F.concat(F.when(get("grid"), "</tr>").otherwise(""), F.lit("</"), get("tag"), F.lit(">")))
+    left = F.concat(F.lit("<!-- "), out, F.lit(" -->"))
+    at, until = get("pre") * 2 - get("depth"), get("post") * 2 + get("depth") + 1
+    return keep, F.struct(at.alias("at"), F.coalesce(left, start).alias("start"), until.alias("until"), F.when(left.isNotNull(), "").otherwise(close).alias("close"))
+
+
+def _joined(nodes: Column) -> Column:
+    """The page that these (at, start, until, close) are of: their pieces in one sort."""
+    piece = lambda at, text: F.struct(at.alias("at"), text.alias("text"))
+    pieces = F.concat(F.transform(nodes, lambda n: piece(n["at"], n["start"])), F.transform(F.filter(nodes, lambda n: n["close"] != ""), lambda n: piece(n["until"], n["close"])))
+    return F.array_join(F.transform(F.sort_array(pieces), lambda p: p["text"]), "")
+
+
 def nested_html(tree: DataFrame, id_col: str = "page_id", cap: int = NESTED, held: tuple[str, ...] = HELD) -> DataFrame:
     """(id_col, html) from the node table: every node's start and end as pieces in the order of the page, put together in one
     sort, with no walk. In place of a table inside cap others, and of a node of another kind, stands a comment that says what is
     left out; what is inside them is left out with them. A page is a value, so it fits a row; pages without nodes have none."""
-    from quillon.sources.nodes import above
-
-    end = F.col("post") + F.col("depth")
-    path = F.col("path")
-    known = tree.withColumn("n", F.size(above(path, lambda k: k == "table"))).filter((F.col("n") <= cap) & (F.size(above(path, lambda k: ~k.isin(*held))) == 0))
-    out = F.when(~F.col("kind").isin(*held), F.col("kind")).when((F.col("kind") == "table") & (F.col("n") == cap), F.lit(f"table nested deeper than {cap}"))
-    # a row of cells begins with its first one, and ends before the next row or with its table
-    told = known.withColumn("out", out)
-    first = F.when((F.col("kind") == "cell") & (F.col("col") == 0), F.when(F.col("row") > 0, "</tr><tr>").otherwise("<tr>")).otherwise("")
-    start = F.when(F.col("out").isNotNull(), F.concat(F.lit("<!-- "), F.col("out"), F.lit(" -->"))).when(F.col("kind") == "text", xml_text(F.col("text"))).otherwise(F.concat(first, F.lit("<"), F.col("tag"), F.lit(">")))
-    close = F.when(F.col("out").isNotNull() | (F.col("kind") == "text"), "").otherwise(F.concat(F.when(F.col("grid"), "</tr>").otherwise(""), F.lit("</"), F.col("tag"), F.lit(">")))
-    piece = lambda at, k, turn, text: F.struct(at.alias("at"), F.lit(k).alias("k"), turn.alias("turn"), text.alias("text"))
-    pieces = told.select(id_col, F.explode(F.array(piece(F.col("pre"), 0, F.lit(0), start), piece(end, 1, -F.col("pre"), close))).alias("p")).filter("p.text <> '' OR p.k = 0")
-    return pieces.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["text"]), "").alias("html"))
+    keep, node = _written(F.col, cap, held)
+    got = tree.filter(keep).select(id_col, node.alias("n")).groupBy(id_col).agg(F.collect_list("n").alias("n"))
+    return got.select(id_col, _joined(F.col("n")).alias("html"))
