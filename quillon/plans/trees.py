@@ -66,7 +66,7 @@ def nested_grid(spark, sf):
 @query("k16_page_html")
 def page_html(spark, sf):
     """All pages written again from their nodes. No SQL: the tests read what is written and get the same nodes."""
-    return K.nested_html(N.nodes(load(spark, sf, "pages")))
+    return K.pages_html(load(spark, sf, "pages"))
 
 
 @query(
@@ -77,4 +77,4 @@ def page_html(spark, sf):
 )
 def nested_html(spark, sf):
     """Tables in tables from their nodes: the markup they were read from, with the ends that it had left out."""
-    return K.nested_html(N.nodes(nested_tables(spark, sf)))
+    return K.pages_html(nested_tables(spark, sf))

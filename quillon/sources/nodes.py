@@ -238,6 +238,19 @@ def nodes(pages: DataFrame, id_col: str = "page_id", markup: str = "html", kinds
     return pages.select(id_col, markup).mapInArrow(run, f"{id_col} {kind}, {schema}")
 
 
+def each_page(pages: DataFrame, make, made: str, columns: list[str], id_col: str = "page_id", markup: str = "html") -> DataFrame:
+    """id_col and a column made ("name type"): a row for each page that has nodes. make gets how many nodes each of some whole pages has and
+    these columns of them as arrays, as nodes() gives them, and returns an array with a value for each page; so nothing is shuffled."""
+    ship(pages.sparkSession)
+    kind = pages.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for ids, at, sizes, cols in _batches(batches, None, columns, True):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), make(sizes, dict(zip(columns, cols, strict=True)))], [id_col, made.split()[0]])
+
+    return pages.select(id_col, markup).mapInArrow(run, f"{id_col} {kind}, {made}")
+
+
 def ancestors(tree: DataFrame, of: DataFrame, kinds: list[str], id_col: str = "page_id", width: int = 64) -> DataFrame:
     """Each node of `of` with each of its ancestors of these kinds: its columns, and up_pre, up_kind, up_depth, up_path, up_row,
     up_col. A range join of places with intervals, by buckets of width places."""

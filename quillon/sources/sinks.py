@@ -6,6 +6,9 @@ import os
 import re
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,3 +132,52 @@ def nested_html(tree: DataFrame, id_col: str = "page_id", cap: int = NESTED, hel
     keep, node = _written(F.col, cap, held)
     got = tree.filter(keep).select(id_col, node.alias("n")).groupBy(id_col).agg(F.collect_list("n").alias("n"))
     return got.select(id_col, _joined(F.col("n")).alias("html"))
+
+
+#: Columns of the node table that pages are written from.
+WRITTEN = ["pre", "post", "depth", "kind", "tag", "path", "row", "col", "text", "grid"]
+
+
+def pages_html(pages: DataFrame, id_col: str = "page_id", markup: str = "html", cap: int = NESTED, held: tuple[str, ...] = HELD) -> DataFrame:
+    """nested_html of the nodes of pages, a row for each page that has nodes: what is read whole in a task is written there, in arrays, and
+    no piece is shuffled."""
+    from quillon.sources.nodes import each_page
+
+    return each_page(pages, lambda sizes, nodes: _markup(sizes, nodes, cap, held), "html string", WRITTEN, id_col, markup)
+
+
+def _markup(sizes, nodes: dict[str, pa.Array], cap: int, held: tuple[str, ...]) -> pa.Array:
+    """The pages that nodes are of, page after page: the rules of _written, and every piece laid at its place."""
+    kind, tag, path = nodes["kind"], nodes["tag"], nodes["path"]
+    pre, post, depth = (nodes[c].to_numpy().astype(np.int64) for c in ("pre", "post", "depth"))
+    text = pc.equal(kind, "text")
+    kept, left = np.ones(len(kind), bool), pa.nulls(len(kind), pa.string())
+    known = pc.is_in(kind, pa.array(held))
+    if not pc.all(known).as_py():
+        up = pc.count_substring_regex(path, rf":(?:{'|'.join(map(re.escape, held))})(?:\([0-9]+,[0-9]+\))?/")
+        kept &= up.to_numpy() == depth
+        left = pc.if_else(known, left, kind)
+    if depth.max(initial=0) >= cap:
+        tables = pc.count_substring(path, ":table/")
+        kept &= tables.to_numpy() <= cap
+        deep = pc.and_(pc.equal(kind, "table"), pc.equal(tables, cap))
+        left = pc.if_else(pc.and_(deep, known), f"table nested deeper than {cap}", left)
+    told = nodes["text"]
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        told = pc.replace_substring(told, a, b)
+    begins = pc.fill_null(pc.and_(pc.equal(kind, "cell"), pc.equal(nodes["col"], 0)), False)
+    first = pc.if_else(begins, pc.if_else(pc.fill_null(pc.greater(nodes["row"], 0), False), "</tr><tr>", "<tr>"), "")
+    start = pc.if_else(text, told, pc.binary_join_element_wise(first, "<", tag, ">", ""))
+    close = pc.binary_join_element_wise(pc.if_else(nodes["grid"], "</tr>", ""), "</", tag, ">", "")
+    if left.null_count < len(left):
+        start = pc.coalesce(pc.binary_join_element_wise("<!-- ", left, " -->", ""), start)
+    ended = kept & ~text.to_numpy(zero_copy_only=False) & left.is_null().to_numpy(zero_copy_only=False)
+    # starts and ends of a page fill its places without gaps
+    sizes = np.asarray(sizes)
+    base = 2 * np.repeat(np.cumsum(sizes) - sizes, sizes)
+    piece = np.full(2 * len(kind), -1)
+    piece[(base + 2 * pre - depth)[kept]] = np.flatnonzero(kept)
+    piece[(base + 2 * post + depth + 1)[ended]] = np.flatnonzero(ended) + len(kind)
+    there = np.concatenate([[0], np.cumsum(piece >= 0)])[np.concatenate([[0], 2 * np.cumsum(sizes)])]
+    pieces = pa.concat_arrays([start, close]).take(pa.array(piece[piece >= 0]))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(there, pa.int32()), pieces), "")

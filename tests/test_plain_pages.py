@@ -7,6 +7,7 @@ from conftest import SF
 
 from quillon.sources import nodes as N
 from quillon.sources import plainpages
+from quillon.sources import sinks as K
 
 PIECES = [f"<{end}{tag}>" for tag in ("div", "p", "td", "tr", "table", "li", "ul", "h2", "b", "tbody", "details", "dt", "dd", "dl", "th", "section") for end in ("", "/")]
 PIECES += ["<br>", "<a href=\"x\">", "</a>", "<p class='a b'>", "x", "a > b", " ", "&amp;", "&lt;b", "é \n y", "&", "&am", "p;", "the the", "aaaa"]
@@ -43,6 +44,14 @@ def test_nodes_are_those_of_tree(pages, markup):
     assert some.exceptAll(got.filter("kind IN ('text', 'cell')").select("page_id", "path", "kind")).isEmpty() and some.count() == got.filter("kind IN ('text', 'cell')").count()
 
 
+def test_written_in_arrays_as_from_the_node_table(pages):
+    for cap, held in ((K.NESTED, K.HELD), (1, ("table", "cell", "text", "box"))):
+        want = K.nested_html(N.nodes(pages), cap=cap, held=held)
+        got = K.pages_html(pages, cap=cap, held=held)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 1500
+    assert K.pages_html(pages.limit(0)).count() == 0
+
+
 def test_places_of_words(spark):
     texts = ["a the the", "thethe", "aaaaa the", "x" * 300 + " the aa" * 1000, "no"]
     df = spark.createDataFrame(list(enumerate(texts)), "page_id int, html string")
@@ -56,7 +65,7 @@ def test_places_of_words(spark):
         assert sorted((r["page_id"], r["char"]) for r in N.search(N.nodes(df), word, ["box"]).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["t01_nested_cells"])
+@pytest.mark.parametrize("name", ["t01_nested_cells", "k16_nested_html"])
 def test_nothing_is_shuffled_after_pages_are_read(spark, name):
     """All that is put together stands before the parser: no node or match is dealt out again, nor sorted."""
     from quillon.plans.registry import QUERIES
